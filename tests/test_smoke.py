@@ -1,0 +1,17 @@
+import burnish as b
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_everything_runs(spark):
+    df = b.scan_parquet(spark, SF, "lineitem")
+    b.column_missing(df).show()
+    b.table_profile(df).show()
+    b.column_profile(df.withColumnRenamed("l_orderkey", "k"), "k").show(truncate=False)
+    b.describe_numeric(df).show()
+    o = b.scan_parquet(spark, SF, "orders")
+    print(b.quality_report_json(o, "o_orderkey").first()[0])
+    b.bounded_distinct(o, "o_orderkey").show()
+    b.with_row_index(o, "o_totalprice").show(3)
+    b.clean_summary(df, remove_duplicates=True, handle_missing="drop").show()
+    b.clean(o, remove_duplicates=True, handle_missing="fill_mode", trim_whitespace=True, convert_types=True).show(3)
