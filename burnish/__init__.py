@@ -1,5 +1,6 @@
 """Profile and clean tables of any size with Spark."""
 
+from .functions import normalize_na
 from .operators.cleaning import (
     convert_types,
     drop_missing,
@@ -48,4 +49,55 @@ from .sources import (
     write_csv,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("functions", "operators")]
+__all__ = [
+    "CleanOptions",
+    "CleanResult",
+    "admit_files",
+    "append_run",
+    "bounded_distinct",
+    "clean",
+    "clean_summary",
+    "clean_to_csv",
+    "column_missing",
+    "column_profile",
+    "completeness_split",
+    "convert_types",
+    "describe_numeric",
+    "distinct_counts",
+    "distinct_labels",
+    "drop_missing",
+    "dtype_distribution",
+    "duplicate_estimate",
+    "duplicate_rows",
+    "exact_medians",
+    "expire_rows",
+    "fill_by_chunk",
+    "fill_mean",
+    "fill_median",
+    "fill_mode",
+    "first_n",
+    "infer_types",
+    "missing_by_column",
+    "missing_heat_bucket",
+    "normalize_na",
+    "preview",
+    "quality_report_json",
+    "read_runs",
+    "recent_runs",
+    "regex_rule",
+    "remove_duplicates",
+    "sample_values",
+    "scan_csv",
+    "scan_csv_typed",
+    "scan_parquet",
+    "size_mb",
+    "standardize_columns",
+    "table_counts",
+    "table_profile",
+    "to_json_records",
+    "trim_whitespace",
+    "unique_rule",
+    "with_chunk",
+    "with_row_index",
+    "write_csv",
+]

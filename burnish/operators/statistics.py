@@ -75,7 +75,7 @@ def exact_medians(df: DataFrame, columns: list[str], *, one_task_rows: int = ONE
         return dict(zip(columns, row, strict=True))
 
     brackets = {c: _Bracket() for c in values.columns}
-    steps = [i / _CELLS for i in range(_CELLS + 1)]
+    steps = F.expr("CAST(array(" + ", ".join(str(i / _CELLS) for i in range(_CELLS + 1)) + ") AS array<double>)")
     for _ in range(_MAX_ROUNDS):
         active = [c for c, b in brackets.items() if not b.done]
         if not active:

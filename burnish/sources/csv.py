@@ -176,4 +176,6 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str |
         else col(f.name)
         for f in df.schema
     ]
-    df.select(*printed).write.mode(mode).options(header=True, escape='"', emptyValue="").csv(path)
+    # Blanks at the ends of a text are data; Spark's writer would cut them.
+    writer = df.select(*printed).write.mode(mode).options(header=True, escape='"', emptyValue="")
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

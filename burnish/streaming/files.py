@@ -23,13 +23,19 @@ def stream_scan(
     schema: T.StructType | str,
     *,
     file_format: str = "csv",
+    file_names: str | None = None,
     max_files_per_trigger: int | None = None,
     na: bool = True,
 ) -> DataFrame:
-    """Files below `path` as a stream; missing-value tokens of CSV texts become nulls."""
+    """Files below the folder `path` as a stream, those whose names match the glob `file_names`.
+
+    Missing-value tokens of CSV texts become nulls.
+    """
     reader = spark.readStream.schema(schema).format(file_format)
     if file_format == "csv":
         reader = reader.options(header=True, escape='"', multiLine=True)
+    if file_names is not None:
+        reader = reader.option("pathGlobFilter", file_names)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(path)
