@@ -13,7 +13,7 @@ from .missing import NA_TOKENS, as_missing, is_missing, normalize_na
 from .names import csv_header_names, short_name, standard_name
 from .numbers import is_boolean_text, is_integer_text, is_number_text, to_boolean, to_double, to_long
 from .ratio import percent
-from .rows import literal_rows
+from .rows import column_values, literal_rows, name_at
 from .text import WHITESPACE, strip
 
 __all__ = [
@@ -21,6 +21,7 @@ __all__ = [
     "WHITESPACE",
     "as_missing",
     "col",
+    "column_values",
     "csv_header_names",
     "dtype_name",
     "float_columns",
@@ -30,6 +31,7 @@ __all__ = [
     "is_missing",
     "is_number_text",
     "literal_rows",
+    "name_at",
     "normalize_na",
     "numeric_columns",
     "percent",

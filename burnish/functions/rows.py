@@ -1,12 +1,14 @@
-"""Small tables known when the query is written."""
+"""Rows built from constants, and columns turned into rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import col
+
 
 def literal_rows(spark: SparkSession, schema: str, rows: Sequence[Sequence]) -> DataFrame:
     """A DataFrame of constants, such as one row per column of a table, built without a Python scan."""
@@ -18,3 +20,20 @@ def literal_rows(spark: SparkSession, schema: str, rows: Sequence[Sequence]) ->
     if not values:
         return one.select(*[F.lit(None).cast(t).alias(n) for n, t in fields]).limit(0)
     return one.select(F.inline(F.array(*values)))
+
+
+def column_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(position, value) for every filled cell of columns of one type, next to the columns to `keep`.
+
+    A column is named by its position: a number makes a smaller and faster grouping key than a name.
+    """
+    cells: list[Column] = [F.lit(len(columns))]
+    for i, n in enumerate(columns):
+        cells += [F.lit(i), col(n)]
+    long = df.select(*[col(k) for k in keep], F.stack(*cells).alias("position", "value"))
+    return long.filter("value IS NOT NULL")
+
+
+def name_at(columns: Sequence[str], position: str = "position") -> Column:
+    """The column name for a position given by `column_values`."""
+    return F.element_at(F.array(*[F.lit(n) for n in columns]), F.col(position) + 1)

@@ -25,10 +25,9 @@ from ..functions import (
 )
 from ..functions.names import distinct_names
 from .distinct import columns_by_type, value_counts
+from .probe import probe
 from .statistics import exact_medians
 
-_PROBE_ROWS = 1_000
-
 
 def drop_missing(df: DataFrame) -> DataFrame:
     """Drop rows with any missing value."""
@@ -197,22 +196,11 @@ def filled_flags(texts: dict[str, Column]) -> Column:
     return F.struct(*[(F.count(c) > 0).alias(f"c{i}") for i, c in enumerate(texts.values())]).alias("filled")
 
 
-def maybe_numeric(df: DataFrame, texts: dict[str, Column]) -> dict[str, Column]:
-    """Leave out the columns that show a non-number in a few rows.
-
-    One such value settles it, so long texts are not read again for the whole table.
-    """
-    if not texts:
-        return {}
-    probe = df.select(*[c.alias(f"c{i}") for i, c in enumerate(texts.values())]).limit(_PROBE_ROWS)
-    bad = probe.agg(*[F.count_if(~is_number_text(F.col(c))) for c in probe.columns]).first()
-    return {n: c for (n, c), b in zip(texts.items(), bad, strict=True) if b == 0}
-
-
 def numeric_texts(df: DataFrame, texts: dict[str, Column] | None = None) -> TextFacts:
     """Find the text columns whose every value is a number: a short probe, then one pass."""
     texts = {n: col(n) for n in string_columns(df)} if texts is None else texts
-    texts = maybe_numeric(df, texts)
+    shown = probe(df, [], texts).texts
+    texts = {n: c for n, c in texts.items() if n not in shown}
     if not texts:
         return TextFacts((), ())
     return read_text_facts(texts, df.agg(*text_fact_columns(texts), filled_flags(texts)).first())

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import col, groupable_columns, literal_rows, present
+from ..functions import col, column_values, groupable_columns, literal_rows, name_at, present
 from ..options import (
     CHUNK_ROWS,
     DISTINCT_CAP,
@@ -23,6 +23,7 @@ from ..options import (
     SAMPLE_ROWS,
 )
 from ..sources.order import first_n, with_chunk
+from .probe import probe
 
 _BITMAP_BITS = 32_768  # what one Spark bitmap holds, 4 KB per column and task
 
@@ -48,8 +49,8 @@ def value_counts(df: DataFrame, columns: list[str], dtype: T.DataType) -> DataFr
     """(column, value, occurrences) for columns of one type; missing values are left out."""
     fields = {f.name: f for f in df.schema}
     values = df.select(*[present(fields[n]).cast(dtype).alias(n) for n in columns])
-    long = values.unpivot([], [col(n) for n in columns], "column", "value")
-    return long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    counted = column_values(values, columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counted.select(name_at(columns).alias("column"), "value", "occurrences")
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
@@ -89,14 +90,17 @@ def distinct_floor(df: DataFrame, name: str):
 def distinct_labels(df: DataFrame, columns: list[str] | None = None, *, cap: int = DISTINCT_CAP) -> DataFrame:
     """Distinct values per column as text: the exact number below `cap`, else `<cap>+`.
 
-    One pass with a fixed-size bitmap per column proves which columns reach the cap. Only the others
-    are counted exactly, so the values of a key column are never shuffled.
+    The first rows show for most key columns that they reach the cap. One pass with a fixed-size
+    bitmap per column proves it for those that hide it, as a sorted column does. Only the rest is
+    counted exactly, so the values of a key column are never shuffled.
     """
     names = groupable_columns(df) if columns is None else columns
     if not names:
         return literal_rows(df.sparkSession, "column string, unique_values string", [])
-    floors = df.agg(*[distinct_floor(df, n).alias(f"f{i}") for i, n in enumerate(names)]).first()
-    many = [n for i, n in enumerate(names) if floors[i] >= cap]
+    many = probe(df, names).many(cap)
+    if unsure := [n for n in names if n not in many]:
+        floors = df.agg(*[distinct_floor(df, n) for n in unsure]).first()
+        many += [n for n, floor in zip(unsure, floors, strict=True) if floor >= cap]
     return label_distinct(df, names, many, cap=cap)
 
 
@@ -130,11 +134,12 @@ def bounded_distinct(
     texts = head.select(
         "__chunk", col(order_by).alias("__row"), *[present(fields[n]).cast("string").alias(n) for n in names]
     )
-    long = texts.unpivot(["__chunk", "__row"], [col(n) for n in names], "column", "value")
-    first_seen = long.filter("value IS NOT NULL").groupBy("column", "__chunk", "value").agg(F.min("__row").alias("__row"))
-    rank = F.row_number().over(W.partitionBy("column", "__chunk").orderBy("__row"))
+    long = column_values(texts, names, keep=["__chunk", "__row"])
+    first_seen = long.groupBy("position", "__chunk", "value").agg(F.min("__row").alias("__row"))
+    rank = F.row_number().over(W.partitionBy("position", "__chunk").orderBy("__row"))
     kept = first_seen.withColumn("__rank", rank).filter(F.col("__rank") <= per_chunk)
-    counted = kept.select("column", "value").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+    distinct = kept.select(name_at(names).alias("column"), "value").distinct()
+    counted = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     zero = literal_rows(df.sparkSession, "column string, unique_values bigint", [(n, 0) for n in names])
     return counted.unionByName(zero).groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
 
@@ -183,7 +188,7 @@ def remove_duplicates(df: DataFrame, *, strategy: str = "rows", max_lookup: int
         raise ValueError(f"strategy must be 'rows' or 'hash', not {strategy!r}")
     hashed = df.withColumn("__hash", _row_hash(df))
     repeated = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
-    if repeated.limit(max_lookup + 1).count() > max_lookup:
+    if repeated.count() > max_lookup:
         return df.dropDuplicates()
     lookup = F.broadcast(repeated)
     alone = hashed.join(lookup, "__hash", "left_anti").drop("__hash")

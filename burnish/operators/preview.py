@@ -12,8 +12,11 @@ from ..sources.order import first_n
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str | None = None) -> DataFrame:
-    """The first rows to show; read the file with `bad_lines="skip"` to leave out broken ones."""
-    return first_n(df, n, order_by)
+    """The first rows to show, by `order_by` or as the scan meets them.
+
+    Read the file with `bad_lines="skip"` to leave out broken ones.
+    """
+    return df.limit(n) if order_by is None else first_n(df, n, order_by)
 
 
 def _json_value(field: T.StructField) -> Column:

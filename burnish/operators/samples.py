@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col, literal_rows, present
+from ..functions import col, column_values, literal_rows, name_at, present
 from ..options import SAMPLE_VALUES
 from ..sources.order import first_n
 
-PREFIX_ROWS = 1_000
+PREFIX_ROWS = 100
 
 
 def sample_values(df: DataFrame, order_by: str, *, n: int = SAMPLE_VALUES, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
@@ -33,22 +33,20 @@ def sample_values(df: DataFrame, order_by: str, *, n: int = SAMPLE_VALUES, prefi
     short = [i for i in range(len(names)) if found[i + 1] < n and not whole]
 
     def long(source: DataFrame, wanted: list[int]) -> DataFrame:
-        pairs = source.unpivot(["__row"], [f"v{i}" for i in wanted], "ordinal", "value")
-        return pairs.filter("value IS NOT NULL")
+        pairs = column_values(source, [f"v{i}" for i in wanted], keep=["__row"])
+        return pairs.select("__row", name_at([names[i] for i in wanted]).alias("column"), "value")
 
     parts = [long(prefix, [i for i in range(len(names)) if i not in short])] if len(short) < len(names) else []
     for i in short:
         rows = texts.select("__row", f"v{i}").filter(F.col(f"v{i}").isNotNull())
         parts.append(long(rows.orderBy("__row").limit(n), [i]))
-    rank = F.row_number().over(W.partitionBy("ordinal").orderBy("__row"))
+    rank = F.row_number().over(W.partitionBy("column").orderBy("__row"))
     kept = reduce(DataFrame.unionByName, parts).withColumn("__rank", rank).filter(F.col("__rank") <= n)
-    collected = kept.groupBy("ordinal").agg(
+    collected = kept.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))).getField("value").alias("sample_values")
     )
-    labels = literal_rows(
-        df.sparkSession, "ordinal string, column string", [(f"v{i}", c) for i, c in enumerate(names)]
-    )
+    labels = literal_rows(df.sparkSession, "column string", [(c,) for c in names])
     empty = F.array().cast("array<string>")
-    return labels.join(F.broadcast(collected), "ordinal", "left").select(
+    return labels.join(F.broadcast(collected), "column", "left").select(
         "column", F.coalesce("sample_values", empty).alias("sample_values")
     )

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import literal_rows, numeric_columns, present
+from ..functions import column_values, literal_rows, numeric_columns, present
 from ..options import ONE_TASK_ROWS
 from ..sources.order import first_n
 from .counts import one_row_per_column
 
 _ACCURACY = 10_000  # rank error of the sketch: one part in this many
 _CELLS = 1_000
-_MAX_ROUNDS = 6
+_SKETCHED_ROWS = 100_000  # values sampled per column and round
+_SMALL_TABLE_ROWS = 100_000
+_MAX_ROUNDS = 10
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,108 +26,117 @@ def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[present(fields[n]).cast("double").alias(f"c{i}") for i, n in enumerate(columns)])
 
 
+@dataclass
 class _Bracket:
-    """Bounds around the middle of one column, with the rows below and inside them."""
+    """Bounds that hold the middle of one column, and counts that prove it."""
 
-    def __init__(self) -> None:
-        self.low, self.high = -math.inf, math.inf
-        self.below, self.inside, self.total = 0, 0, None
-        self.safe = (self.low, self.high)
-        self.done = False
+    rate: float
+    low: float = -math.inf
+    high: float = math.inf
+    proven: tuple[float, float] = (-math.inf, math.inf)
+    total: int | None = None
+    below: int = 0
+    inside: int = 0
+    settled: bool = False
 
     @property
     def middle(self) -> tuple[int, int]:
+        """Ranks, from 0, of the two middle values; they are the same for an odd number of rows."""
         return (self.total - 1) // 2, self.total // 2
 
+    def aggregates(self, c: str) -> list[Column]:
+        v = F.col(c)
+        inside = v.between(F.lit(self.low), F.lit(self.high))
+        sketched = F.when(inside & (F.col("chance") < self.rate), v)
+        return [
+            F.count_if(v < F.lit(self.low)).alias(f"{c}_below"),
+            F.count_if(inside).alias(f"{c}_inside"),
+            F.percentile_approx(sketched, _steps(), _ACCURACY).alias(f"{c}_cells"),
+        ]
+
     def learn(self, below: int, inside: int, cells: list[float] | None, one_task_rows: int) -> None:
         if self.total is None:
-            self.total = inside
-        first, last = self.middle
-        if self.total and not (below <= first and last < below + inside):
-            # The sketch missed: go back to bounds that are known to hold the middle and settle there.
-            self.low, self.high = self.safe
-            self.done = True
-            return
-        shrunk = self.inside == 0 or inside < self.inside / 2
-        self.below, self.inside, self.safe = below, inside, (self.low, self.high)
-        if inside <= one_task_rows or self.low == self.high or not shrunk or not cells:
-            self.done = True
+            self.total = self.inside = inside
+            narrower = True
+        else:
+            first, last = self.middle
+            if not (below <= first and last < below + inside):
+                # The sample misled: look again from the bounds that are proven.
+                self.low, self.high = self.proven
+                self.rate = min(1.0, _SKETCHED_ROWS / self.inside)
+                return
+            narrower = inside < self.inside / 2 or (self.low, self.high) == self.proven
+        self.below, self.inside, self.proven = below, inside, (self.low, self.high)
+        if inside <= one_task_rows or self.low == self.high or not narrower or not cells:
+            self.settled = True
             return
+        first, last = self.middle
         margin = 2.0 / _ACCURACY
+        if self.rate < 1:
+            margin += 2.5 / math.sqrt(self.rate * inside)  # five standard errors of a sample's middle
         left = math.floor(((first - below) / inside - margin) * _CELLS)
         right = math.ceil(((last + 1 - below) / inside + margin) * _CELLS)
         if left > 0:
             self.low = cells[left]
         if right < _CELLS:
             self.high = cells[right]
+        share = (min(right, _CELLS) - max(left, 0)) / _CELLS
+        self.rate = min(1.0, _SKETCHED_ROWS / max(share * inside, 1))
+
+
+def _steps() -> Column:
+    # One parsed expression: a thousand literals would cost a thousand calls into the JVM.
+    return F.expr("CAST(array(" + ", ".join(str(i / _CELLS) for i in range(_CELLS + 1)) + ") AS array<double>)")
 
 
 def exact_medians(df: DataFrame, columns: list[str], *, one_task_rows: int = ONE_TASK_ROWS) -> dict[str, float | None]:
     """The exact median of each column, whatever the size of the table.
 
     Spark's own `median` gathers every distinct value in one task, which suits small tables only.
-    Here each pass counts the rows in a bracket around the middle and sketches the bracket in fixed
-    space to find a narrower one, about a 500th as wide. Counts prove that the bracket holds the
-    middle. Once few rows are left inside, their values are counted and the middle is read off.
+    Here each pass counts the rows below and inside a bracket, which proves that it holds the middle,
+    and sketches a sample of the rows inside to choose a much narrower one for the next pass. Once
+    few rows are left inside, their values are counted and the middle is read off.
     """
     if not columns:
         return {}
     values = _doubles(df, columns)
-    if values.limit(one_task_rows + 1).count() <= one_task_rows:
+    rows = values.count()
+    if rows <= min(one_task_rows, _SMALL_TABLE_ROWS):
         row = values.agg(*[F.median(c).alias(c) for c in values.columns]).first()
         return dict(zip(columns, row, strict=True))
 
-    brackets = {c: _Bracket() for c in values.columns}
-    steps = F.expr("CAST(array(" + ", ".join(str(i / _CELLS) for i in range(_CELLS + 1)) + ") AS array<double>)")
-    for _ in range(_MAX_ROUNDS):
-        active = [c for c, b in brackets.items() if not b.done]
-        if not active:
+    brackets = {c: _Bracket(rate=min(1.0, _SKETCHED_ROWS / rows)) for c in values.columns}
+    for round_number in range(_MAX_ROUNDS):
+        open_brackets = {c: b for c, b in brackets.items() if not b.settled}
+        if not open_brackets:
             break
-        aggregates = []
-        for c in active:
-            b, v = brackets[c], F.col(c)
-            inside = v.between(F.lit(b.low), F.lit(b.high))
-            aggregates += [
-                F.count_if(v < F.lit(b.low)).alias(f"{c}_below"),
-                F.count_if(inside).alias(f"{c}_inside"),
-                F.percentile_approx(F.when(inside, v), steps, _ACCURACY).alias(f"{c}_cells"),
-            ]
-        facts = values.agg(*aggregates).first()
-        for c in active:
-            brackets[c].learn(facts[f"{c}_below"], facts[f"{c}_inside"], facts[f"{c}_cells"], one_task_rows)
-    for b in brackets.values():
-        if not b.done:
-            b.low, b.high = b.safe
-
-    filled = {c: b for c, b in brackets.items() if b.total}
-    medians: dict[str, float | None] = dict.fromkeys(columns)
-    if not filled:
-        return medians
-    near = values.select(
-        *[F.when(F.col(c).between(F.lit(b.low), F.lit(b.high)), F.col(c)).alias(c) for c, b in filled.items()]
-    )
-    near = near.filter(F.coalesce(*near.columns).isNotNull())
-    counted = (
-        near.unpivot([], near.columns, "column", "value")
-        .filter("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        drawn = values.select("*", F.rand(seed=round_number).alias("chance"))
+        facts = drawn.agg(*[a for c, b in open_brackets.items() for a in b.aggregates(c)]).first()
+        for c, b in open_brackets.items():
+            b.learn(facts[f"{c}_below"], facts[f"{c}_inside"], facts[f"{c}_cells"], one_task_rows)
+    found = _read_off(values, {c: b for c, b in brackets.items() if b.total})
+    return {n: found.get(c) for n, c in zip(columns, values.columns, strict=True)}
+
+
+def _read_off(values: DataFrame, brackets: dict[str, _Bracket]) -> dict[str, float]:
+    """The middle of each column from the counted values inside its proven bracket."""
+    if not brackets:
+        return {}
+    near = values.select(*[F.when(F.col(c).between(*map(F.lit, b.proven)), F.col(c)).alias(c) for c, b in brackets.items()])
+    counted = column_values(near, near.columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = literal_rows(
-        df.sparkSession,
-        "column string, below bigint, first bigint, last bigint",
-        [(c, b.below, *b.middle) for c, b in filled.items()],
+        values.sparkSession,
+        "position int, below bigint, first bigint, last bigint",
+        [(i, b.below, *b.middle) for i, b in enumerate(brackets.values())],
     )
-    seen = F.sum("n").over(W.partitionBy("column").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counted.withColumn("seen", seen).join(F.broadcast(ranks), "column")
+    seen = F.sum("n").over(W.partitionBy("position").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("seen", seen).join(F.broadcast(ranks), "position")
     until = F.col("below") + F.col("seen")
-    middle = ranked.groupBy("column").agg(
+    middle = ranked.groupBy("position").agg(
         F.min(F.when(until > F.col("first"), F.col("value"))).alias("a"),
         F.min(F.when(until > F.col("last"), F.col("value"))).alias("b"),
     )
-    for row in middle.collect():
-        medians[columns[int(row["column"][1:])]] = (row["a"] + row["b"]) / 2
-    return medians
+    return {near.columns[r["position"]]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
 
 
 def describe_numeric(
@@ -140,6 +152,8 @@ def describe_numeric(
     `approximate` takes the median from a fixed-size sketch in the same pass.
     """
     if sample_rows is not None:
+        if order_by is None:
+            raise ValueError("sample_rows needs order_by: the first rows by which key?")
         df = first_n(df, sample_rows, order_by)
     names = numeric_columns(df)
     if not names:

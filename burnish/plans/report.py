@@ -17,9 +17,10 @@ from ..functions import (
     present,
     string_columns,
 )
-from ..operators.cleaning import maybe_numeric, text_fact_columns
+from ..operators.cleaning import text_fact_columns
 from ..operators.counts import table_counts
 from ..operators.distinct import distinct_floor, duplicate_estimate, duplicate_rows, label_distinct
+from ..operators.probe import probe
 from ..operators.samples import sample_values
 from ..options import DISTINCT_CAP
 
@@ -48,18 +49,22 @@ def _inferred(row, i: int, field: T.StructField, text: int | None, total: int) -
 def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """One row per column: types, missing count and share, distinct values, first values.
 
-    One pass counts missing values, tests texts for numbers and proves which columns have very many
-    distinct values; a second, over the other columns only, counts those exactly. `order_by` decides
-    which values come first and is not itself profiled; without it no samples are taken.
+    A look at the first rows shows most text columns and most columns with very many distinct values
+    for what they are. One pass counts missing values and tests the remaining columns for both; a
+    second, over the columns with few distinct values, counts those exactly. `order_by` decides which
+    values come first and is not itself profiled; without it no samples are taken.
     """
     body = df.drop(order_by) if order_by is not None else df
     fields = list(body.schema)
-    texts = maybe_numeric(body, {n: col(n) for n in string_columns(body)})
     names = groupable_columns(body)
+    texts = {n: col(n) for n in string_columns(body)}
+    first = probe(body, names, texts)
+    many = first.many(DISTINCT_CAP)
+    texts = {n: c for n, c in texts.items() if n not in first.texts}
     aggregates = [F.count(F.lit(1)).alias("total"), *text_fact_columns(texts)]
     for i, field in enumerate(fields):
         aggregates.append(F.count_if(is_missing(field)).alias(f"missing{i}"))
-        if field.name in names:
+        if field.name in names and field.name not in many:
             aggregates.append(distinct_floor(body, field.name).alias(f"floor{i}"))
         if isinstance(field.dataType, T.StringType):
             aggregates.append(F.count_if(~is_boolean_text(present(field))).alias(f"other{i}"))
@@ -83,7 +88,8 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     share = percent(F.col("missing_count"), F.col("total"))
     profile = profile.withColumn("missing_percentage", share).drop("total")
 
-    many = [f.name for i, f in enumerate(fields) if f.name in names and row[f"floor{i}"] >= DISTINCT_CAP]
+    unsure = [(i, f.name) for i, f in enumerate(fields) if f.name in names and f.name not in many]
+    many += [n for i, n in unsure if row[f"floor{i}"] >= DISTINCT_CAP]
     labels = label_distinct(body, names, many)
     # Both frames have one row per column of the table.
     profile = profile.join(F.broadcast(labels), "column", "left")

@@ -12,6 +12,7 @@ from .files import checkpointed
 
 _POSITION = "__position"
 _PARTITION = "__partition"
+_FEW_ROWS = 100
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -50,22 +51,23 @@ def with_chunk(
     return df.withColumn(name, F.floor(col(row_idx) / chunk_rows))
 
 
-def first_n(df: DataFrame, n: int, order_by: str | None = None) -> DataFrame:
-    """The first `n` rows by `order_by`, or in scan order.
+def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
+    """The first `n` rows by `order_by`, a key without nulls or repeats.
 
-    The n-th smallest key is found from the key column alone and then filters the scan, so parquet
-    skips the row groups behind it and the other columns are read for the first rows only.
+    A bound on the key filters the scan first, so parquet skips the row groups behind it and the
+    other columns are read for the first rows only. For a few rows the bound is the n-th smallest
+    key. Sorting out n keys per task would be too much for one task if n is large; then a sample of
+    the keys gives a bound, and a count proves that enough rows lie below it.
     """
     if n < 1:
         return df.limit(0)
-    if order_by is None:
-        return (
-            df.withColumn(_POSITION, F.monotonically_increasing_id())
-            .orderBy(_POSITION)
-            .limit(n)
-            .drop(_POSITION)
-        )
     key: Column = col(order_by)
     keys = df.select(key.alias("k")).filter("k IS NOT NULL")
-    last = keys.orderBy("k").limit(n).agg(F.max("k")).scalar()
-    return df.filter(key <= last).orderBy(key).limit(n)
+    if n <= _FEW_ROWS:
+        return df.filter(key <= keys.orderBy("k").limit(n).agg(F.max("k")).scalar()).orderBy(key).limit(n)
+    # About 20 of the n wanted keys are sampled, so the 60th sampled key lies well behind them.
+    sampled = keys.sample(20 / n, seed=7).orderBy("k").limit(60)
+    bound = sampled.agg(F.max("k").alias("k"), F.count("k").alias("n")).first()
+    if bound["n"] == 60 and keys.filter(F.col("k") <= bound["k"]).count() >= n:
+        df = df.filter(key <= bound["k"])
+    return df.orderBy(key).limit(n)
