@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from .columns import col
 
 
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        # `$` could start a variable that Spark would replace inside the text.
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+    return f"'{value}'"
+
+
 def literal_rows(spark: SparkSession, schema: str, rows: Sequence[Sequence]) -> DataFrame:
     """A DataFrame of constants, such as one row per column of a table, built without a Python scan."""
-    one = spark.range(0, 1, 1, 1)
     fields = [part.rsplit(" ", 1) for part in schema.split(", ")]
-    values = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(fields, row, strict=True)]) for row in rows
-    ]
-    if not values:
-        return one.select(*[F.lit(None).cast(t).alias(n) for n, t in fields]).limit(0)
-    return one.select(F.inline(F.array(*values)))
+    typed = ", ".join(f"CAST(c{i} AS {t}) AS `{n}`" for i, (n, t) in enumerate(fields))
+    columns = ", ".join(f"c{i}" for i in range(len(fields)))
+    values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows or [[None] * len(fields)])
+    found = spark.sql(f"SELECT {typed} FROM VALUES {values} AS v({columns})")
+    return found if rows else found.limit(0)
 
 
 def column_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

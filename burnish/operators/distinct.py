@@ -26,6 +26,7 @@ from ..sources.order import first_n, with_chunk
 from .probe import probe
 
 _BITMAP_BITS = 32_768  # what one Spark bitmap holds, 4 KB per column and task
+_SAMPLE_ROWS = 100_000
 
 
 def _widened(dtype: T.DataType) -> T.DataType:
@@ -75,32 +76,37 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: b
     return reduce(DataFrame.unionByName, counted, zero).groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
 
 
-def distinct_floor(df: DataFrame, name: str):
-    """A number of distinct values that the column has for certain.
+def plentiful(df: DataFrame, columns: list[str], rows: int, *, cap: int = DISTINCT_CAP) -> list[str]:
+    """The columns that a sample of a table of `rows` rows proves to have `cap` distinct values.
 
     Hash buckets that hold a value are marked in a bitmap of fixed size. Two marked buckets hold two
     different values, so a count of buckets never exceeds the count of values.
     """
-    value = present(df.schema[name])
-    bucket = F.pmod(F.xxhash64(value), F.lit(_BITMAP_BITS)) + 1
-    marked = F.bitmap_construct_agg(F.bitmap_bit_position(F.when(value.isNotNull(), bucket)))
-    return F.bitmap_count(marked)
+    if not columns or rows < cap:
+        return []
+    sample = df.select(*[col(n) for n in columns]).sample(min(1.0, _SAMPLE_ROWS / rows), seed=11)
+    floors = []
+    for n in columns:
+        value = present(df.schema[n])
+        bucket = F.pmod(F.xxhash64(value), F.lit(_BITMAP_BITS)) + 1
+        marked = F.bitmap_construct_agg(F.bitmap_bit_position(F.when(value.isNotNull(), bucket)))
+        floors.append(F.bitmap_count(marked))
+    return [n for n, floor in zip(columns, sample.agg(*floors).first(), strict=True) if floor >= cap]
 
 
 def distinct_labels(df: DataFrame, columns: list[str] | None = None, *, cap: int = DISTINCT_CAP) -> DataFrame:
     """Distinct values per column as text: the exact number below `cap`, else `<cap>+`.
 
-    The first rows show for most key columns that they reach the cap. One pass with a fixed-size
-    bitmap per column proves it for those that hide it, as a sorted column does. Only the rest is
-    counted exactly, so the values of a key column are never shuffled.
+    The first rows show for most key columns that they reach the cap, and a sample of all rows for
+    those that hide it, as a sorted column does. Only the rest is counted exactly, so the values of a
+    key column are not shuffled.
     """
     names = groupable_columns(df) if columns is None else columns
     if not names:
         return literal_rows(df.sparkSession, "column string, unique_values string", [])
     many = probe(df, names).many(cap)
     if unsure := [n for n in names if n not in many]:
-        floors = df.agg(*[distinct_floor(df, n) for n in unsure]).first()
-        many += [n for n, floor in zip(unsure, floors, strict=True) if floor >= cap]
+        many += plentiful(df, unsure, df.count(), cap=cap)
     return label_distinct(df, names, many, cap=cap)
 
 

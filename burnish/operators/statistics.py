@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import column_values, literal_rows, numeric_columns, present
-from ..options import ONE_TASK_ROWS
+from ..options import MEDIAN_TASK_ROWS
 from ..sources.order import first_n
 from .counts import one_row_per_column
 
 _ACCURACY = 10_000  # rank error of the sketch: one part in this many
-_CELLS = 1_000
-_SKETCHED_ROWS = 100_000  # values sampled per column and round
-_SMALL_TABLE_ROWS = 100_000
-_MAX_ROUNDS = 10
+_MAX_ROUNDS = 12
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,101 +25,105 @@ def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass
 class _Bracket:
-    """Bounds that hold the middle of one column, and counts that prove it."""
+    """Bounds that hold the middle of one column; the counts prove it."""
 
-    rate: float
+    total: int
+    inside: int
+    below: int = 0
     low: float = -math.inf
     high: float = math.inf
-    proven: tuple[float, float] = (-math.inf, math.inf)
-    total: int | None = None
-    below: int = 0
-    inside: int = 0
-    settled: bool = False
+    stuck: bool = False
 
     @property
     def middle(self) -> tuple[int, int]:
         """Ranks, from 0, of the two middle values; they are the same for an odd number of rows."""
         return (self.total - 1) // 2, self.total // 2
 
-    def aggregates(self, c: str) -> list[Column]:
-        v = F.col(c)
-        inside = v.between(F.lit(self.low), F.lit(self.high))
-        sketched = F.when(inside & (F.col("chance") < self.rate), v)
-        return [
-            F.count_if(v < F.lit(self.low)).alias(f"{c}_below"),
-            F.count_if(inside).alias(f"{c}_inside"),
-            F.percentile_approx(sketched, _steps(), _ACCURACY).alias(f"{c}_cells"),
-        ]
+    @property
+    def rate(self) -> float:
+        """Share of the rows inside to sample: a hundredth of them, but neither few nor too many."""
+        return min(1.0, min(max(self.inside / 100, 20_000), 1_000_000) / self.inside)
 
-    def learn(self, below: int, inside: int, cells: list[float] | None, one_task_rows: int) -> None:
-        if self.total is None:
-            self.total = self.inside = inside
-            narrower = True
-        else:
-            first, last = self.middle
-            if not (below <= first and last < below + inside):
-                # The sample misled: look again from the bounds that are proven.
-                self.low, self.high = self.proven
-                self.rate = min(1.0, _SKETCHED_ROWS / self.inside)
-                return
-            narrower = inside < self.inside / 2 or (self.low, self.high) == self.proven
-        self.below, self.inside, self.proven = below, inside, (self.low, self.high)
-        if inside <= one_task_rows or self.low == self.high or not narrower or not cells:
-            self.settled = True
-            return
+    def holds(self, c: str) -> Column:
+        return F.col(c).between(F.lit(self.low), F.lit(self.high))
+
+    def ends(self) -> tuple[float, float]:
+        """Where in the bracket, as shares, narrower bounds are safe to lie: five standard errors off."""
+        margin = 2.0 / _ACCURACY + (2.5 / math.sqrt(self.rate * self.inside) if self.rate < 1 else 0.0)
         first, last = self.middle
-        margin = 2.0 / _ACCURACY
-        if self.rate < 1:
-            margin += 2.5 / math.sqrt(self.rate * inside)  # five standard errors of a sample's middle
-        left = math.floor(((first - below) / inside - margin) * _CELLS)
-        right = math.ceil(((last + 1 - below) / inside + margin) * _CELLS)
-        if left > 0:
-            self.low = cells[left]
-        if right < _CELLS:
-            self.high = cells[right]
-        share = (min(right, _CELLS) - max(left, 0)) / _CELLS
-        self.rate = min(1.0, _SKETCHED_ROWS / max(share * inside, 1))
+        return (
+            max(0.0, (first - self.below) / self.inside - margin),
+            min(1.0, (last + 1 - self.below) / self.inside + margin),
+        )
 
+    def narrowed(self, sketched: list[float] | None) -> _Bracket:
+        if not sketched:
+            return self
+        start, end = self.ends()
+        low = sketched[0] if start > 0 else self.low
+        high = sketched[1] if end < 1 else self.high
+        return replace(self, low=low, high=high)
 
-def _steps() -> Column:
-    # One parsed expression: a thousand literals would cost a thousand calls into the JVM.
-    return F.expr("CAST(array(" + ", ".join(str(i / _CELLS) for i in range(_CELLS + 1)) + ") AS array<double>)")
+    def accept(self, other: _Bracket, below: int, inside: int) -> _Bracket:
+        """The narrower bracket if the counts prove that it holds the middle, else this one again."""
+        first, last = self.middle
+        if not (below <= first and last < below + inside):
+            return self
+        return replace(other, below=below, inside=inside, stuck=inside > self.inside / 2)
 
 
-def exact_medians(df: DataFrame, columns: list[str], *, one_task_rows: int = ONE_TASK_ROWS) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str], *, one_task_rows: int = MEDIAN_TASK_ROWS) -> dict[str, float | None]:
     """The exact median of each column, whatever the size of the table.
 
     Spark's own `median` gathers every distinct value in one task, which suits small tables only.
-    Here each pass counts the rows below and inside a bracket, which proves that it holds the middle,
-    and sketches a sample of the rows inside to choose a much narrower one for the next pass. Once
-    few rows are left inside, their values are counted and the middle is read off.
+    Here a sample of each column gives narrow bounds around its middle, and a count of the rows below
+    and inside proves them; this repeats inside the bounds. Once few rows are left, their values are
+    counted and the middle is read off. The heavy passes are plain counts in generated code.
     """
     if not columns:
         return {}
     values = _doubles(df, columns)
-    rows = values.count()
-    if rows <= min(one_task_rows, _SMALL_TABLE_ROWS):
-        row = values.agg(*[F.median(c).alias(c) for c in values.columns]).first()
-        return dict(zip(columns, row, strict=True))
-
-    brackets = {c: _Bracket(rate=min(1.0, _SKETCHED_ROWS / rows)) for c in values.columns}
-    for round_number in range(_MAX_ROUNDS):
-        open_brackets = {c: b for c, b in brackets.items() if not b.settled}
-        if not open_brackets:
-            break
-        drawn = values.select("*", F.rand(seed=round_number).alias("chance"))
-        facts = drawn.agg(*[a for c, b in open_brackets.items() for a in b.aggregates(c)]).first()
-        for c, b in open_brackets.items():
-            b.learn(facts[f"{c}_below"], facts[f"{c}_inside"], facts[f"{c}_cells"], one_task_rows)
-    found = _read_off(values, {c: b for c, b in brackets.items() if b.total})
+    totals = values.agg(*[F.count(c).alias(c) for c in values.columns]).first().asDict()
+    found = _medians(values, totals, one_task_rows)
     return {n: found.get(c) for n, c in zip(columns, values.columns, strict=True)}
 
 
+def _medians(values: DataFrame, totals: dict[str, int], one_task_rows: int) -> dict[str, float]:
+    """Medians of double columns of which the number of filled rows is known."""
+    if max(totals.values()) <= one_task_rows:
+        return values.agg(*[F.median(c).alias(c) for c in totals]).first().asDict()
+    brackets = {c: _Bracket(total, total) for c, total in totals.items() if total}
+    for seed in range(_MAX_ROUNDS):
+        wide = {c: b for c, b in brackets.items() if b.inside > one_task_rows and b.low < b.high and not b.stuck}
+        if not wide:
+            break
+        brackets |= _narrow(values, wide, seed)
+    found = {c: b.low for c, b in brackets.items() if b.low == b.high}
+    return found | _read_off(values, {c: b for c, b in brackets.items() if c not in found})
+
+
+def _narrow(values: DataFrame, wide: dict[str, _Bracket], seed: int) -> dict[str, _Bracket]:
+    """One round: sample the rows inside each bracket, then prove the narrower brackets by counts."""
+    chance = F.col("chance")
+    drawn = values.select(*wide, F.rand(seed).alias("chance")).filter(chance < max(b.rate for b in wide.values()))
+    sketches = [
+        F.percentile_approx(F.when(b.holds(c) & (chance < b.rate), F.col(c)), list(b.ends()), _ACCURACY).alias(c)
+        for c, b in wide.items()
+    ]
+    bounds = drawn.agg(*sketches).first()
+    tried = {c: b.narrowed(bounds[c]) for c, b in wide.items()}
+    counts = []
+    for c, b in tried.items():
+        counts += [F.count_if(F.col(c) < F.lit(b.low)).alias(f"{c}_below"), F.count_if(b.holds(c)).alias(f"{c}_inside")]
+    proof = values.agg(*counts).first()
+    return {c: wide[c].accept(b, proof[f"{c}_below"], proof[f"{c}_inside"]) for c, b in tried.items()}
+
+
 def _read_off(values: DataFrame, brackets: dict[str, _Bracket]) -> dict[str, float]:
     """The middle of each column from the counted values inside its proven bracket."""
     if not brackets:
         return {}
-    near = values.select(*[F.when(F.col(c).between(*map(F.lit, b.proven)), F.col(c)).alias(c) for c, b in brackets.items()])
+    near = values.select(*[F.when(b.holds(c), F.col(c)).alias(c) for c, b in brackets.items()])
     counted = column_values(near, near.columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = literal_rows(
         values.sparkSession,
@@ -139,6 +140,9 @@ def _read_off(values: DataFrame, brackets: dict[str, _Bracket]) -> dict[str, flo
     return {near.columns[r["position"]]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
 
 
+_STATISTICS = ("mean", "median", "std", "min", "max")
+
+
 def describe_numeric(
     df: DataFrame,
     *,
@@ -149,38 +153,39 @@ def describe_numeric(
     """Mean, median, sample standard deviation, minimum and maximum of each numeric column.
 
     `sample_rows` limits this to the first rows by `order_by`, as the report does by default there.
-    `approximate` takes the median from a fixed-size sketch in the same pass.
+    A sample, or `approximate`, which takes the median from a fixed-size sketch, is one lazy pass. The
+    exact median of a whole table takes several, run at once.
     """
     if sample_rows is not None:
         if order_by is None:
             raise ValueError("sample_rows needs order_by: the first rows by which key?")
         df = first_n(df, sample_rows, order_by)
     names = numeric_columns(df)
+    schema = "ordinal int, column string, mean double, median double, std double, min double, max double"
     if not names:
-        return literal_rows(
-            df.sparkSession,
-            "ordinal int, column string, mean double, median double, std double, min double, max double",
-            [],
-        )
+        return literal_rows(df.sparkSession, schema, [])
     values = _doubles(df, names)
-    # A sample that fits one task takes Spark's median in the same pass; a table of any size does not.
-    small = sample_rows is not None and sample_rows <= ONE_TASK_ROWS
-    medians = {} if approximate or small else exact_medians(df, names)
-    aggregates, facts = [], {}
-    for i, name in enumerate(names):
-        c = f"c{i}"
-        if approximate:
-            median = F.percentile_approx(c, 0.5, _ACCURACY)
-        elif small:
-            median = F.median(c)
-        else:
-            median = F.lit(medians[name]).cast("double")
+    one_pass = approximate or (sample_rows is not None and sample_rows <= MEDIAN_TASK_ROWS)
+    aggregates = []
+    for c in values.columns:
         aggregates += [
             F.avg(c).alias(f"{c}_mean"),
-            median.alias(f"{c}_median"),
             F.stddev_samp(c).alias(f"{c}_std"),
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
         ]
-        facts[name] = {s: f"{c}_{s}" for s in ("mean", "median", "std", "min", "max")}
-    return one_row_per_column(values.agg(*aggregates), facts)
+        if one_pass:
+            median = F.percentile_approx(c, 0.5, _ACCURACY) if approximate else F.median(c)
+            aggregates.append(median.alias(f"{c}_median"))
+        else:
+            aggregates.append(F.count(c).alias(f"{c}_rows"))
+    if one_pass:
+        facts = {n: {s: f"{c}_{s}" for s in _STATISTICS} for n, c in zip(names, values.columns, strict=True)}
+        return one_row_per_column(values.agg(*aggregates), facts)
+    row = values.agg(*aggregates).first().asDict()
+    medians = _medians(values, {c: row[f"{c}_rows"] for c in values.columns}, MEDIAN_TASK_ROWS)
+    rows = [
+        (i, n, *[medians.get(c) if s == "median" else row[f"{c}_{s}"] for s in _STATISTICS])
+        for i, (n, c) in enumerate(zip(names, values.columns, strict=True))
+    ]
+    return literal_rows(df.sparkSession, schema, rows)

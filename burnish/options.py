@@ -16,8 +16,9 @@ LARGE_TABLE_ROWS = 50_000
 MAX_FILE_BYTES = 100 * 1024 * 1024
 HISTORY_ROWS = 10
 
-# Ours: the most rows one task is given to sort, hash or look up alone.
+# Ours: the most rows one task is given to look up, and to sort for a median.
 ONE_TASK_ROWS = 1_000_000
+MEDIAN_TASK_ROWS = 100_000
 
 FILL_METHODS = ("fill_mean", "fill_median", "fill_mode")
 

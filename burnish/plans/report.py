@@ -19,7 +19,7 @@ from ..functions import (
 )
 from ..operators.cleaning import text_fact_columns
 from ..operators.counts import table_counts
-from ..operators.distinct import distinct_floor, duplicate_estimate, duplicate_rows, label_distinct
+from ..operators.distinct import duplicate_estimate, duplicate_rows, label_distinct, plentiful
 from ..operators.probe import probe
 from ..operators.samples import sample_values
 from ..options import DISTINCT_CAP
@@ -50,9 +50,10 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """One row per column: types, missing count and share, distinct values, first values.
 
     A look at the first rows shows most text columns and most columns with very many distinct values
-    for what they are. One pass counts missing values and tests the remaining columns for both; a
-    second, over the columns with few distinct values, counts those exactly. `order_by` decides which
-    values come first and is not itself profiled; without it no samples are taken.
+    for what they are. One pass counts missing values and tests the texts that may be numbers; a
+    sample finds further columns with very many distinct values, and those with few are counted
+    exactly. `order_by` decides which values come first and is not itself profiled; without it no
+    samples are taken.
     """
     body = df.drop(order_by) if order_by is not None else df
     fields = list(body.schema)
@@ -64,8 +65,6 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("total"), *text_fact_columns(texts)]
     for i, field in enumerate(fields):
         aggregates.append(F.count_if(is_missing(field)).alias(f"missing{i}"))
-        if field.name in names and field.name not in many:
-            aggregates.append(distinct_floor(body, field.name).alias(f"floor{i}"))
         if isinstance(field.dataType, T.StringType):
             aggregates.append(F.count_if(~is_boolean_text(present(field))).alias(f"other{i}"))
     row = body.agg(*aggregates).first()
@@ -88,8 +87,7 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     share = percent(F.col("missing_count"), F.col("total"))
     profile = profile.withColumn("missing_percentage", share).drop("total")
 
-    unsure = [(i, f.name) for i, f in enumerate(fields) if f.name in names and f.name not in many]
-    many += [n for i, n in unsure if row[f"floor{i}"] >= DISTINCT_CAP]
+    many += plentiful(body, [n for n in names if n not in many], total)
     labels = label_distinct(body, names, many)
     # Both frames have one row per column of the table.
     profile = profile.join(F.broadcast(labels), "column", "left")

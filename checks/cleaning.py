@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import burnish as b
 from burnish.functions import col
 
-from .profile import LINEITEM, LINEITEM_NUMBERS, ORDERS
+from .profile import LINEITEM, ORDERS
 from .registry import check
 from .views import table, view, view_sql
 

@@ -204,6 +204,23 @@ def column_profile(spark, sf_dir):
     return profile.withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
+def profile_row_sql(i: int, c: str, declared: str, inferred: str) -> str:
+    return f"""SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS "column", '{declared}' AS declared_dtype,
+        '{inferred}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing_count,
+        {percent_sql(f"count(*) FILTER (WHERE {c} IS NULL)", "count(*)")} AS missing_percentage,
+        {label_sql(f"count(DISTINCT {c})")} AS unique_values FROM d"""
+
+
+DECLARED = {c: ("double", "float64") for c in LINEITEM} | {c: ("bigint", "int64") for c in LINEITEM[:3]}
+DECLARED |= {"l_linenumber": ("int", "int64")} | {c: ("string", "object") for c in LINEITEM[8:]}
+
+
+@check(f"WITH d AS ({view_sql('gappy_lineitem')}) " + " UNION ALL ".join(
+    profile_row_sql(i, c, *DECLARED[c]) for i, c in enumerate(LINEITEM)))
+def column_profile_lineitem(spark, sf_dir):
+    return b.column_profile(view(spark, sf_dir, "gappy_lineitem"))
+
+
 @check()
 def quality_report_json(spark, sf_dir):
     return b.quality_report_json(view(spark, sf_dir, "gappy_orders"), "o_orderkey")
