@@ -101,6 +101,7 @@ def scan_csv(
             columnNameOfCorruptRecord=_RECORD,
             enforceSchema=True,
             multiLine=whole,
+            columnPruning=False,  # a parser that skips columns no longer sees how wide a row is
         )
         return reader.csv(files)
 
