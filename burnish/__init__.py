@@ -20,6 +20,7 @@ from .operators.distinct import (
     duplicate_rows,
     remove_duplicates,
 )
+from .operators.inference import infer_types, scan_csv_typed
 from .operators.preview import preview, to_json_records
 from .operators.report import completeness_split, dtype_distribution, missing_by_column, missing_heat_bucket
 from .operators.rules import expire_rows, regex_rule, unique_rule
@@ -39,9 +40,7 @@ from .plans import (
 from .sources import (
     admit_files,
     first_n,
-    infer_types,
     scan_csv,
-    scan_csv_typed,
     scan_parquet,
     size_mb,
     with_chunk,

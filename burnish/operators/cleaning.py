@@ -25,7 +25,7 @@ from ..functions import (
 )
 from ..functions.names import distinct_names
 from .distinct import columns_by_type, value_counts
-from .probe import probe
+from .probe import maybe_numeric
 from .statistics import exact_medians
 
 
@@ -199,8 +199,7 @@ def filled_flags(texts: dict[str, Column]) -> Column:
 def numeric_texts(df: DataFrame, texts: dict[str, Column] | None = None) -> TextFacts:
     """Find the text columns whose every value is a number: a short probe, then one pass."""
     texts = {n: col(n) for n in string_columns(df)} if texts is None else texts
-    shown = probe(df, [], texts).texts
-    texts = {n: c for n, c in texts.items() if n not in shown}
+    texts = maybe_numeric(df, texts)
     if not texts:
         return TextFacts((), ())
     return read_text_facts(texts, df.agg(*text_fact_columns(texts), filled_flags(texts)).first())

@@ -158,8 +158,10 @@ def _surplus_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one."""
+def duplicate_rows(df: DataFrame, *, strategy: str = "rows", max_lookup: int = ONE_TASK_ROWS) -> DataFrame:
+    """One row: how many rows repeat an earlier one. `strategy` is that of `remove_duplicates`."""
+    if split := _split(df, strategy, max_lookup):
+        df = split[1]
     return _surplus_rows(df).select((F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
@@ -180,23 +182,30 @@ def _row_hash(df: DataFrame):
     return F.xxhash64(nulls, *[col(n) for n in df.columns])
 
 
-def remove_duplicates(df: DataFrame, *, strategy: str = "rows", max_lookup: int = ONE_TASK_ROWS) -> DataFrame:
-    """Keep one of each group of equal rows; nulls equal nulls.
-
-    `rows` shuffles the rows once, folding the copies within each task first. `hash` is for wide
-    rows with few copies: it shuffles an 8-byte hash per row, lets every row whose hash is its own
-    pass where it is, and compares only the rest in full. That needs the repeated hashes on every
-    executor, so they are counted first; more than `max_lookup` of them fall back to `rows`.
-    """
+def _split(df: DataFrame, strategy: str, max_lookup: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows whose hash is their own, and the others; None for whole-row comparison."""
     if strategy == "rows":
-        return df.dropDuplicates()
+        return None
     if strategy != "hash":
         raise ValueError(f"strategy must be 'rows' or 'hash', not {strategy!r}")
     hashed = df.withColumn("__hash", _row_hash(df))
     repeated = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
     if repeated.count() > max_lookup:
-        return df.dropDuplicates()
+        return None
     lookup = F.broadcast(repeated)
     alone = hashed.join(lookup, "__hash", "left_anti").drop("__hash")
-    suspects = hashed.join(lookup, "__hash", "left_semi").drop("__hash")
-    return alone.unionByName(suspects.dropDuplicates())
+    return alone, hashed.join(lookup, "__hash", "left_semi").drop("__hash")
+
+
+def remove_duplicates(df: DataFrame, *, strategy: str = "rows", max_lookup: int = ONE_TASK_ROWS) -> DataFrame:
+    """Keep one of each group of equal rows; nulls equal nulls.
+
+    `rows` shuffles the rows once, folding the copies within each task first. `hash` is for wide
+    rows with few copies: it shuffles an 8-byte hash per row, lets every row whose hash is its own
+    pass where it is, and compares only the rest in full. That needs the repeated hashes on every
+    executor, so they are counted first; more than `max_lookup` of them fall back to `rows`.
+    """
+    if split := _split(df, strategy, max_lookup):
+        alone, suspects = split
+        return alone.unionByName(suspects.dropDuplicates())
+    return df.dropDuplicates()

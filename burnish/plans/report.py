@@ -12,6 +12,7 @@ from ..functions import (
     groupable_columns,
     is_boolean_text,
     is_missing,
+    is_number_text,
     literal_rows,
     percent,
     present,
@@ -23,17 +24,24 @@ from ..operators.distinct import duplicate_estimate, duplicate_rows, label_disti
 from ..operators.probe import probe
 from ..operators.samples import sample_values
 from ..options import DISTINCT_CAP
+from ..sources.files import size_mb
 
 
-def table_profile(df: DataFrame, *, duplicates: str = "exact", order_by: str | None = None) -> DataFrame:
-    """One row: table counts and duplicate rows, exact or estimated from the first rows by `order_by`."""
+def table_profile(
+    df: DataFrame, *, duplicates: str = "exact", order_by: str | None = None, path: str | None = None
+) -> DataFrame:
+    """One row: table counts and duplicate rows, exact or estimated from the first rows by `order_by`.
+
+    `path` adds the size of the files there, in MiB.
+    """
     if duplicates == "exact":
         copies = duplicate_rows(df)
     elif duplicates == "estimate" and order_by is not None:
         copies = duplicate_estimate(df, order_by)
     else:
         raise ValueError("duplicates must be 'exact', or 'estimate' with order_by")
-    return table_counts(df).withColumn("duplicate_rows", copies.scalar())
+    profile = table_counts(df).withColumn("duplicate_rows", copies.scalar())
+    return profile if path is None else profile.withColumn("size_mb", size_mb(df.sparkSession, path).scalar())
 
 
 def _inferred(row, i: int, field: T.StructField, text: int | None, total: int) -> str:
@@ -59,9 +67,9 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     fields = list(body.schema)
     names = groupable_columns(body)
     texts = {n: col(n) for n in string_columns(body)}
-    first = probe(body, names, texts)
+    first = probe(body, names, {n: is_number_text(c) for n, c in texts.items()})
     many = first.many(DISTINCT_CAP)
-    texts = {n: c for n, c in texts.items() if n not in first.texts}
+    texts = {n: c for n, c in texts.items() if n not in first.failed}
     aggregates = [F.count(F.lit(1)).alias("total"), *text_fact_columns(texts)]
     for i, field in enumerate(fields):
         aggregates.append(F.count_if(is_missing(field)).alias(f"missing{i}"))
@@ -97,7 +105,7 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     return profile
 
 
-def quality_report_json(df: DataFrame, order_by: str) -> DataFrame:
+def quality_report_json(df: DataFrame, order_by: str, *, path: str | None = None) -> DataFrame:
     """One row, one JSON text: the table profile with the column profiles nested by column name."""
     columns = column_profile(df, order_by)
     entry = F.struct(
@@ -106,5 +114,5 @@ def quality_report_json(df: DataFrame, order_by: str) -> DataFrame:
     )
     by_name = columns.agg(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("entry")))).alias("all"))
     nested = by_name.select(F.map_from_entries(F.col("all.entry")).alias("column_analysis")).scalar()
-    table = table_profile(df.drop(order_by)).withColumn("column_analysis", nested)
+    table = table_profile(df.drop(order_by), path=path).withColumn("column_analysis", nested)
     return table.select(F.to_json(F.struct("*")).alias("quality_report"))

@@ -1,6 +1,6 @@
 """Reading, writing, admitting and ordering data."""
 
-from .csv import header_names, infer_types, scan_csv, scan_csv_typed, write_csv
+from .csv import header_names, scan_csv, write_csv
 from .files import admit_files, scan_parquet, size_mb, working_dir
 from .order import first_n, with_chunk, with_row_index
 
@@ -8,9 +8,7 @@ __all__ = [
     "admit_files",
     "first_n",
     "header_names",
-    "infer_types",
     "scan_csv",
-    "scan_csv_typed",
     "scan_parquet",
     "size_mb",
     "with_chunk",

@@ -8,18 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import (
-    as_missing,
-    col,
-    csv_header_names,
-    is_boolean_text,
-    is_integer_text,
-    is_number_text,
-    string_columns,
-    to_boolean,
-    to_double,
-    to_long,
-)
+from ..functions import as_missing, col, csv_header_names
 
 _RECORD = "__record"
 
@@ -128,41 +117,6 @@ def scan_csv(
     return df.select(*[as_missing(col(n)).alias(n) for n in names]) if na else df
 
 
-def scan_csv_typed(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    """A CSV scan with each column as bigint, double, boolean or text, whichever holds all values."""
-    return infer_types(scan_csv(spark, path, **options))
-
-
-def infer_types(df: DataFrame) -> DataFrame:
-    """Give text columns the narrowest type that all their values fit, found in one pass.
-
-    Whole numbers with gaps become double and booleans with gaps stay text, as in pandas.
-    """
-    names = string_columns(df)
-    if not names:
-        return df
-    counts = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        c = col(n)
-        counts += [
-            F.count(c).alias(f"filled{i}"),
-            F.count_if(~is_number_text(c)).alias(f"text{i}"),
-            F.count_if(~is_integer_text(c)).alias(f"fraction{i}"),
-            F.count_if(~is_boolean_text(c)).alias(f"other{i}"),
-        ]
-    facts = df.agg(*counts).first()
-    typed = {}
-    for i, n in enumerate(names):
-        full = facts[f"filled{i}"] == facts["rows"]
-        if facts["rows"] == 0:
-            continue
-        if facts[f"text{i}"] == 0:
-            typed[n] = to_long(col(n)) if full and facts[f"fraction{i}"] == 0 else to_double(col(n))
-        elif full and facts[f"other{i}"] == 0:
-            typed[n] = to_boolean(col(n))
-    return df.select(*[typed[n].alias(n) if n in typed else col(n) for n in df.columns])
-
-
 def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str | None = None) -> None:
     """Write with a header, nulls as empty fields, booleans as `True` and `False`.
 

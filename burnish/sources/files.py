@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,11 @@ def working_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once to the shared folder and read back from there."""
-    working_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once as parquet to the shared folder and read back from there.
+
+    Unlike a checkpoint, the table can be read by column. It stays until the folder is cleaned up.
+    """
+    path = f"{working_dir(df.sparkSession)}/burnish-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import col
 from ..options import CHUNK_ROWS
-from .files import checkpointed
+from .files import materialized
 
 _POSITION = "__position"
 _PARTITION = "__partition"
@@ -22,13 +22,14 @@ def with_row_index(df: DataFrame, order_by: str | None = None, *, name: str = "r
     Each partition is counted on its own and starts where the one before it ends, so no task ever
     orders the whole table. With `order_by` the table is range-partitioned; the position in the
     input breaks ties, which also splits a key or a row that fills a large share of the table. The
-    numbered rows are checkpointed first: counting and numbering must see the same partitions.
+    placed rows are written to the shared folder first: counting and numbering must see the same
+    partitions, even if an executor is lost in between.
     """
     position = F.monotonically_increasing_id()
     if order_by is not None:
         arrival = "__arrival"
         df = df.withColumn(arrival, position).orderBy(col(order_by), col(arrival)).drop(arrival)
-    placed = checkpointed(df.withColumn(_POSITION, position))
+    placed = materialized(df.withColumn(_POSITION, position))
     placed = placed.withColumn(_PARTITION, F.shiftright(_POSITION, _PARTITION_BITS))
 
     # One row per partition: bounded by the number of tasks, small enough for one window and a

@@ -126,6 +126,11 @@ def duplicate_exact(spark, sf_dir):
     return b.duplicate_rows(view(spark, sf_dir, "copied_events"))
 
 
+@check("SELECT count(*) - count(DISTINCT text) AS duplicate_rows FROM documents")
+def duplicate_exact_by_hash(spark, sf_dir):
+    return b.duplicate_rows(table(spark, sf_dir, "documents").select("text"), strategy="hash")
+
+
 def stats_sql(columns: list[str], source: str) -> str:
     return per_column(
         columns,

@@ -26,6 +26,9 @@ def _rows(names, rows):
     return sorted(([_plain(r[i]) for i in order] for r in rows), key=repr)
 
 
+# Joins that pair every row with every row, and Python inside the plan.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas")
+
 KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
          "TIMESTAMP": "timestamp_ntz"}
 
@@ -33,6 +36,9 @@ KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "s
 def compare(spark, con, sf_dir, query, sql) -> str | None:
     """None if both agree, else what differs."""
     df = query(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if found := [w for w in UNWANTED if w in plan]:
+        return f"plan has {found}"
     result = con.execute(sql)
     described = [(d[0], str(d[1])) for d in result.description]
     expected = result.fetchall()

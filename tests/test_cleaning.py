@@ -22,7 +22,7 @@ def test_duplicates_treat_nulls_as_equal(frame):
     assert rows(b.remove_duplicates(df)) == sorted(kept, key=repr)
     assert rows(b.remove_duplicates(df, strategy="hash")) == sorted(kept, key=repr)
     assert rows(b.remove_duplicates(df, strategy="hash", max_lookup=1)) == sorted(kept, key=repr)
-    assert b.duplicate_rows(df).first()[0] == 2
+    assert b.duplicate_rows(df).first()[0] == b.duplicate_rows(df, strategy="hash").first()[0] == 2
 
 
 def test_hash_duplicates_agree_on_signed_zero_nan_and_moved_nulls(frame):

@@ -2,11 +2,9 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 import burnish as b
-from checks import CHECKS
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,21 +13,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def optimized(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
-
-
 def table(spark, name):
     return b.scan_parquet(spark, SF, name)
 
 
-@pytest.mark.parametrize("name", sorted(CHECKS))
-def test_no_cross_join_and_no_python(spark, name):
-    text = plan(CHECKS[name].query(spark, SF))
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
-        assert word not in text
-
-
 def test_only_needed_columns_are_read(spark):
     lineitem = table(spark, "lineitem")
     gaps = lineitem.withColumn("l_tax", F.when(F.col("l_tax") > 0, F.col("l_tax")))
