@@ -6,21 +6,35 @@ input; so a pattern decides what is a number and `try_cast` does the rest.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The number grammar of pandas' to_numeric.
+# The number grammar of pandas' to_numeric, and the whole numbers it holds.
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*\z"
 NUMBER_PATTERN = (
     r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
-    r"|^\s*[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?\s*\z"
+    r"|^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?\z"
 )
+LEAST_WHOLE, LARGEST_WHOLE = Decimal(-(2**63)), Decimal(2**64 - 1)
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
 def is_number_text(c: Column) -> Column:
-    """True for a text that reads as a number; an empty text reads as missing, so it passes."""
-    return (c == "") | c.rlike(NUMBER_PATTERN)
+    """True for a text that reads as a number; an empty text reads as missing, so it passes.
+
+    Numbers too large for a double, and whole numbers of more than 64 bits, do not count: they stay
+    text rather than lose digits.
+    """
+    short = (F.length(c) <= 18) & ~c.rlike("[eE]")
+    whole = c.try_cast("decimal(38,0)").between(LEAST_WHOLE, LARGEST_WHOLE)
+    in_range = (
+        F.when(short, True)
+        .when(c.rlike(INTEGER_PATTERN), F.coalesce(whole, F.lit(False)))
+        .otherwise(F.abs(to_double(c)) < float("inf"))
+    )
+    return (c == "") | (c.rlike(NUMBER_PATTERN) & in_range)
 
 
 def is_integer_text(c: Column) -> Column:

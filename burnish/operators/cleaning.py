@@ -97,14 +97,11 @@ def modes(df: DataFrame, columns: list[str], dtype: T.DataType) -> DataFrame:
     gathers the values of a column.
     """
     counted = value_counts(df, columns, dtype)
-    best = counted.groupBy("column").agg(
+    best = counted.groupBy("position").agg(
         F.min_by("value", F.struct(-F.col("occurrences"), F.col("value"))).alias("value")
     )
-    return best.agg(
-        F.struct(
-            *[F.max(F.when(F.col("column") == n, F.col("value"))).alias(f"c{i}") for i, n in enumerate(columns)]
-        )
-    )
+    at = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(f"c{i}") for i in range(len(columns))]
+    return best.agg(F.struct(*at))
 
 
 def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

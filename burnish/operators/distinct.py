@@ -47,11 +47,10 @@ def columns_by_type(df: DataFrame, columns: list[str]) -> dict[T.DataType, list[
 
 
 def value_counts(df: DataFrame, columns: list[str], dtype: T.DataType) -> DataFrame:
-    """(column, value, occurrences) for columns of one type; missing values are left out."""
+    """(position, value, occurrences) for columns of one type; missing values are left out."""
     fields = {f.name: f for f in df.schema}
     values = df.select(*[present(fields[n]).cast(dtype).alias(n) for n in columns])
-    counted = column_values(values, columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("occurrences"))
-    return counted.select(name_at(columns).alias("column"), "value", "occurrences")
+    return column_values(values, columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
@@ -68,7 +67,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: b
         rows = [F.struct(F.lit(n).alias("column"), F.col(f"u{i}").alias("unique_values")) for i, n in enumerate(names)]
         return wide.select(F.inline(F.array(*rows)))
     counted = [
-        value_counts(df, family, dtype).groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+        value_counts(df, family, dtype)
+        .groupBy("position")
+        .agg(F.count(F.lit(1)).alias("unique_values"))
+        .select(name_at(family).alias("column"), "unique_values")
         for dtype, family in columns_by_type(df, names).items()
     ]
     # A column with nothing but missing values has no group, yet belongs in the answer.

@@ -66,13 +66,15 @@ def scan_csv(
     bad_lines: str = "error",
     na: bool = True,
     separator: str = ",",
+    position: str | None = None,
 ) -> DataFrame:
     """Every column of a CSV file, or of a folder of them with the same header, as text.
 
     `multi_line` None looks for quoted line breaks first and gives up splitting only the files that
     have them; True or False skips that look. `bad_lines` decides on rows with more fields than the
     header: `skip` drops them, `error` fails the query that meets one. Short rows are padded with
-    nulls. `na` turns the missing-value tokens into nulls.
+    nulls. `na` turns the missing-value tokens into nulls. `position` names a column to add that
+    orders the rows by file, block and place in the block, whatever order Spark packs the files in.
     """
     if bad_lines not in ("skip", "error"):
         raise ValueError(f"bad_lines must be 'skip' or 'error', not {bad_lines!r}")
@@ -92,7 +94,11 @@ def scan_csv(
             multiLine=whole,
             columnPruning=False,  # a parser that skips columns no longer sees how wide a row is
         )
-        return reader.csv(files)
+        df = reader.csv(files)
+        if position is None:
+            return df
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        return df.withColumn(position, F.struct(*[p.alias(n) for p, n in zip(place, ("file", "block", "row"))]))
 
     if multi_line is None:
         broken = _files_with_line_breaks(spark, paths)
@@ -113,8 +119,8 @@ def scan_csv(
     else:
         message = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(_RECORD, 1, 200))
         df = df.filter(F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True))
-    df = df.select(*[col(n) for n in names])
-    return df.select(*[as_missing(col(n)).alias(n) for n in names]) if na else df
+    kept = [as_missing(col(n)).alias(n) if na else col(n) for n in names]
+    return df.select(*kept, *([col(position)] if position is not None else []))
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str | None = None) -> None:

@@ -46,6 +46,17 @@ def test_line_breaks_are_looked_for_per_file(spark, csv):
     assert df.count() == 4 and df.filter("a = '5'").count() == 1
 
 
+def test_position_orders_rows_by_file(spark, csv):
+    for name, count in (("a", 5), ("b", 3_000), ("c", 40)):
+        path = csv("v\n" + "".join(f"{name}{i:04}\n" for i in range(count)), f"{name}.csv", "many")
+    df = b.scan_csv(spark, path.rsplit("/", 1)[0], position="at")
+    want = [f"a{i:04}" for i in range(5)] + [f"b{i:04}" for i in range(3_000)] + [f"c{i:04}" for i in range(40)]
+    assert [r["v"] for r in b.first_n(df, 7, "at").collect()] == want[:7]
+    assert [r["v"] for r in b.first_n(df, 1_000, "at").collect()] == want[:1_000]
+    assert [r["v"] for r in b.with_row_index(df, "at").orderBy("row_idx").collect()] == want
+    assert b.sample_values(df, "at").filter("column = 'v'").first()["sample_values"] == want[:3]
+
+
 def test_long_and_short_rows(spark, csv):
     path = csv('a,b\n1,2\n3\n4,5,6\n7,8,,\n9,10,,12\n"x,y,z",11\n,\n')
     kept = sorted([("1", "2"), ("3", None), ("x,y,z", "11"), (None, None)], key=repr)

@@ -19,10 +19,12 @@ from burnish.functions import (
 ACCEPTED = {
     "12": 12.0, " 12 ": 12.0, "+5": 5.0, "-5": -5.0, ".5": 0.5, "5.": 5.0, "007": 7.0, "1e3": 1000.0,
     "1E-2": 0.01, "inf": float("inf"), "-Infinity": float("-inf"), "12\n": 12.0, "\t3": 3.0,
-    "9223372036854775808": 9223372036854775808.0,
+    "9223372036854775808": 9223372036854775808.0, "18446744073709551615": 18446744073709551615.0,
+    "0" * 60 + "1": 1.0, "1" * 25 + ".": 1111111111111111111111111.0, "1e308": 1e308, "1e-400": 0.0,
 }
 REFUSED = ["12d", "12f", "0x1f", "1_000", "1,000", "True", "NaN", "nan", "  ", "-", ".", "1 2", "٣", "\xa012",
-           "12\x85", "e5", "1e", "--1", "1.2.3"]
+           "12\x85", "e5", "1e", "--1", "1.2.3", " inf", "inf ", "1e310", "-1e400", "1" * 25, "-9223372036854775809",
+           "18446744073709551616"]
 
 
 @pytest.mark.parametrize("text", [*ACCEPTED, *REFUSED, ""])
