@@ -29,7 +29,7 @@ class CleanOptions:
 
     `handle_missing` is one of drop, fill_mean, fill_median, fill_mode; any other value leaves
     missing values alone. `scope` says whether a fill value is taken from the whole table or
-    from each run of `chunk_rows` rows.
+    from each run of `chunk_rows` rows. `dedup_strategy` is that of `remove_duplicates`.
     """
 
     remove_duplicates: bool = False
@@ -39,6 +39,7 @@ class CleanOptions:
     convert_types: bool = False
     scope: str = "table"
     chunk_rows: int = CHUNK_ROWS
+    dedup_strategy: str = "rows"
 
     def __post_init__(self) -> None:
         if self.scope not in ("table", "chunk"):

@@ -66,7 +66,7 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
     if by_chunk:
         out = _filled_by_chunk(df, options, order_by, gaps)
     else:
-        out = remove_duplicates(body) if options.remove_duplicates else df
+        out = remove_duplicates(body, strategy=options.dedup_strategy) if options.remove_duplicates else df
         if options.handle_missing == "drop":
             out = out.na.drop("any", subset=body.columns)
         elif gaps is not None:

@@ -86,18 +86,31 @@ def stream_profile(stream: DataFrame) -> DataFrame:
     return column_missing(stream)
 
 
-def stream_dedup(stream: DataFrame, *, event_time: str | None = None, delay: str | None = None) -> DataFrame:
+def stream_dedup(
+    stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 1
+) -> DataFrame:
     """The first of each group of equal rows.
 
     Without a time column every distinct row stays in the state, as whole-table dedup must. With
     `event_time` and `delay` a row is forgotten once the watermark has passed it, so the state is
     bounded by the rows of that span; copies further apart are kept.
+
+    A streaming dedup shuffles every copy to one task. If one row may fill a large share of a batch,
+    `salts` spreads its copies over that many tasks, which pass on one each; a row's state is then
+    kept once more per salt it was seen with.
     """
-    if event_time is None:
-        return stream.dropDuplicates()
-    if delay is None:
+    if event_time is not None and delay is None:
         raise ValueError("event_time needs a delay such as '10 minutes'")
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(stream.columns)
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.dropDuplicates() if event_time is None else rows.dropDuplicatesWithinWatermark(rows.columns)
+
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, delay)
+    if salts > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+        stream = once(stream.withColumn("__salt", salt)).drop("__salt")
+    return once(stream)
 
 
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -202,6 +202,12 @@ def row_index(spark, sf_dir):
     return b.with_row_index(orders, "o_totalprice")
 
 
+@check("SELECT o_orderkey, o_orderkey AS row_idx FROM orders")
+def parquet_row_index(spark, sf_dir):
+    """The table is stored in the order of its key, which starts at 0."""
+    return b.scan_parquet(spark, sf_dir, "orders", row_index="row_idx").select("o_orderkey", "row_idx")
+
+
 @check("""SELECT o_orderkey // 10000 AS chunk_id, count(*) AS rows_in_chunk, min(o_orderkey) AS first_key,
     max(o_orderkey) AS last_key FROM orders GROUP BY 1""")
 def chunk_rows(spark, sf_dir):

@@ -56,13 +56,9 @@ def _uneven_lines(spark, sf_dir) -> str:
            CASE WHEN p_partkey % 10 = 1 THEN concat(p_type, ',more') WHEN p_partkey % 10 = 2 THEN concat(p_type, ',,')
                 WHEN p_partkey % 10 = 3 THEN NULL WHEN p_partkey % 10 = 4 THEN ',,9' ELSE p_type END) AS value"""
     )
-    header = spark.range(1).selectExpr("'key,name,brand,type' AS value")
-    # One file with its header first: parts keep their order inside a single partition.
-    whole = header.withColumn("at", F.lit(-1)).unionByName(
-        lines.withColumn("at", F.split("value", ",")[0].cast("int"))
-    )
-    whole.repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path + "/csv")
-    return path + "/csv"
+    # One column of whole lines; its name is the header, and no character in it needs quoting.
+    lines.toDF("key,name,brand,type").write.options(header=True, sep="\x01", quote="\x02").csv(path)
+    return path
 
 
 @check("""SELECT CAST(p_partkey AS VARCHAR) AS key, concat(p_name, ', x') AS name, p_brand AS brand,
@@ -95,19 +91,13 @@ def clean_to_csv(spark, sf_dir):
     return written.select(F.lit(result.rows_processed).cast("bigint").alias("rows_processed"), "rows_out")
 
 
-@check("""SELECT CAST(n_regionkey AS VARCHAR) AS id, concat('region-', CAST(n_regionkey AS VARCHAR), '.csv') AS filename,
-    'completed' AS status, count(*) AS rows_processed FROM nation GROUP BY n_regionkey""")
+@check("""SELECT 'orders' AS id, 'orders.csv' AS filename, 'completed' AS status, count(*) AS rows_processed FROM orders
+    UNION ALL SELECT 'part', 'part.csv', 'completed', count(*) FROM part""")
 def run_log(spark, sf_dir):
-    """One cleaning run per region of the nation table, logged and read back."""
+    """One cleaning run per table, logged and read back."""
     path = fresh(spark)
-    counts = table(spark, sf_dir, "nation").groupBy("n_regionkey").count().collect()
-    for row in counts:
-        b.append_run(
-            spark,
-            path,
-            id=str(row["n_regionkey"]),
-            filename=f"region-{row['n_regionkey']}.csv",
-            status="completed",
-            rows_processed=row["count"],
-        )
-    return b.recent_runs(b.read_runs(spark, path)).select("id", "filename", "status", "rows_processed")
+    for name in ("orders", "part"):
+        result = b.clean_to_csv(table(spark, sf_dir, name), f"{path}/{name}.csv", handle_missing="drop")
+        b.append_run(spark, path + "/log", id=name, filename=f"{name}.csv", status="completed",
+                     rows_processed=result.rows_processed)
+    return b.recent_runs(b.read_runs(spark, path + "/log")).select("id", "filename", "status", "rows_processed")

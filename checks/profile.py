@@ -226,7 +226,25 @@ def column_profile_lineitem(spark, sf_dir):
     return b.column_profile(view(spark, sf_dir, "gappy_lineitem"))
 
 
-@check()
+REPORTED = {"o_custkey": "int64", "o_orderstatus": "object", "o_totalprice": "float64", "o_orderpriority": "object"}
+
+
+def report_entry_sql(c: str, dtype: str) -> str:
+    gaps = f"count(*) FILTER (WHERE {c} IS NULL)"
+    first = f"SELECT {c}, o_orderkey FROM d WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 3"
+    return f"""'{c}': {{'dtype': '{dtype}', 'missing_count': (SELECT {gaps} FROM d),
+        'missing_percentage': (SELECT {percent_sql(gaps, "count(*)")} FROM d),
+        'unique_values': (SELECT {label_sql(f"count(DISTINCT {c})")} FROM d),
+        'sample_values': (SELECT list(CAST({c} AS VARCHAR) ORDER BY o_orderkey) FROM ({first}))}}"""
+
+
+@check(f"""WITH d AS ({view_sql('gappy_orders')}), b AS (SELECT * EXCLUDE (o_orderkey) FROM d),
+    t AS ({table_counts_sql('b', ORDERS[1:])})
+    SELECT CAST(to_json({{'total_rows': total_rows, 'total_columns': total_columns, 'total_cells': total_cells,
+        'missing_cells': missing_cells, 'missing_percentage': missing_percentage, 'is_large_file': is_large_file,
+        'duplicate_rows': (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b)),
+        'column_analysis': {{{", ".join(report_entry_sql(c, t) for c, t in REPORTED.items())}}}}}) AS VARCHAR)
+        AS quality_report FROM t""")
 def quality_report_json(spark, sf_dir):
     return b.quality_report_json(view(spark, sf_dir, "gappy_orders"), "o_orderkey")
 

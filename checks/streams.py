@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burnish import streaming as s
+from burnish.functions import literal_rows
 
 from .files import fresh
 from .profile import percent_sql
@@ -78,6 +79,23 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path + "/out").select(F.md5("text").alias("text_md5"), "lang", "source")
 
 
+@check("SELECT event_type, count(*) AS copies_kept FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+def stream_dedup_hot_rows(spark, sf_dir):
+    """Few distinct rows with very many copies each, spread over salts."""
+    path = fresh(spark)
+    rows = _stream(spark, sf_dir).select("event_type", "user_id")
+    _finish(s.stream_to_parquet(s.stream_dedup(rows, salts=4), path + "/out", path + "/state"))
+    return spark.read.parquet(path + "/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("copies_kept"))
+
+
+@check("SELECT count(*) AS rows_read FROM events")
+def stream_rows_read(spark, sf_dir):
+    path = fresh(spark)
+    query = s.stream_to_parquet(_stream(spark, sf_dir), path + "/out", path + "/state")
+    _finish(query)
+    return literal_rows(spark, "rows_read bigint", [(s.rows_read(query),)])
+
+
 @check("SELECT DISTINCT event_id, ts FROM events")
 def stream_dedup_watermark(spark, sf_dir):
     """Every event twice at once; the state only remembers ten minutes."""

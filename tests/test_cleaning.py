@@ -140,6 +140,12 @@ def test_clean_order_and_unknown_method(frame):
     assert rows(b.clean(df, handle_missing="fill_mean", remove_duplicates=True).select("b")) == [(1.0,), (3.0,), (5.0,)]
 
 
+def test_clean_with_hash_dedup(frame):
+    df = frame("a string, b double", [("x", 1.0), ("x", 1.0), ("y", None), ("z", 4.0)])
+    out = b.clean(df, remove_duplicates=True, dedup_strategy="hash", handle_missing="fill_mean")
+    assert rows(out) == [("x", 1.0), ("y", 2.5), ("z", 4.0)]
+
+
 def test_drop_decides_types(frame):
     """A bad value in a row that is dropped does not keep a column from becoming numeric."""
     df = frame("a string, b bigint", [("1", 1), ("x", None)])

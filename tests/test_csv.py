@@ -153,6 +153,13 @@ def test_run_log(spark, tmp_path):
         b.append_run(spark, path, id="x", filename="f", status="started")
 
 
+def test_parquet_row_index_over_many_files(spark, tmp_path):
+    spark.range(0, 1_000, 1, 7).write.parquet(str(tmp_path / "t.parquet"))
+    numbered = b.scan_parquet(spark, str(tmp_path), "t", row_index="n")
+    assert numbered.columns == ["id", "n"]
+    assert numbered.filter("id <> n").count() == 0 and numbered.filter("id = 999").first()["n"] == 999
+
+
 def test_row_index_over_many_partitions(spark):
     df = spark.range(0, 1_000, 1, 7).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS hot")
     in_order = b.with_row_index(df)

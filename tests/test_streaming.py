@@ -72,6 +72,9 @@ def test_dedup(spark, folder, tmp_path):
     values = s.stream_scan(spark, folder, SCHEMA, max_files_per_trigger=1).select("v")
     s.stream_to_parquet(s.stream_dedup(values), out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 10
+    salted = str(tmp_path / "salted")
+    s.stream_to_parquet(s.stream_dedup(values, salts=3), salted, str(tmp_path / "salted_state")).awaitTermination()
+    assert spark.read.parquet(salted).count() == 10
     with pytest.raises(ValueError):
         s.stream_dedup(values, event_time="v")
 
