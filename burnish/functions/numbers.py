@@ -27,7 +27,7 @@ def is_number_text(c: Column) -> Column:
     Numbers too large for a double, and whole numbers of more than 64 bits, do not count: they stay
     text rather than lose digits.
     """
-    short = (F.length(c) <= 18) & ~c.rlike("[eE]")
+    short = (F.length(c) <= 18) & ~c.contains("e") & ~c.contains("E")
     whole = c.try_cast("decimal(38,0)").between(LEAST_WHOLE, LARGEST_WHOLE)
     in_range = (
         F.when(short, True)
@@ -39,7 +39,8 @@ def is_number_text(c: Column) -> Column:
 
 def is_integer_text(c: Column) -> Column:
     """True for a whole number that fits 64 bits; an empty text passes."""
-    return (c == "") | (c.rlike(INTEGER_PATTERN) & to_long(c).isNotNull())
+    fits = F.when(F.length(c) <= 18, True).otherwise(to_long(c).isNotNull())
+    return (c == "") | (c.rlike(INTEGER_PATTERN) & fits)
 
 
 def is_boolean_text(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,7 +162,7 @@ def _surplus_rows(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, *, strategy: str = "rows", max_lookup: int = ONE_TASK_ROWS) -> DataFrame:
     """One row: how many rows repeat an earlier one. `strategy` is that of `remove_duplicates`."""
-    if split := _split(df, strategy, max_lookup):
+    if split := _split(df, df.columns, strategy, max_lookup):
         df = split[1]
     return _surplus_rows(df).select((F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
@@ -178,19 +178,19 @@ def duplicate_estimate(df: DataFrame, order_by: str, *, sample_rows: int = SAMPL
     return _surplus_rows(sample).select(F.floor(share).cast("bigint").alias("duplicate_rows"))
 
 
-def _row_hash(df: DataFrame):
-    """A 64-bit hash of the whole row. `xxhash64` skips nulls, so their places are hashed as well."""
-    nulls = F.concat(*[F.when(col(n).isNull(), "1").otherwise("0") for n in df.columns])
-    return F.xxhash64(nulls, *[col(n) for n in df.columns])
+def _row_hash(names: list[str]) -> Column:
+    """A 64-bit hash of the row. `xxhash64` skips nulls, so their places are hashed as well."""
+    nulls = F.concat(*[F.when(col(n).isNull(), "1").otherwise("0") for n in names])
+    return F.xxhash64(nulls, *[col(n) for n in names])
 
 
-def _split(df: DataFrame, strategy: str, max_lookup: int) -> tuple[DataFrame, DataFrame] | None:
-    """Rows whose hash is their own, and the others; None for whole-row comparison."""
+def _split(df: DataFrame, names: list[str], strategy: str, max_lookup: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows whose hash over `names` is their own, and the others; None for whole-row comparison."""
     if strategy == "rows":
         return None
     if strategy != "hash":
         raise ValueError(f"strategy must be 'rows' or 'hash', not {strategy!r}")
-    hashed = df.withColumn("__hash", _row_hash(df))
+    hashed = df.withColumn("__hash", _row_hash(names))
     repeated = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
     if repeated.count() > max_lookup:
         return None
@@ -199,15 +199,28 @@ def _split(df: DataFrame, strategy: str, max_lookup: int) -> tuple[DataFrame, Da
     return alone, hashed.join(lookup, "__hash", "left_semi").drop("__hash")
 
 
-def remove_duplicates(df: DataFrame, *, strategy: str = "rows", max_lookup: int = ONE_TASK_ROWS) -> DataFrame:
+def remove_duplicates(
+    df: DataFrame, *, strategy: str = "rows", order_by: str | None = None, max_lookup: int = ONE_TASK_ROWS
+) -> DataFrame:
     """Keep one of each group of equal rows; nulls equal nulls.
 
+    `order_by` names a column that is not compared; the first row by it stays. Without it equal rows
+    are the same and any may stay.
+
     `rows` shuffles the rows once, folding the copies within each task first. `hash` is for wide
     rows with few copies: it shuffles an 8-byte hash per row, lets every row whose hash is its own
     pass where it is, and compares only the rest in full. That needs the repeated hashes on every
     executor, so they are counted first; more than `max_lookup` of them fall back to `rows`.
     """
-    if split := _split(df, strategy, max_lookup):
+    names = [n for n in df.columns if n != order_by]
+
+    def first(rows: DataFrame) -> DataFrame:
+        if order_by is None:
+            return rows.dropDuplicates()
+        kept = rows.groupBy(*[col(n) for n in names]).agg(F.min(col(order_by)).alias(order_by))
+        return kept.select(*[col(n) for n in df.columns])
+
+    if split := _split(df, names, strategy, max_lookup):
         alone, suspects = split
-        return alone.unionByName(suspects.dropDuplicates())
-    return df.dropDuplicates()
+        return alone.unionByName(first(suspects))
+    return first(df)

@@ -44,9 +44,10 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
 
     Two facts about the data shape the result: which columns have gaps, and which text columns are
     numbers. Each is looked up at once in one pass without a shuffle; the cleaning itself is lazy.
-    With `scope="chunk"` fill values come from runs of `chunk_rows` rows, placed by `order_by` (a
-    dense row number that takes no part in the cleaning) or else in scan order; duplicates are then
-    not removed first, as fill values would depend on which copies stay.
+    `order_by` names a column that places the rows and takes no part in the cleaning; of equal rows
+    the first stays. With `scope="chunk"` fill values come from runs of `chunk_rows` rows, placed by
+    `order_by` (then a dense row number) or else in scan order; duplicates are then not removed, as
+    fill values would depend on which copies stay.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
     by_chunk = options.scope == "chunk" and options.handle_missing in FILL_METHODS
@@ -66,7 +67,9 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
     if by_chunk:
         out = _filled_by_chunk(df, options, order_by, gaps)
     else:
-        out = remove_duplicates(body, strategy=options.dedup_strategy) if options.remove_duplicates else df
+        out = df
+        if options.remove_duplicates:
+            out = remove_duplicates(df, strategy=options.dedup_strategy, order_by=order_by)
         if options.handle_missing == "drop":
             out = out.na.drop("any", subset=body.columns)
         elif gaps is not None:
@@ -96,10 +99,8 @@ def clean_summary(df: DataFrame, options: CleanOptions | None = None, **chosen)
         rows, rows_in = df, F.count(one)
     kept = F.count(one)
     if options.handle_missing == "drop":
-        gap = F.lit(False)
-        for field in df.schema:
-            gap = gap | is_missing(field)
-        kept = F.count_if(~gap)
+        gaps = F.array(*[is_missing(field) for field in df.schema])
+        kept = F.count_if(~F.array_contains(gaps, True))
     counted = rows.agg(rows_in.alias("rows_in"), F.count(one).alias("rows_after_dedup"), kept.alias("rows_out"))
     return counted.select(
         "*",

@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 from ..functions import as_missing, col, csv_header_names
 
 _RECORD = "__record"
+READ_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": _RECORD,
+    "columnPruning": False,  # a parser that skips columns no longer sees how wide a row is
+}
 
 
 def _paths(path: str | Sequence[str]) -> list[str]:
@@ -25,14 +32,19 @@ def _first_file(spark: SparkSession, paths: list[str]) -> str:
     return first
 
 
+def _header_fields(spark: SparkSession, paths: list[str], separator: str) -> list[str | None]:
+    reader = spark.read.options(header=False, escape='"', multiLine=True, sep=separator)
+    return list(reader.csv(_first_file(spark, paths)).first())
+
+
 def header_names(spark: SparkSession, path: str | Sequence[str], *, separator: str = ",") -> list[str]:
     """Column names of the first file: blank and repeated names are made distinct."""
-    reader = spark.read.options(header=False, escape='"', multiLine=True, sep=separator)
-    row = reader.csv(_first_file(spark, _paths(path))).first()
-    fields = [None if f is None else f for f in row]
-    if fields[0]:
-        fields[0] = fields[0].removeprefix("\ufeff")
-    return csv_header_names(fields)
+    return _names(_header_fields(spark, _paths(path), separator))
+
+
+def _names(fields: list[str | None]) -> list[str]:
+    first = fields[0].removeprefix("\ufeff") if fields[0] else fields[0]
+    return csv_header_names([first, *fields[1:]])
 
 
 def _files_with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
@@ -58,6 +70,24 @@ def _surplus_fields(names: list[str], separator: str) -> Column:
     return F.col(_RECORD).isNotNull() & too_long
 
 
+def with_record(schema: T.StructType) -> T.StructType:
+    """The schema with the column in which Spark keeps records of another width."""
+    return T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
+
+
+def handle_bad_lines(df: DataFrame, names: list[str], bad_lines: str, separator: str = ",") -> DataFrame:
+    """Drop rows of text columns with more fields than `names`, or fail the query that meets one."""
+    surplus = _surplus_fields(names, separator)
+    if bad_lines == "skip":
+        kept = ~surplus
+    elif bad_lines == "error":
+        message = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(_RECORD, 1, 200))
+        kept = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True)
+    else:
+        raise ValueError(f"bad_lines must be 'skip' or 'error', not {bad_lines!r}")
+    return df.filter(kept).drop(_RECORD)
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -76,23 +106,15 @@ def scan_csv(
     nulls. `na` turns the missing-value tokens into nulls. `position` names a column to add that
     orders the rows by file, block and place in the block, whatever order Spark packs the files in.
     """
-    if bad_lines not in ("skip", "error"):
-        raise ValueError(f"bad_lines must be 'skip' or 'error', not {bad_lines!r}")
     paths = _paths(path)
-    names = header_names(spark, paths, separator=separator)
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    schema = T.StructType([*fields, T.StructField(_RECORD, T.StringType())])
+    header = _header_fields(spark, paths, separator)
+    names = _names(header)
+    schema = with_record(T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
     def read(files: list[str], whole: bool) -> DataFrame:
+        # Unless names had to be changed, Spark checks that every file has the same header.
         reader = spark.read.schema(schema).options(
-            header=True,
-            escape='"',
-            sep=separator,
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=_RECORD,
-            enforceSchema=True,
-            multiLine=whole,
-            columnPruning=False,  # a parser that skips columns no longer sees how wide a row is
+            **READ_OPTIONS, sep=separator, multiLine=whole, enforceSchema=header != names
         )
         df = reader.csv(files)
         if position is None:
@@ -113,12 +135,7 @@ def scan_csv(
     else:
         df = read(paths, multi_line)
 
-    surplus = _surplus_fields(names, separator)
-    if bad_lines == "skip":
-        df = df.filter(~surplus)
-    else:
-        message = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(_RECORD, 1, 200))
-        df = df.filter(F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True))
+    df = handle_bad_lines(df, names, bad_lines, separator)
     kept = [as_missing(col(n)).alias(n) if na else col(n) for n in names]
     return df.select(*kept, *([col(position)] if position is not None else []))
 

@@ -63,7 +63,8 @@ def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
     if n < 1:
         return df.limit(0)
     key: Column = col(order_by)
-    keys = df.select(key.alias("k")).filter("k IS NOT NULL")
+    df = df.filter(key.isNotNull())
+    keys = df.select(key.alias("k"))
     if n <= _FEW_ROWS:
         return df.filter(key <= keys.orderBy("k").limit(n).agg(F.max("k")).scalar()).orderBy(key).limit(n)
     # About 20 of the n wanted keys are sampled, so the 60th sampled key lies well behind them.

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import as_missing, col, is_number_text, standard_name
+from ..functions import col, is_number_text, normalize_na, standard_name
 from ..functions.names import distinct_names
 from ..operators.cleaning import drop_missing, trim_whitespace
 from ..operators.counts import column_missing
 from ..options import FILL_METHODS, CleanOptions
 from ..plans.cleaning import clean
+from ..sources.csv import READ_OPTIONS, handle_bad_lines, with_record
 
 _BATCH = "batch_id"
 
@@ -25,28 +26,31 @@ def stream_scan(
     file_format: str = "csv",
     file_names: str | None = None,
     max_files_per_trigger: int | None = None,
+    multi_line: bool = True,
+    bad_lines: str = "error",
     na: bool = True,
 ) -> DataFrame:
     """Files below the folder `path` as a stream, those whose names match the glob `file_names`.
 
-    Missing-value tokens of CSV texts become nulls.
+    For CSV, `multi_line`, `bad_lines` and `na` are those of `scan_csv`, but line breaks in fields
+    are not looked for: a stream cannot read its files beforehand. `bad_lines` needs a schema of
+    text columns only; with others Spark sets values that do not fit to null.
     """
-    reader = spark.readStream.schema(schema).format(file_format)
-    if file_format == "csv":
-        reader = reader.options(header=True, escape='"', multiLine=True)
+    options = {}
     if file_names is not None:
-        reader = reader.option("pathGlobFilter", file_names)
+        options["pathGlobFilter"] = file_names
     if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(path)
-    if file_format == "csv" and na:
-        stream = stream.select(
-            *[
-                as_missing(col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else col(f.name)
-                for f in stream.schema
-            ]
-        )
-    return stream
+        options["maxFilesPerTrigger"] = max_files_per_trigger
+    if file_format != "csv":
+        return spark.readStream.schema(schema).format(file_format).options(**options).load(path)
+
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.readStream.schema(with_record(declared)).format("csv")
+    stream = reader.options(**READ_OPTIONS, **options, multiLine=multi_line).load(path)
+    if all(isinstance(f.dataType, T.StringType) for f in declared):
+        stream = handle_bad_lines(stream, declared.names, bad_lines)
+    stream = stream.select(*[col(n) for n in declared.names])
+    return normalize_na(stream) if na else stream
 
 
 def _as_type(c: Column, dtype: str) -> Column:

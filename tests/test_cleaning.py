@@ -140,6 +140,13 @@ def test_clean_order_and_unknown_method(frame):
     assert rows(b.clean(df, handle_missing="fill_mean", remove_duplicates=True).select("b")) == [(1.0,), (3.0,), (5.0,)]
 
 
+def test_first_of_equal_rows_stays(frame):
+    df = frame("at bigint, v string", [(3, "x"), (1, "x"), (2, None), (5, None), (4, "y")])
+    for strategy in ("rows", "hash"):
+        out = b.clean(df, remove_duplicates=True, dedup_strategy=strategy, order_by="at")
+        assert out.columns == ["at", "v"] and rows(out) == [(1, "x"), (2, None), (4, "y")]
+
+
 def test_clean_with_hash_dedup(frame):
     df = frame("a string, b double", [("x", 1.0), ("x", 1.0), ("y", None), ("z", 4.0)])
     out = b.clean(df, remove_duplicates=True, dedup_strategy="hash", handle_missing="fill_mean")

@@ -70,6 +70,13 @@ def test_long_and_short_rows(spark, csv):
         b.scan_csv(spark, path, bad_lines="warn")
 
 
+def test_files_must_share_the_header(spark, csv):
+    folder = csv("a,b\n1,2\n", "x.csv", "mixed").rsplit("/", 1)[0]
+    csv("b,a\n1,2\n", "y.csv", "mixed")
+    with pytest.raises(Exception, match="(?i)header"):
+        b.scan_csv(spark, folder).collect()
+
+
 def test_one_column(spark, csv):
     path = csv("a\n1\n\n2,3\nNA\n")
     assert rows(b.scan_csv(spark, path, bad_lines="skip")) == [("1",), (None,)]

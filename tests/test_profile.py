@@ -34,6 +34,12 @@ def test_missing_cells_add_up(frame):
     assert sum(r["missing_count"] for r in b.column_missing(df).collect()) == b.table_counts(df).first()["missing_cells"] == 4
 
 
+def test_very_wide_table(spark):
+    df = spark.range(3).selectExpr(*[f"CASE WHEN id = 0 THEN NULL ELSE id END AS c{i}" for i in range(1_500)])
+    assert b.table_counts(df).first()["missing_cells"] == 1_500
+    assert b.clean_summary(df, handle_missing="drop").first()["rows_out"] == 2
+
+
 def test_inferred_types(frame):
     df = frame(
         "i string, f string, t string, g string, x string, e string, b boolean, n int",

@@ -56,6 +56,18 @@ def test_clean(spark, folder, tmp_path):
             s.stream_clean(stream, **refused)
 
 
+def test_bad_lines(spark, folder, tmp_path):
+    with open(folder + "/bad.csv", "w") as late:
+        late.write('k,v\n1,2,3\n4\n"5,5","x\ny"\n')
+    out = str(tmp_path / "out")
+    stream = s.stream_scan(spark, folder, SCHEMA, bad_lines="skip", file_names="bad*.csv")
+    s.stream_to_parquet(stream, out, str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=repr) == [("4", None), ("5,5", "x\ny")]
+    strict = s.stream_scan(spark, folder, SCHEMA)
+    with pytest.raises(Exception, match="more than 2 fields"):
+        s.stream_to_parquet(strict, out + "2", str(tmp_path / "state2")).awaitTermination()
+
+
 def test_fill_per_batch(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     numbers = s.stream_clean(s.stream_scan(spark, folder, SCHEMA, max_files_per_trigger=1),
