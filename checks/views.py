@@ -37,7 +37,7 @@ VIEWS = {
         SELECT o_orderkey AS row_idx, o_custkey % 40 AS bucket, o_orderstatus,
                CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
         FROM {orders}""",
-    # Every tenth event twice, a third of the rows the same row.
+    # Every event twice, and as many copies of one row again: a third of the table.
     "copied_events": """
         SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS user_id, event_type,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
@@ -45,10 +45,10 @@ VIEWS = {
         UNION ALL
         SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS user_id, event_type,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
-        FROM {events} WHERE event_id % 10 = 0
+        FROM {events}
         UNION ALL
         SELECT -1 AS event_id, NULL AS user_id, 'hot' AS event_type, 1.5 AS value
-        FROM {events} WHERE event_id % 2 = 0""",
+        FROM {events}""",
     # Padded texts and odd column names.
     "padded_part": """
         SELECT p_partkey AS " P Key ",
