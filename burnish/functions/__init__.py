@@ -7,13 +7,14 @@ from .columns import (
     groupable_columns,
     numeric_columns,
     present,
+    quoted,
     string_columns,
 )
 from .missing import NA_TOKENS, as_missing, is_missing, normalize_na
 from .names import csv_header_names, short_name, standard_name
 from .numbers import is_boolean_text, is_integer_text, is_number_text, to_boolean, to_double, to_long
 from .ratio import percent
-from .rows import column_values, literal_rows, name_at
+from .rows import column_values, literal_of, literal_rows, name_at
 from .text import WHITESPACE, strip
 
 __all__ = [
@@ -30,12 +31,14 @@ __all__ = [
     "is_integer_text",
     "is_missing",
     "is_number_text",
+    "literal_of",
     "literal_rows",
     "name_at",
     "normalize_na",
     "numeric_columns",
     "percent",
     "present",
+    "quoted",
     "short_name",
     "standard_name",
     "string_columns",

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A name as Spark parses it: dots, blanks and backticks are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """A column by its exact name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(quoted(name))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import col
 
@@ -29,6 +30,12 @@ def literal_rows(spark: SparkSession, schema: str, rows: Sequence[Sequence]) ->
     return found if rows else found.limit(0)
 
 
+def literal_of(value: object, dtype: T.DataType) -> Column:
+    """A constant of the given type for a value read from a row, a struct included."""
+    constant = F.struct(*map(F.lit, value)) if isinstance(value, Row) else F.lit(value)
+    return constant.cast(dtype)
+
+
 def column_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(position, value) for every filled cell of columns of one type, next to the columns to `keep`.
 

@@ -17,6 +17,7 @@ from ..functions import (
     is_number_text,
     numeric_columns,
     present,
+    quoted,
     standard_name,
     string_columns,
     strip,
@@ -29,9 +30,9 @@ from .probe import maybe_numeric
 from .statistics import exact_medians
 
 
-def drop_missing(df: DataFrame) -> DataFrame:
-    """Drop rows with any missing value."""
-    return df.na.drop("any")
+def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Drop rows with any missing value, in any column or in the given ones."""
+    return df.na.drop("any", subset=[quoted(n) for n in (df.columns if columns is None else columns)])
 
 
 def missing_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:

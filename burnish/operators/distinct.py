@@ -75,7 +75,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: b
     ]
     # A column with nothing but missing values has no group, yet belongs in the answer.
     zero = literal_rows(df.sparkSession, "column string, unique_values bigint", [(n, 0) for n in names])
-    return reduce(DataFrame.unionByName, counted, zero).groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
+    every = reduce(DataFrame.unionByName, counted, zero)
+    return every.groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
 
 
 def plentiful(df: DataFrame, columns: list[str], rows: int, *, cap: int = DISTINCT_CAP) -> list[str]:

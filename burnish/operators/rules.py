@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col, percent
+from .cleaning import drop_missing
 
 # Fixed value: the pattern an e-mail address must match.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -26,7 +27,7 @@ def regex_rule(df: DataFrame, column: str, pattern: str = EMAIL_PATTERN) -> Data
 def unique_rule(df: DataFrame, *columns: str) -> DataFrame:
     """Values that occur more than once, with their number; missing values do not count as equal."""
     keys = [col(c) for c in columns]
-    filled = df.na.drop("any", subset=list(columns))
+    filled = drop_missing(df, list(columns))
     return filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
 

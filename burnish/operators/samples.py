@@ -2,51 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col, column_values, literal_rows, name_at, present
+from ..functions import col, column_values, literal_of, literal_rows, name_at, present
 from ..options import SAMPLE_VALUES
 from ..sources.order import first_n
 
 PREFIX_ROWS = 100
 
 
-def sample_values(df: DataFrame, order_by: str, *, n: int = SAMPLE_VALUES, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
+def _rows_behind(texts: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The rows that hold the first `n` values of columns whose values lie far behind.
+
+    Each pass finds the next smallest key for all of the columns at once.
+    """
+    dtype = texts.schema["__row"].dataType
+    last: dict[str, Column] = {}
+    keys: list[Column] = []
+    for _ in range(n):
+        following = []
+        for c in columns:
+            wanted = F.col(c).isNotNull()
+            if c in last:
+                wanted = wanted & (F.col("__row") > last[c])
+            following.append(F.min(F.when(wanted, F.col("__row"))).alias(c))
+        found = texts.agg(*following).first()
+        columns = [c for c in columns if found[c] is not None]
+        if not columns:
+            break
+        last = {c: literal_of(found[c], dtype) for c in columns}
+        keys += last.values()
+    return texts.filter(F.col("__row").isin(*keys)) if keys else texts.limit(0)
+
+
+def sample_values(
+    df: DataFrame,
+    order_by: str,
+    *,
+    n: int = SAMPLE_VALUES,
+    empty: Sequence[str] = (),
+    prefix_rows: int = PREFIX_ROWS,
+) -> DataFrame:
     """(column, sample_values): the first `n` non-missing values of each column by `order_by`, as text.
 
-    Nearly always the first rows hold them, and those are cheap to read. A column with too few values
-    there is searched in the whole table for its `n` smallest keys, reading that column and the key.
+    Nearly always the first rows hold them, and those are cheap to read. Columns with too few values
+    there are searched in the whole table, all of them together. `empty` names columns known to have
+    no value at all.
     """
     fields = {f.name: f for f in df.schema}
-    names = df.columns
+    names = [c for c in df.columns if c not in empty]
     texts = df.select(
         col(order_by).alias("__row"),
         *[present(fields[c]).cast("string").alias(f"v{i}") for i, c in enumerate(names)],
     )
     prefix = first_n(texts, prefix_rows, "__row")
-    found = prefix.agg(F.count(F.lit(1)), *[F.count(f"v{i}") for i in range(len(names))]).first()
-    whole = found[0] < prefix_rows
-    short = [i for i in range(len(names)) if found[i + 1] < n and not whole]
-
-    def long(source: DataFrame, wanted: list[int]) -> DataFrame:
-        pairs = column_values(source, [f"v{i}" for i in wanted], keep=["__row"])
-        return pairs.select("__row", name_at([names[i] for i in wanted]).alias("column"), "value")
-
-    parts = [long(prefix, [i for i in range(len(names)) if i not in short])] if len(short) < len(names) else []
-    for i in short:
-        rows = texts.select("__row", f"v{i}").filter(F.col(f"v{i}").isNotNull())
-        parts.append(long(rows.orderBy("__row").limit(n), [i]))
+    found = prefix.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in texts.columns[1:]]).first()
+    behind = [c for c in texts.columns[1:] if found[c] < n and found["rows"] >= prefix_rows]
+
+    def long(source: DataFrame, columns: list[str]) -> DataFrame:
+        cells = column_values(source, columns, keep=["__row"])
+        return cells.select("__row", name_at([names[int(c[1:])] for c in columns]).alias("column"), "value")
+
+    parts = [long(prefix, [c for c in texts.columns[1:] if c not in behind])] if len(behind) < len(names) else []
+    if behind:
+        parts.append(long(_rows_behind(texts.select("__row", *behind), behind, n), behind))
     rank = F.row_number().over(W.partitionBy("column").orderBy("__row"))
     kept = reduce(DataFrame.unionByName, parts).withColumn("__rank", rank).filter(F.col("__rank") <= n)
     collected = kept.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))).getField("value").alias("sample_values")
     )
-    labels = literal_rows(df.sparkSession, "column string", [(c,) for c in names])
-    empty = F.array().cast("array<string>")
+    labels = literal_rows(df.sparkSession, "column string", [(c,) for c in df.columns])
+    none = F.array().cast("array<string>")
+    # One row per column of the table.
     return labels.join(F.broadcast(collected), "column", "left").select(
-        "column", F.coalesce("sample_values", empty).alias("sample_values")
+        "column", F.coalesce("sample_values", none).alias("sample_values")
     )

@@ -72,7 +72,9 @@ class _Bracket:
         return replace(other, below=below, inside=inside, stuck=inside > self.inside / 2)
 
 
-def exact_medians(df: DataFrame, columns: list[str], *, one_task_rows: int = MEDIAN_TASK_ROWS) -> dict[str, float | None]:
+def exact_medians(
+    df: DataFrame, columns: list[str], *, one_task_rows: int = MEDIAN_TASK_ROWS
+) -> dict[str, float | None]:
     """The exact median of each column, whatever the size of the table.
 
     Spark's own `median` gathers every distinct value in one task, which suits small tables only.

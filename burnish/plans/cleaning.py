@@ -71,7 +71,7 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
         if options.remove_duplicates:
             out = remove_duplicates(df, strategy=options.dedup_strategy, order_by=order_by)
         if options.handle_missing == "drop":
-            out = out.na.drop("any", subset=body.columns)
+            out = drop_missing(out, body.columns)
         elif gaps is not None:
             out = _FILLS[options.handle_missing](out, gaps)
     if options.trim_whitespace:

@@ -100,7 +100,8 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     # Both frames have one row per column of the table.
     profile = profile.join(F.broadcast(labels), "column", "left")
     if order_by is not None:
-        samples = sample_values(df, order_by)
+        empty = [f.name for i, f in enumerate(fields) if row[f"missing{i}"] == total]
+        samples = sample_values(df, order_by, empty=empty)
         profile = profile.join(F.broadcast(samples), "column", "left")
     return profile
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col
+from ..functions import col, literal_of
 from ..options import CHUNK_ROWS
 from .files import materialized
 
@@ -71,9 +71,7 @@ def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
     sampled = keys.sample(20 / n, seed=7).orderBy("k").limit(60)
     bound = sampled.agg(F.max("k").alias("k"), F.count("k").alias("n")).first()
     if bound["n"] == 60:
-        value = bound["k"]
-        last = F.struct(*map(F.lit, value)) if isinstance(value, Row) else F.lit(value)
-        last = last.cast(df.schema[order_by].dataType)
+        last = literal_of(bound["k"], df.schema[order_by].dataType)
         if keys.filter(F.col("k") <= last).count() >= n:
             df = df.filter(key <= last)
     return df.orderBy(key).limit(n)

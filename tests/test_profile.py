@@ -80,6 +80,15 @@ def test_samples_spill_over_and_reach_the_end(spark):
         "CAST(NULL AS STRING) AS never")
     got = {r["column"]: r["sample_values"] for r in b.sample_values(df, "k").collect()}
     assert got == {"k": ["0", "1", "2"], "late": ["4998", "4999"], "odd": ["1", "3", "5"], "never": []}
+    assert {r["column"]: r["sample_values"] for r in b.column_profile(df, "k").collect()}["late"] == ["4998", "4999"]
+
+
+def test_samples_far_apart_in_several_columns(spark):
+    df = spark.range(0, 5_000, 1, 4).selectExpr(
+        "named_struct('f', 'x', 'n', id) AS k", "CASE WHEN id % 1000 = 7 AND id > 500 THEN id END AS a",
+        "CASE WHEN id IN (700, 1007, 4000, 4001) THEN id END AS b")
+    got = {r["column"]: r["sample_values"] for r in b.sample_values(df, "k").collect()}
+    assert got["a"] == ["1007", "2007", "3007"] and got["b"] == ["700", "1007", "4000"]
 
 
 def test_first_rows(spark):
