@@ -25,6 +25,7 @@ from ..operators.cleaning import (
 from ..operators.distinct import remove_duplicates
 from ..options import FILL_METHODS, CleanOptions
 from ..sources.csv import write_csv
+from ..sources.files import materialized
 from ..sources.order import with_chunk, with_row_index
 
 _ROW, _CHUNK = "__row", "__chunk"
@@ -43,7 +44,8 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
     """Clean a table: duplicates, names, missing values, trim, types, each if chosen.
 
     Two facts about the data shape the result: which columns have gaps, and which text columns are
-    numbers. Each is looked up at once in one pass without a shuffle; the cleaning itself is lazy.
+    numbers. Each is looked up at once in one pass without a shuffle; the cleaning itself is lazy,
+    but for medians after dedup, for which the distinct rows are written to the shared folder once.
     `order_by` names a column that places the rows and takes no part in the cleaning; of equal rows
     the first stays. With `scope="chunk"` fill values come from runs of `chunk_rows` rows, placed by
     `order_by` (then a dense row number) or else in scan order; duplicates are then not removed, as
@@ -70,6 +72,9 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
         out = df
         if options.remove_duplicates:
             out = remove_duplicates(df, strategy=options.dedup_strategy, order_by=order_by)
+            if gaps and options.handle_missing == "fill_median":
+                # Medians take several passes; each would shuffle the whole table again.
+                out = materialized(out)
         if options.handle_missing == "drop":
             out = drop_missing(out, body.columns)
         elif gaps is not None:

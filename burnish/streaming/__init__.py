@@ -8,6 +8,7 @@ from .files import (
     stream_dedup,
     stream_profile,
     stream_scan,
+    stream_table_counts,
     stream_to_parquet,
     stream_totals,
 )
@@ -20,6 +21,7 @@ __all__ = [
     "stream_dedup",
     "stream_profile",
     "stream_scan",
+    "stream_table_counts",
     "stream_to_parquet",
     "stream_totals",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import col, is_number_text, normalize_na, standard_name
 from ..functions.names import distinct_names
 from ..operators.cleaning import drop_missing, trim_whitespace
-from ..operators.counts import column_missing
+from ..operators.counts import column_missing, table_counts
 from ..options import FILL_METHODS, CleanOptions
 from ..plans.cleaning import clean
 from ..sources.csv import READ_OPTIONS, handle_bad_lines, with_record
@@ -90,6 +90,11 @@ def stream_profile(stream: DataFrame) -> DataFrame:
     return column_missing(stream)
 
 
+def stream_table_counts(stream: DataFrame) -> DataFrame:
+    """Rows, cells and missing cells so far, in one row; write it with `stream_totals`."""
+    return table_counts(stream)
+
+
 def stream_dedup(
     stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 1
 ) -> DataFrame:

@@ -166,6 +166,13 @@ def clean_table(spark, sf_dir):
     return rounded(cleaned, ["user_id", "value"])
 
 
+@check(f"""WITH d AS (SELECT DISTINCT * FROM ({view_sql('copied_events')}))
+    SELECT event_id, coalesce(CAST(user_id AS DOUBLE), (SELECT median(CAST(user_id AS DOUBLE)) FROM d)) AS user_id,
+           event_type, coalesce(value, (SELECT median(value) FROM d)) AS value FROM d""")
+def clean_median(spark, sf_dir):
+    return b.clean(view(spark, sf_dir, "copied_events"), remove_duplicates=True, handle_missing="fill_median")
+
+
 @check(f"""{PADDED} SELECT DISTINCT " P Key " AS p_key, trim("P  Name", {BLANKS}) AS p__name,
     trim(p_brand, {BLANKS}) AS p_brand, CAST(trim("Size") AS BIGINT) AS size FROM d WHERE "P  Name" IS NOT NULL""")
 def clean_drop(spark, sf_dir):

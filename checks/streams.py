@@ -8,7 +8,7 @@ from burnish import streaming as s
 from burnish.functions import literal_rows
 
 from .files import fresh
-from .profile import percent_sql
+from .profile import percent_sql, table_counts_sql
 from .registry import check
 from .views import table
 
@@ -48,6 +48,14 @@ def stream_profile(spark, sf_dir):
     return s.read_totals(spark, path + "/out")
 
 
+@check(f"WITH d AS ({GAPPY_EVENTS}) {table_counts_sql('d', EVENTS)}")
+def stream_table_counts(spark, sf_dir):
+    path = fresh(spark)
+    totals = s.stream_table_counts(_gappy_stream(spark, sf_dir))
+    _finish(s.stream_totals(totals, path + "/out", path + "/state"))
+    return s.read_totals(spark, path + "/out")
+
+
 @check(f"""SELECT event_id, CAST(user_id AS DOUBLE) AS user_id, trim(event_type) AS event_type, value
     FROM ({GAPPY_EVENTS}) WHERE user_id IS NOT NULL AND value IS NOT NULL""")
 def stream_clean(spark, sf_dir):

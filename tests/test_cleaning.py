@@ -131,6 +131,7 @@ def test_odd_column_names(frame):
     for chosen in ({"handle_missing": "drop"}, {"handle_missing": "drop", "order_by": "a.b"}):
         assert b.clean(df, remove_duplicates=True, **chosen).count() == 1
     assert b.clean_summary(df, remove_duplicates=True, handle_missing="drop").first()["rows_out"] == 1
+    assert b.clean(df, remove_duplicates=True, handle_missing="fill_median").filter("`a.b` = 1").count() == 2
     assert b.fill_median(df).count() == 3 and b.normalize_na(df).count() == 3
     assert b.column_profile(df).count() == 3 and b.table_profile(df).first()["duplicate_rows"] == 1
     assert b.describe_numeric(df).count() == 2
