@@ -27,7 +27,7 @@ from ..functions import (
 from ..functions.names import distinct_names
 from .distinct import columns_by_type, value_counts
 from .probe import maybe_numeric
-from .statistics import exact_medians
+from .statistics import approximate_medians, exact_medians
 
 
 def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -78,16 +78,12 @@ def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def fill_median(df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False) -> DataFrame:
     """Fill missing numbers with the column's median; a filled column becomes double.
 
-    The median is exact and found by `exact_medians`, or with `approximate` by a fixed-size sketch.
+    The median is exact and found by `exact_medians`, or with `approximate` taken from a sample.
     """
     names = _numeric_gaps(df, columns)
     if not names:
         return df
-    if approximate:
-        sketches = [F.percentile_approx(present(df.schema[n]).cast("double"), 0.5) for n in names]
-        row = df.agg(F.struct(*[s.alias(f"c{i}") for i, s in enumerate(sketches)])).scalar()
-        return _coalesced(df, {n: row.getField(f"c{i}") for i, n in enumerate(names)})
-    medians = exact_medians(df, names)
+    medians = approximate_medians(df, names) if approximate else exact_medians(df, names)
     return _coalesced(df, {n: F.lit(medians[n]).cast("double") for n in names})
 
 

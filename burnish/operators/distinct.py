@@ -25,7 +25,6 @@ from ..options import (
 from ..sources.order import first_n, with_chunk
 from .probe import probe
 
-_BITMAP_BITS = 32_768  # what one Spark bitmap holds, 4 KB per column and task
 _SAMPLE_ROWS = 100_000
 
 
@@ -82,19 +81,17 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: b
 def plentiful(df: DataFrame, columns: list[str], rows: int, *, cap: int = DISTINCT_CAP) -> list[str]:
     """The columns that a sample of a table of `rows` rows proves to have `cap` distinct values.
 
-    Hash buckets that hold a value are marked in a bitmap of fixed size. Two marked buckets hold two
-    different values, so a count of buckets never exceeds the count of values.
+    Two different hashes come from two different values, so a count of hashes never exceeds the count
+    of values. Only the hashes of sampled rows are shuffled.
     """
     if not columns or rows < cap:
         return []
+    fields = {f.name: f for f in df.schema}
     sample = df.select(*[col(n) for n in columns]).sample(min(1.0, _SAMPLE_ROWS / rows), seed=11)
-    floors = []
-    for n in columns:
-        value = present(df.schema[n])
-        bucket = F.pmod(F.xxhash64(value), F.lit(_BITMAP_BITS)) + 1
-        marked = F.bitmap_construct_agg(F.bitmap_bit_position(F.when(value.isNotNull(), bucket)))
-        floors.append(F.bitmap_count(marked))
-    return [n for n, floor in zip(columns, sample.agg(*floors).first(), strict=True) if floor >= cap]
+    values = [present(fields[n]) for n in columns]
+    hashes = sample.select(*[F.when(v.isNotNull(), F.xxhash64(v)).alias(f"h{i}") for i, v in enumerate(values)])
+    seen = column_values(hashes, hashes.columns).distinct().groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    return [columns[r["position"]] for r in seen.filter(F.col("n") >= cap).collect()]
 
 
 def distinct_labels(df: DataFrame, columns: list[str] | None = None, *, cap: int = DISTINCT_CAP) -> DataFrame:

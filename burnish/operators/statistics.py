@@ -16,6 +16,7 @@ from .counts import one_row_per_column
 
 _ACCURACY = 10_000  # rank error of the sketch: one part in this many
 _MAX_ROUNDS = 12
+_MEDIAN_SAMPLE_ROWS = 1_000_000
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,6 +143,22 @@ def _read_off(values: DataFrame, brackets: dict[str, _Bracket]) -> dict[str, flo
     return {near.columns[r["position"]]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
 
 
+def sampled_medians(values: DataFrame, rows: int) -> DataFrame:
+    """One row with the median of each double column, from about a million of its `rows` rows.
+
+    A sketch of all rows would send a large summary from every task to one; a sample bounds them.
+    """
+    sample = values.sample(min(1.0, _MEDIAN_SAMPLE_ROWS / max(rows, 1)), seed=5)
+    return sample.agg(*[F.percentile_approx(c, 0.5, _ACCURACY).alias(c) for c in values.columns])
+
+
+def approximate_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The median of each column from a sample of the rows; see `sampled_medians`."""
+    values = _doubles(df, columns)
+    row = sampled_medians(values, values.count()).first()
+    return dict(zip(columns, row, strict=True))
+
+
 _STATISTICS = ("mean", "median", "std", "min", "max")
 
 
@@ -154,9 +171,9 @@ def describe_numeric(
 ) -> DataFrame:
     """Mean, median, sample standard deviation, minimum and maximum of each numeric column.
 
-    `sample_rows` limits this to the first rows by `order_by`, as the report does by default there.
-    A sample, or `approximate`, which takes the median from a fixed-size sketch, is one lazy pass. The
-    exact median of a whole table takes several, run at once.
+    `sample_rows` limits this to the first rows by `order_by`, as the report does by default there,
+    and makes it one lazy pass. For a whole table the other statistics are one pass, run at once;
+    then follow the passes for the exact median, or with `approximate` one over a sample.
     """
     if sample_rows is not None:
         if order_by is None:
@@ -167,25 +184,24 @@ def describe_numeric(
     if not names:
         return literal_rows(df.sparkSession, schema, [])
     values = _doubles(df, names)
-    one_pass = approximate or (sample_rows is not None and sample_rows <= MEDIAN_TASK_ROWS)
-    aggregates = []
+    one_pass = sample_rows is not None and sample_rows <= MEDIAN_TASK_ROWS
+    aggregates = [F.count(F.lit(1)).alias("rows")]
     for c in values.columns:
         aggregates += [
             F.avg(c).alias(f"{c}_mean"),
             F.stddev_samp(c).alias(f"{c}_std"),
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
+            F.median(c).alias(f"{c}_median") if one_pass else F.count(c).alias(f"{c}_filled"),
         ]
-        if one_pass:
-            median = F.percentile_approx(c, 0.5, _ACCURACY) if approximate else F.median(c)
-            aggregates.append(median.alias(f"{c}_median"))
-        else:
-            aggregates.append(F.count(c).alias(f"{c}_rows"))
     if one_pass:
         facts = {n: {s: f"{c}_{s}" for s in _STATISTICS} for n, c in zip(names, values.columns, strict=True)}
         return one_row_per_column(values.agg(*aggregates), facts)
     row = values.agg(*aggregates).first().asDict()
-    medians = _medians(values, {c: row[f"{c}_rows"] for c in values.columns}, MEDIAN_TASK_ROWS)
+    if approximate:
+        medians = sampled_medians(values, row["rows"]).first().asDict()
+    else:
+        medians = _medians(values, {c: row[f"{c}_filled"] for c in values.columns}, MEDIAN_TASK_ROWS)
     rows = [
         (i, n, *[medians.get(c) if s == "median" else row[f"{c}_{s}"] for s in _STATISTICS])
         for i, (n, c) in enumerate(zip(names, values.columns, strict=True))

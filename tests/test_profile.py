@@ -125,6 +125,13 @@ def test_exact_medians_on_hard_data(spark, limit):
     assert got == {**want, "empty": None}
 
 
+def test_approximate_medians(spark):
+    df = spark.range(0, 3_000_000, 1, 4).selectExpr("id AS v", "CASE WHEN id % 2 = 0 THEN 7 END AS w")
+    rows = {r["column"]: r for r in b.describe_numeric(df, approximate=True).collect()}
+    assert rows["v"]["median"] == pytest.approx(1_500_000, rel=0.01) and rows["w"]["median"] == 7.0
+    assert rows["v"]["max"] == 2_999_999
+
+
 def test_report_json(frame):
     df = frame("k bigint, a.b string, n double".replace("a.b", "`a.b`"), [(0, "x", 1.0), (1, None, 2.0), (2, "x", None)])
     report = json.loads(b.quality_report_json(df, "k").first()[0])
