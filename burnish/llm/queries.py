@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid
+from . import decontam, exact, langid, tokencount
+from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +34,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM documents),
+    g AS (SELECT normal, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY normal)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM t JOIN g USING (normal)""")
+def op4_exact_dedup(spark, sf_dir):
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_token_counts(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), model, new_path(spark, "token-cache"))
+
+
+#: The windows of the items, and the runs of as many words in documents that equal one.
+DECONTAMINATION = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM item WHERE len(w) > 0),
+    win AS (SELECT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+    doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+    run AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM sized))),
+    found AS (SELECT doc_id, item_id, n, i FROM run JOIN win USING (n, win)),
+    hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+    listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+@query(DECONTAMINATION)
+def op10_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

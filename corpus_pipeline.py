@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnish.llm import langid
+from burnish.llm import decontam, exact, langid
 from burnish.llm.common import shared_dir
 
 
@@ -15,8 +15,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id."""
+    return exact.keep_first(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("language", language),
+    ("exact_copies", exact_copies),
+    ("contamination", contamination),
 ]
 
 #: The network and the samples of the near-duplicate search have no SQL form; tests/llm compares with plain Python.
