@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, tokencount
+from . import decontam, exact, langid, minhash, spiece, tokencount
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_near_dedup(spark, sf_dir):
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query()
 def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -43,6 +48,18 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_sentencepiece(spark, sf_dir):
+    """Whole texts encoded, and the ids decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    ids = spiece.encode(docs, model, drop=("text",)).withColumns(
+        {"n_tokens": F.size("token_ids").cast("bigint"), "ids_xxhash64": F.xxhash64("token_ids")})
+    texts = spiece.decode(ids, model, drop=("token_ids",)).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return texts.select("doc_id", "n_tokens", "ids_xxhash64", "decoded_sha256",
+                        (F.col("decoded_sha256") == F.col("text_sha256")).alias("same_text"))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")

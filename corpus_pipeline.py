@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from burnish.llm import decontam, exact, langid
+from burnish.llm import decontam, exact, langid, minhash, spiece
 from burnish.llm.common import shared_dir
 
 
@@ -20,15 +21,27 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact.keep_first(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id."""
+    return minhash.keep_one(docs)
+
+
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the ids of its whole text in a last column, token_ids."""
+    return spiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("language", language),
     ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
     ("contamination", contamination),
+    ("pieces", token_ids),
 ]
 
 #: The network and the samples of the near-duplicate search have no SQL form; tests/llm compares with plain Python.
