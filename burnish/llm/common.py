@@ -109,3 +109,33 @@ def pieces(offsets: np.ndarray, most_bytes: int, most_rows: int) -> Iterator[tup
         end = min(max(end, start + 1), start + most_rows, rows)
         yield start, end
         start = end
+
+
+def counter_rows(counters: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """A task's counters as rows (block int, counts binary), for `added_up`."""
+    rows = counters.astype(np.int64).reshape(blocks, -1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "counts"]
+    )
+
+
+COUNTER_SCHEMA = "block int, counts binary"
+
+
+def added_up(partial: DataFrame, blocks: int, size: int) -> np.ndarray:
+    """The sum of all tasks' counters: a fixed number, whatever the table's size. Each block is summed row by row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"]
+            )
+
+    total = np.zeros((blocks, size // blocks), np.int64)
+    for row in partial.repartition("block").mapInArrow(add, COUNTER_SCHEMA).collect():
+        total[row.block] = np.frombuffer(row.counts, np.int64)
+    return total.ravel()

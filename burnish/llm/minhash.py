@@ -18,7 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, byte_view, counted, forget, free_name, pieces, same, utf8, written
+from .common import (
+    BROADCAST_ROWS,
+    COUNTER_SCHEMA,
+    added_up,
+    byte_view,
+    counted,
+    counter_rows,
+    forget,
+    free_name,
+    pieces,
+    same,
+    utf8,
+    written,
+)
 from .components import components
 from .words import mixed, runs, word_hashes
 
@@ -26,9 +39,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 BAND_ROWS = 4
-#: Counters of document frequencies, and how many of them make one row.
+#: Counters of document frequencies, and in how many rows a task hands them on.
 COUNTERS = 1 << 20
-COUNTER_ROW = 1 << 12
+BLOCKS = 1 << 8
 #: Members that one task compares with a copy of a leader.
 MEMBERS = 256
 #: Texts are taken in pieces of so many bytes and rows; a row number and 53 bits of a hash make one key.
@@ -51,44 +64,27 @@ def weighted_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 def idf_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Weight of a shingle's occurrence by its counter, from all texts; a fixed size whatever the table's."""
-    blocks = COUNTERS // COUNTER_ROW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, texts = np.zeros(COUNTERS, np.int64), 0
+        counters = np.zeros(COUNTERS + BLOCKS, np.int64)  # the last ones for the number of texts
         for batch in batches:
             data, offsets = byte_view(batch.column(0))
             found = [np.zeros(0, np.int64)]
             for start, end in pieces(offsets, PIECE_BYTES, PIECE_ROWS):
                 hashes, _, owner = weighted_sets(data, offsets[start : end + 1], size)
                 found.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
-                texts += len(np.unique(owner))
-            counters += np.bincount(np.concatenate(found), minlength=COUNTERS)
-        if texts:
-            rows = [*counters.astype(np.int64).reshape(blocks, -1), np.array([texts])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks + 1), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "counts"]
-            )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"]
-            )
-
-    schema = "block int, counts binary"
-    partial = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(count, schema)
-    rows = partial.repartition("block").mapInArrow(add, schema).collect()  # a fixed number of counters
-    if not rows:
+                counters[-1] += len(np.unique(owner))
+            counters[:COUNTERS] += np.bincount(np.concatenate(found), minlength=COUNTERS)
+        if counters.any():
+            yield counter_rows(counters, BLOCKS)
+
+    partial = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(count, COUNTER_SCHEMA)
+    counters = added_up(partial, BLOCKS, COUNTERS + BLOCKS).astype(np.float64)
+    texts, counters = counters[-1], counters[:COUNTERS]
+    if texts < 2:
         return np.ones(COUNTERS, np.float32)
-    by_block = {r.block: np.frombuffer(r.counts, np.int64) for r in rows}
-    texts = int(by_block[blocks][0])
-    counters = np.concatenate([by_block[b] for b in range(blocks)]).astype(np.float64)
     frequency = np.clip(counters - counters.sum() / COUNTERS, 1, texts)
-    return (1 + np.log(texts / frequency) / np.log(texts) if texts > 1 else np.ones(COUNTERS)).astype(np.float32)
+    return (1 + np.log(texts / frequency) / np.log(texts)).astype(np.float32)
 
 
 def weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -14,6 +14,11 @@ BLOCK = 1 << 20
 FOLDED = np.array(
     [b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8
 )
+IN_WORDS = (FOLDED != 0).astype(np.uint8)
+#: The same with runs of printable marks as words of their own kind.
+MARKED = np.where((FOLDED == 0) & (np.arange(256) > 32) & (np.arange(256) < 127), np.arange(256), FOLDED).astype(np.uint8)
+WORDS_AND_MARKS = np.where(FOLDED != 0, 1, 2 * (MARKED != 0)).astype(np.uint8)
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1)
 _BYTE[0] = 0
@@ -37,26 +42,29 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the values, in order, and how many words each value has."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the values, in order, and how many words each value has.
+
+    With `marks`, runs of punctuation count as words too.
+    """
+    fold, kinds = (MARKED, WORDS_AND_MARKS) if marks else (FOLDED, IN_WORDS)
     at, end, starts, hashes = int(offsets[0]), int(offsets[-1]), [], []
     while at < end:
         stop = min(at + BLOCK, end)
         if stop < end:  # end with a separator, or else with the word
-            cut = np.flatnonzero(FOLDED[data[at:stop]] == 0)
+            cut = np.flatnonzero(fold[data[at:stop]] == 0)
             if len(cut):
                 stop = at + int(cut[-1]) + 1
             else:
-                while stop < end and FOLDED[data[stop]]:
+                while stop < end and fold[data[stop]]:
                     stop += 1
-        folded = FOLDED[data[at:stop]]
-        inside = folded != 0
-        before = np.empty_like(inside)
-        before[:1] = False
-        before[1:] = inside[:-1]
+        folded, kind = fold[data[at:stop]], kinds[data[at:stop]]
+        before = np.empty_like(kind)
+        before[:1] = 0
+        before[1:] = kind[:-1]
         begin = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at
-        before[begin] = False  # words end with their text
-        first = np.flatnonzero(inside & ~before)
+        before[begin] = 0  # words end with their text
+        first = np.flatnonzero((kind != 0) & (kind != before))
         if len(first):
             lengths = np.diff(np.append(first, len(folded)))
             place = np.arange(first[0], len(folded)) - np.repeat(first, lengths)
