@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, minhash, spiece, tokencount
+from . import decontam, exact, langid, minhash, quality, shards, spiece, suffix, tokencount, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM documents),
     g AS (SELECT normal, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY normal)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM t JOIN g USING (normal)""")
@@ -60,6 +65,28 @@ def op5_sentencepiece(spark, sf_dir):
                         (F.col("decoded_sha256") == F.col("text_sha256")).alias("same_text"))
 
 
+@query()
+def op6_quality(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_sharding(spark, sf_dir):
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+@query("""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""")
+def op8_warc(spark, sf_dir):
+    """Pages written as archives to the shared folder and read back."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                         F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 @query()
 def op9_token_counts(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
