@@ -16,6 +16,10 @@ from .common import BROADCAST_ROWS, counted, forget, free_name, same, utf8, writ
 RUNS = r"\x20*+[\x09-\x0D][\x20\x09-\x0D]*+|\x20{2,}+"
 
 
+#: Rows of a group that are compared with one copy of the keeper's text.
+PART_ROWS = 256
+
+
 def normalised(text: Column) -> Column:
     """The text with every run of white space as one space; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " ")
@@ -46,15 +50,18 @@ def groups(docs: DataFrame, *, digest: Callable[[Column], Column] = content_hash
     # One pass over the texts for hashes alone.
     rows = written(hashed.drop("normal"), "exact-rows")
     several = written(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
         "exact-groups",
     )
     small = counted(several, broadcast_rows)
-    members = written(hashed.join(small, "digest"), "exact-members")
-    # The keeper's text, once for each group; one text is left before anything is shuffled.
-    keeper = members.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(F.min("normal").alias("keeper"))
+    members = written(hashed.join(small, "digest").withColumn("parts", F.ceil(F.col("n") / PART_ROWS)), "exact-members")
+    # The keeper's text, once for each part of a group; one text is left before anything is shuffled.
+    keeper = members.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("digest").agg(
+        F.min("normal").alias("keeper"), F.min("parts").alias("parts"))
+    keeper = keeper.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     differs = F.when(F.col("normal") != F.col("keeper"), F.col("normal"))
-    compared = members.join(keeper, "digest").select("digest", "doc_id", "text_sha256", differs.alias("variant"))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    compared = dealt.join(keeper, ["digest", "part"]).select("digest", "doc_id", "text_sha256", differs.alias("variant"))
     # Rows that repeat an id are one unit from here on.
     unit = written(
         compared.groupBy("digest", "variant", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_sha256").alias("text_sha256")),
