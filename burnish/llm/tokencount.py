@@ -61,10 +61,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     text = F.coalesce("text", F.lit(""))
     digested = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(utf8(F.col("text")), 256)).alias("digest"))
     rows = written(digested.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest"), "count-rows")
-    known = read_cache(spark, cache_path, version)
-    missing = written(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti"), "count-missing"
-    )
+    texts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "count-texts")
+    missing = written(texts.join(read_cache(spark, cache_path, version), "digest", "left_anti"), "count-missing")
     chosen = counted(missing, broadcast_rows)
     misses = digested.join(chosen, (digested.digest == chosen.digest) & digested.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
     sent = spark.sparkContext.broadcast((tokenizer_path, model))  # one file
@@ -80,5 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
 
     counts = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens bigint")
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    found = rows.join(read_cache(spark, cache_path, version), "digest")
+    # Written, so that the join has no more to do than to meet its rows, and Spark may split those of a frequent text.
+    numbers = written(texts.select("digest").join(read_cache(spark, cache_path, version), "digest"), "count-numbers")
+    found = rows.join(counted(numbers, broadcast_rows), "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
