@@ -29,12 +29,16 @@ class Ranges:
         self.ends = np.concatenate([[0], np.cumsum(self.size)])
 
     def reach(self, at: int, capacity: int, divisible: bool) -> int:
-        """How far one shard of the capacity goes from a place, in bytes."""
+        """How far one shard of the capacity goes from a place, in bytes. A larger group is a shard of its own."""
         goal = at + capacity
         if goal >= self.ends[-1]:
             return int(self.ends[-1])
         i = int(np.searchsorted(self.ends, goal, side="right")) - 1
-        return goal if divisible and self.several[i] else max(int(self.ends[i]), at)
+        if divisible and self.several[i]:
+            return goal
+        if self.ends[i] > at:
+            return int(self.ends[i])
+        return at if self.several[i] else int(self.ends[i + 1])
 
     def cuts(self, capacity: int, shards: int, divisible: bool) -> list[int]:
         """The greedy check: where each shard ends if it takes all it can."""
@@ -63,22 +67,26 @@ class Ranges:
 
     def even(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
         """Ranges that begin shards 1.., each cut as near as it can be to an even share of what is left, so that no
-        shard is above the capacity; and the ranges that would have to be split to come nearer."""
+        shard is above the capacity but for single groups; and the ranges to split to come nearer."""
+        large = self.size > capacity
         back, at = [len(self.size)], len(self.size)
         for _ in range(shards - 1):  # the first range from which the rest fits into so many shards
-            at = int(np.searchsorted(self.ends, self.ends[at] - capacity, side="left"))
+            if at:
+                at = min(int(np.searchsorted(self.ends, self.ends[at] - capacity, side="left")), at - 1)
             back.append(at)
+        small = np.concatenate([[0], np.cumsum(np.where(large, 0, self.size))])
+        above = np.concatenate([[0], np.cumsum(large)])
         begins, opened, at = [], set(), 0
         for k in range(1, shards):
-            least = back[shards - k]
-            most = int(np.searchsorted(self.ends, self.ends[at] + capacity, side="right")) - 1
-            goal = self.ends[at] + (self.ends[-1] - self.ends[at]) / (shards - k + 1)
-            near = int(np.searchsorted(self.ends, goal, side="left"))
-            if near and goal - self.ends[near - 1] < self.ends[near] - goal:
+            most = max(int(np.searchsorted(self.ends, self.ends[at] + capacity, side="right")) - 1, min(at + 1, len(self.size)))
+            share = (small[-1] - small[at]) / max(shards - k + 1 - (above[-1] - above[at]), 1)
+            near = int(np.searchsorted(small, small[at] + share, side="left"))
+            if near and small[at] + share - small[near - 1] < small[near] - small[at] - share:
                 near -= 1
-            if least <= near <= most:
-                opened |= self.open_near(int(goal), int(goal) + 1)
-            at = max(min(max(near, least), most), at)
+            if back[shards - k] <= near <= most:
+                goal = int(self.ends[at] + share)
+                opened |= self.open_near(goal, goal + 1)
+            at = max(min(max(near, back[shards - k]), most), at)
             begins.append(at)
         return begins, opened
 
@@ -93,13 +101,14 @@ def capacity_cuts(groups: DataFrame, shards: int) -> tuple[list[str], int]:
 
     state = Ranges(ranges(groups, FIRST_DIGITS))
     while True:
-        low, high = state.smallest(shards, True), state.smallest(shards, False)
-        opened = set()
-        for a, b in zip(state.cuts(low, shards, False)[:-1], state.cuts(high, shards, True)[:-1], strict=True):
-            opened |= state.open_near(a, b)
-        begins = []
-        if low == high or not opened:
-            begins, opened = state.even(high, shards)
+        low = state.smallest(shards, True)
+        opened = {int(i) for i in np.flatnonzero(state.several & (state.size > low))}
+        if not opened:
+            high = state.smallest(shards, False)
+            for a, b in zip(state.cuts(low, shards, False)[:-1], state.cuts(high, shards, True)[:-1], strict=True):
+                opened |= state.open_near(a, b)
+            if low == high or not opened:
+                begins, opened = state.even(high, shards)
         if not opened:
             return [state.prefix[i] if i < len(state.prefix) else "g" for i in begins], high
         # All ranges of one length in one job; the shortest first.
@@ -115,8 +124,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     size is the UTF-8 bytes of the text plus 1 (1 for a null text, whose checksum is that of an empty one). Rows of
     equal texts are one group and share a shard. The largest shard is as small as contiguous shards of ordered
-    groups allow; below that capacity the cuts are made as even as they can be, so that one large group does not
-    leave other shards empty. Slots number a shard's rows from 0 by hash and doc_id, nulls first; rows that repeat
+    groups allow. So is the largest of the others, if a group larger than them has a shard of its own; within that
+    capacity the cuts are made as even as they can be. Slots number a shard's rows from 0 by hash and doc_id, nulls first; rows that repeat
     both are numbered in any order. law is `bytes`, and grown_shard is null. An empty table gives no rows.
     """
     text = utf8(F.col("text"))
