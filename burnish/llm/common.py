@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 from uuid import uuid4
@@ -90,6 +90,26 @@ def utf8(column: Column) -> Column:
     return F.encode(F.coalesce(column, F.lit("")), "UTF-8")
 
 
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+           fields: list[tuple[str, str]]) -> DataFrame:
+    """`mapInArrow` by the places of columns, whose names may hold any character; `fields` are names and types."""
+    inner = [f"c{i}" for i in range(len(fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=inner)
+
+    schema = ", ".join(f"{i} {kind}" for i, (_, kind) in zip(inner, fields, strict=True))
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, schema).toDF(*(name for name, _ in fields))
+
+
+def kinds(df: DataFrame, places: Iterable[int] | None = None) -> list[tuple[str, str]]:
+    """Names and types of the columns at these places, or of all."""
+    all_fields = df.schema.fields
+    return [(all_fields[i].name, all_fields[i].dataType.simpleString()) for i in (range(len(all_fields)) if places is None else places)]
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column without copying them, and where each value begins and the last ends."""
     if column.null_count:

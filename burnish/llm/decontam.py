@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, utf8, written
+from .common import free_name, kinds, mapped, utf8, written
 
 WINDOW = 10
 #: Bytes of items that go into one automaton; more items take several, one after the other.
@@ -44,7 +44,7 @@ def automaton(patterns: list[bytes]) -> ahocorasick.Automaton:
 
 def hits(machine: ahocorasick.Automaton, sizes: list[int], found: list[bytes]) -> tuple[np.ndarray, set[int]]:
     """Which of the words lie in a match, and the patterns that match."""
-    if not found:
+    if not found or not sizes:
         return np.zeros(0, bool), set()
     line = f" {b' '.join(found).decode('latin-1')} "
     matches = list(machine.iter(line))
@@ -97,17 +97,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_b
     blocks = max(1, -(-int(size) // block_bytes))
     base = docs.drop("n_words", "n_hit", "items", "hit_spans")
     state = free_name(base.columns, "hit_words")
-    out = base.withColumns({state: F.lit(None).cast("binary"), "items": F.expr("CAST(array() AS array<string>)")})
+    out = base.select("*", F.lit(None).cast("binary").alias(state), F.expr("CAST(array() AS array<string>) AS items"))
     for block in range(blocks - 1):
         out = written(_searched(out, state, *_patterns(benchmark, block, blocks, window)), "decontam")
     kept = base.columns if keep is None else keep
     return _searched(out, state, *_patterns(benchmark, blocks - 1, blocks, window), final=kept)
 
 
-def _schema(df: DataFrame, names: list[str]) -> list[str]:
-    return [f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in names]
-
-
 def _searched(df: DataFrame, state: str, patterns: list[bytes], items: list[list[str]], final: list[str] | None = None) -> DataFrame:
     """Adds a block's hit words, as one bit each, and its items; with `final`, these columns and the results of all blocks."""
     names = df.columns
@@ -146,14 +142,14 @@ def _searched(df: DataFrame, state: str, patterns: list[bytes], items: list[list
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     if final is None:
-        return df.mapInArrow(search, ", ".join(_schema(df, names)))
-    more = ["n_words bigint", "n_hit bigint", "hit_spans array<struct<start:int,end:int>>"]
-    return df.mapInArrow(search, ", ".join([*_schema(df, [*final, "items"]), *more]))
+        return mapped(df, search, kinds(df))
+    fields = kinds(df, [names.index(c) for c in [*final, "items"]])
+    return mapped(df, search, [*fields, ("n_words", "bigint"), ("n_hit", "bigint"), ("hit_spans", "array<struct<start:int,end:int>>")])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `docs` in which no window of a test item occurs, with their columns as they are."""
     names = docs.columns
-    plain = docs.select(*(F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(names)))
+    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(names)))
     clean = scan(plain, benchmark, **how).filter("n_hit = 0")
-    return clean.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)))
+    return clean.drop("n_words", "n_hit", "items", "hit_spans").toDF(*names)

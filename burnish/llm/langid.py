@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_view
+from .common import byte_view, kinds, mapped
 
 SEGMENT = 128
 TRAIN_SEGMENT = 64
@@ -274,19 +274,18 @@ def predict(texts: DataFrame, model: LanguageModel | None, *, text: str = "text"
     """
     base = texts.drop("lang_pred", "score")
     spark = texts.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, lang_pred string, score double"
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     sent = spark.sparkContext.broadcast((model.languages, model.weights))  # a fixed number of weights
-    flagged = base.withColumn("__letters", letters)
+    flagged = base.select("*", letters)
     names = base.columns
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = LanguageModel(*sent.value)
         known = np.array([*net.languages, UNKNOWN], object)
         for batch in batches:
-            has = np.asarray(batch.column("__letters").to_numpy(zero_copy_only=False), bool)
+            has = np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False), bool)
             column = batch.column(names.index(text))
             data, offsets = byte_view(column.filter(pa.array(has)))
             p = pooled(net, data, offsets)
@@ -296,7 +295,7 @@ def predict(texts: DataFrame, model: LanguageModel | None, *, text: str = "text"
             out += [pa.array(known[best], pa.string()), pa.array(np.clip(score, 0, 1))]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score"])
 
-    return flagged.mapInArrow(label, schema)
+    return mapped(flagged, label, [*kinds(base), ("lang_pred", "string"), ("score", "double")])
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
@@ -316,9 +315,6 @@ LEAST_SCORE = 0.3
 def keep_identified(docs: DataFrame, *, least: float = LEAST_SCORE, **how) -> DataFrame:
     """The rows of `docs` whose language is known: not `und`, and scored at least `least`. Columns stay as they are."""
     names = docs.columns
-    mark, score = "__lang_pred", "__score"
-    labelled = predict(docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), fit(docs, **how),
-                       text=f"c{names.index('text')}")
-    labelled = labelled.withColumnsRenamed({"lang_pred": mark, "score": score})
-    kept = labelled.filter((F.col(mark) != UNKNOWN) & (F.col(score) >= least))
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    labelled = predict(docs.toDF(*(f"c{i}" for i in range(len(names)))), fit(docs, **how), text=f"c{names.index('text')}")
+    kept = labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.drop("lang_pred", "score").toDF(*names)

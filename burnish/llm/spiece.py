@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_format
 
-from .common import byte_view, pieces
+from .common import byte_view, kinds, mapped, pieces
 
 SPACE = "▁"
 NEVER = float("inf")
@@ -217,17 +217,6 @@ def _machine(sent) -> dict:
     return known["machine"]
 
 
-def _quoted(name: str) -> str:
-    return f"`{name.replace('`', '``')}`"
-
-
-def _replaced(df: DataFrame, drop: list[str], name: str, kind: str) -> tuple[list[int], str]:
-    """Places of the columns that stay, and the schema with the new one at the end."""
-    stay = [i for i, c in enumerate(df.columns) if c not in (*drop, name)]
-    fields = [f"{_quoted(df.columns[i])} {df.schema[i].dataType.simpleString()}" for i in stay]
-    return stay, ", ".join([*fields, f"{_quoted(name)} {kind}"])
-
-
 def encode(df: DataFrame, model_path: str, *, text: str = "text", ids: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """`df` with a last column `ids`: array<int> of the whole text. A null or empty text has no ids.
 
@@ -235,7 +224,7 @@ def encode(df: DataFrame, model_path: str, *, text: str = "text", ids: str = "to
     `drop` are left out, others stay. The model travels in the job.
     """
     at = df.columns.index(text)
-    stay, schema = _replaced(df, list(drop), ids, "array<int>")
+    stay = [i for i, c in enumerate(df.columns) if c not in (*drop, ids)]
     sent = _sent(df, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,24 +236,23 @@ def encode(df: DataFrame, model_path: str, *, text: str = "text", ids: str = "to
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 rows = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in stay), values], names=[*(df_names[i] for i in stay), ids])
+                columns = [*(rows.column(i) for i in stay), values]
+                yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
-    df_names = df.columns
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, [*kinds(df, stay), (ids, "array<int>")])
 
 
 def decode(df: DataFrame, model_path: str, *, ids: str = "token_ids", text: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """`df` with a last column `text`: the text of `ids`. No ids, or null, give an empty text."""
     at = df.columns.index(ids)
-    stay, schema = _replaced(df, list(drop), text, "string")
+    stay = [i for i, c in enumerate(df.columns) if c not in (*drop, text)]
     sent = _sent(df, model_path)
-    df_names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(sent)
         for batch in batches:
             texts = [decode_ids(machine, batch.column(at)[i].as_py() or []) for i in range(batch.num_rows)]
             columns = [*(batch.column(i) for i in stay), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(df_names[i] for i in stay), text])
+            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, [*kinds(df, stay), (text, "string")])
