@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from threading import Event
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions import col, is_number_text, normalize_na, standard_name
+from ..functions import col, is_number_text, normalize_na, numeric_columns, standard_name
 from ..functions.names import distinct_names
 from ..operators.cleaning import drop_missing, trim_whitespace
 from ..operators.counts import column_missing, table_counts
@@ -26,15 +29,18 @@ def stream_scan(
     file_format: str = "csv",
     file_names: str | None = None,
     max_files_per_trigger: int | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
+    line_end: str | None = None,
     bad_lines: str = "error",
+    misfits: str = "error",
     na: bool = True,
 ) -> DataFrame:
     """Files below the folder `path` as a stream, those whose names match the glob `file_names`.
 
-    For CSV, `multi_line`, `bad_lines` and `na` are those of `scan_csv`, but line breaks in fields
-    are not looked for: a stream cannot read its files beforehand. `bad_lines` needs a schema of
-    text columns only; with others Spark sets values that do not fit to null.
+    For CSV every file's header must be the names of `schema`. `bad_lines` and `na` are those of `scan_csv`; line
+    breaks in fields need `multi_line`, which reads a file in one task, or `line_end="\\r\\n"` where lines end so
+    and fields have plain line feeds: a stream cannot read its files beforehand. Values of other types than text are
+    read as text and cast; one that does not fit fails the query (`misfits="error"`) or becomes null (`"null"`).
     """
     options = {}
     if file_names is not None:
@@ -45,12 +51,32 @@ def stream_scan(
         return spark.readStream.schema(schema).format(file_format).options(**options).load(path)
 
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    reader = spark.readStream.schema(with_record(declared)).format("csv")
-    stream = reader.options(**READ_OPTIONS, **options, multiLine=multi_line).load(path)
-    if all(isinstance(f.dataType, T.StringType) for f in declared):
-        stream = handle_bad_lines(stream, declared.names, bad_lines)
-    stream = stream.select(*[col(n) for n in declared.names])
-    return normalize_na(stream) if na else stream
+    if line_end is not None:
+        options["lineSep"] = line_end
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in declared.names])
+    reader = spark.readStream.schema(with_record(texts)).format("csv")
+    stream = reader.options(**READ_OPTIONS, **options, enforceSchema=False, multiLine=multi_line).load(path)
+    stream = handle_bad_lines(stream, declared.names, bad_lines)
+    stream = normalize_na(stream) if na else stream
+    return stream.select(*[_typed(f, misfits).alias(f.name) for f in declared])
+
+
+def _typed(field: T.StructField, misfits: str) -> Column:
+    c = col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return c
+    return _checked(c, c.try_cast(field.dataType), field.name, misfits)
+
+
+def _checked(c: Column, value: Column, name: str, misfits: str) -> Column:
+    """The cast value; a text that has none is null, or fails the query."""
+    if misfits == "null":
+        return value
+    if misfits != "error":
+        raise ValueError(f"misfits must be 'error' or 'null', not {misfits!r}")
+    message = F.concat(F.lit(f"no value for {name}: "), F.substring(c, 1, 200))
+    fits = c.isNull() | (c == "") | value.isNotNull()
+    return F.when(fits, value).otherwise(F.raise_error(message))
 
 
 def _as_type(c: Column, dtype: str) -> Column:
@@ -58,13 +84,19 @@ def _as_type(c: Column, dtype: str) -> Column:
 
 
 def stream_clean(
-    stream: DataFrame, options: CleanOptions | None = None, *, types: dict[str, str] | None = None, **chosen
+    stream: DataFrame,
+    options: CleanOptions | None = None,
+    *,
+    types: dict[str, str] | None = None,
+    misfits: str = "null",
+    **chosen,
 ) -> DataFrame:
     """The cleaning steps that need one row only: names, drop, trim and casts.
 
-    A stream cannot know whether all values of a column are numbers, so `types` says what to cast;
-    a value that does not fit becomes null. Fills need a batch (`stream_batch_fill`), duplicates a
-    state (`stream_dedup`).
+    A stream cannot know whether all values of a column are numbers, so `types` says what to cast. A value that does
+    not fit becomes null; `misfits="error"` fails the query instead, and `"count"` adds the column `misfits` with
+    the number of such values in the row, which `stream_profile` and other totals can sum. Fills need a batch
+    (`stream_batch_fill`), duplicates a state (`stream_dedup`).
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
     if options.handle_missing in FILL_METHODS:
@@ -79,7 +111,14 @@ def stream_clean(
     if options.trim_whitespace:
         out = trim_whitespace(out)
     types = types or {}
-    return out.select(*[_as_type(col(n), types[n]).alias(n) if n in types else col(n) for n in out.columns])
+    rule = "null" if misfits == "count" else misfits
+    cast = {n: _checked(col(n), _as_type(col(n), types[n]), n, rule).alias(n) for n in out.columns if n in types}
+    lost = []
+    if misfits == "count":
+        texts = [(col(n), _as_type(col(n), types[n])) for n in cast]
+        flags = [(c.isNotNull() & (c != "") & value.isNull()).cast("bigint") for c, value in texts]
+        lost = [sum(flags, F.lit(0).cast("bigint")).alias("misfits")]
+    return out.select(*[cast.get(n, col(n)) for n in out.columns], *lost)
 
 
 def stream_profile(stream: DataFrame) -> DataFrame:
@@ -124,21 +163,47 @@ def stream_dedup(
 
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything that is there now to `path`, each file exactly once."""
+    _counter(stream.sparkSession)
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
 def stream_batch_fill(
-    stream: DataFrame, path: str, checkpoint: str, options: CleanOptions | None = None, **chosen
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    options: CleanOptions | None = None,
+    *,
+    types: dict[str, str] | None = None,
+    **chosen,
 ) -> StreamingQuery:
     """Clean each micro-batch as a table of its own: fill values come from the batch.
 
-    A batch is written to its own folder and replaces it when Spark repeats the batch.
+    A batch is written to its own folder and replaces it when Spark repeats the batch. All folders have the same
+    columns and types, whatever their batch holds: numbers are double wherever means or medians are filled in, and
+    `types` says what to cast before, as in `stream_clean`. What one batch cannot know of the others is refused:
+    `convert_types`.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
+    if options.convert_types:
+        raise ValueError("a batch does not know the values of the others: name the types with `types`")
+    _counter(stream.sparkSession)
+    if types:
+        stream = stream_clean(stream, types=types)
+    doubles = options.handle_missing in ("fill_mean", "fill_median")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean(batch, options).write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
+        batch = batch.persist()  # it is read for gaps, for fill values and to be written
+        try:
+            cleaned = clean(batch, options)
+            if doubles:
+                numbers = set(numeric_columns(cleaned))
+                cleaned = cleaned.select(
+                    *[col(n).cast("double").alias(n) if n in numbers else col(n) for n in cleaned.columns]
+                )
+            cleaned.write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start()
@@ -150,17 +215,54 @@ def stream_totals(totals: DataFrame, path: str, checkpoint: str) -> StreamingQue
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
 
+    _counter(totals.sparkSession)
     writer = totals.writeStream.foreachBatch(write).outputMode("complete").trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).start()
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The newest totals written by `stream_totals`; only their folder is read."""
+    """The newest totals written by `stream_totals`; the folders of earlier batches are listed, and none is read."""
     totals = spark.read.parquet(path)
-    newest = totals.agg(F.max(_BATCH)).scalar()
+    newest = totals.select(F.max(_BATCH)).scalar()
     return totals.filter(F.col(_BATCH) == newest).drop(_BATCH)
 
 
-def rows_read(query: StreamingQuery) -> int:
-    """Input rows over the batches whose progress the query still remembers."""
-    return sum(p.numInputRows for p in query.recentProgress)
+class _RowCounter(StreamingQueryListener):
+    """Adds up the input rows of every batch of the queries that this module starts."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = defaultdict(int)
+        self.ended: dict[str, Event] = defaultdict(Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows[str(event.progress.runId)] += event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+
+_COUNTERS: dict[str, _RowCounter] = {}
+
+
+def _counter(spark: SparkSession) -> _RowCounter:
+    """The session's counter; a query only tells those that listen when it starts."""
+    key = spark.sparkContext.applicationId
+    if key not in _COUNTERS:
+        _COUNTERS[key] = _RowCounter()
+        spark.streams.addListener(_COUNTERS[key])
+    return _COUNTERS[key]
+
+
+def rows_read(query: StreamingQuery, *, wait_seconds: float = 60) -> int:
+    """Input rows so far of a query that this module has started; all of them once it has ended."""
+    counter = _counter(SparkSession.active())
+    run = str(query.runId)
+    if not query.isActive and not counter.ended[run].wait(wait_seconds):
+        raise TimeoutError(f"the end of query {run} was not reported")
+    return counter.rows[run]

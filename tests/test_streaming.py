@@ -60,7 +60,7 @@ def test_bad_lines(spark, folder, tmp_path):
     with open(folder + "/bad.csv", "w") as late:
         late.write('k,v\n1,2,3\n4\n"5,5","x\ny"\n')
     out = str(tmp_path / "out")
-    stream = s.stream_scan(spark, folder, SCHEMA, bad_lines="skip", file_names="bad*.csv")
+    stream = s.stream_scan(spark, folder, SCHEMA, bad_lines="skip", file_names="bad*.csv", multi_line=True)
     s.stream_to_parquet(stream, out, str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect()), key=repr) == [("4", None), ("5,5", "x\ny")]
     strict = s.stream_scan(spark, folder, SCHEMA)
@@ -97,3 +97,59 @@ def test_dedup_with_watermark(spark, folder, tmp_path):
     kept = s.stream_dedup(stream, event_time="t", delay="1 hour")
     s.stream_to_parquet(kept, out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_batches_share_one_schema(spark, folder, tmp_path):
+    """An integer column has a gap in some batches only."""
+    out = str(tmp_path / "out")
+    stream = s.stream_scan(spark, folder, "k bigint, v bigint", max_files_per_trigger=1, misfits="null").selectExpr(
+        "k", "CASE WHEN k >= 20 THEN v WHEN k % 10 < 8 THEN k END AS v")
+    query = s.stream_batch_fill(stream, out, str(tmp_path / "state"), handle_missing="fill_median")
+    query.awaitTermination()
+    read = spark.read.parquet(out)
+    assert dict(read.dtypes) | {"batch_id": ""} == {"k": "double", "v": "double", "batch_id": ""}
+    assert read.count() == 40 == s.rows_read(query) and read.filter("v IS NULL").count() == 0
+    with pytest.raises(ValueError, match="types"):
+        s.stream_batch_fill(stream, out, str(tmp_path / "other"), convert_types=True)
+
+
+def test_rows_are_counted_beyond_the_remembered_batches(spark, folder, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        stream = s.stream_scan(spark, folder, SCHEMA, max_files_per_trigger=1)
+        query = s.stream_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert s.rows_read(query) == 40
+
+
+def test_another_header_order_is_refused(spark, folder, tmp_path):
+    with open(folder + "/other.csv", "w") as other:
+        other.write("v,k\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        s.stream_to_parquet(s.stream_scan(spark, folder, SCHEMA), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+
+
+def test_typed_columns(spark, folder, tmp_path):
+    with open(folder + "/wide.csv", "w") as wide:
+        wide.write("k,v\n1,2\n3,4,5\nx,6\n")
+
+    def run(name, **how):
+        stream = s.stream_scan(spark, folder, "k bigint, v bigint", file_names="wide.csv", **how)
+        s.stream_to_parquet(stream, str(tmp_path / name), str(tmp_path / (name + "_state"))).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()), key=repr)
+
+    assert run("skipped", bad_lines="skip", misfits="null") == [(1, 2), (None, 6)]
+    with pytest.raises(Exception, match="more than 2 fields"):
+        run("strict", misfits="null")
+    with pytest.raises(Exception, match="no value for k: x"):
+        run("fitting", bad_lines="skip")
+
+
+def test_misfits_are_counted(spark, folder, tmp_path):
+    stream = s.stream_scan(spark, folder, SCHEMA, na=False)
+    cleaned = s.stream_clean(stream, types={"k": "bigint", "v": "double"}, trim_whitespace=True, misfits="count")
+    s.stream_to_parquet(cleaned, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("misfits")).first()[0] == 4
