@@ -5,13 +5,14 @@ occurrences times 1 + log(N / df) / log(N), so that a run in all texts weighs 1
 document frequencies are counted over all texts in a table of a fixed number of hashed counters, from which the
 mean load of a counter is taken off. All texts with the same weighted set are one node. Nodes that agree on all
 samples of a band meet in a bucket; each is compared with the bucket's leader, and linked if similar enough.
-Where a bucket still holds several classes, another leader is drawn, until a round finds no link. Neither a group's
+Where a bucket still holds several classes, more leaders are drawn, until a turn finds no link. Neither a group's
 pairs are formed nor is a group ever in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BAND_ROWS = 4
 #: Counters of document frequencies, and in how many rows a task hands them on.
 COUNTERS = 1 << 20
 BLOCKS = 1 << 8
+#: The most leaders that a bucket has in one turn.
+LEADERS = 64
 #: Members that one task compares with a copy of a leader.
 MEMBERS = 256
 #: Texts are taken in pieces of so many bytes and rows; a row number and 53 bits of a hash make one key.
@@ -255,34 +258,54 @@ def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: fl
     near = counted(wanted, broadcast_rows)
     texts = written(source.join(near, same(source, near, ["doc_id", "content"])).select("node", "text"), "texts")
     forget(nodes, wanted)
-    found, tried, labels, turn = [], [], None, 0
+    found, tried, labels = [], [], None
     while True:
-        rows = met.select("key", "node", F.col("node").alias("label")) if labels is None else (
-            met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-        heads = rows.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("head"),
-        ).filter("low != high").select("key", F.col("head.node").alias("leader"), F.col("head.label").alias("leader_label"))
-        pairs = rows.join(heads, "key").filter("label != leader_label").select("node", "leader").distinct()
+        pairs = _leaders(met, labels, len(found))
         for before in tried:
             pairs = pairs.join(before, ["node", "leader"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried.append(pairs)
-        linked = written(_verified(pairs, texts, idf, size).filter(F.col("similarity") >= similarity).distinct(), "links")
+        tried.append(written(pairs, "pairs"))
+        linked = written(_verified(tried[-1], texts, idf, size).filter(F.col("similarity") >= similarity).distinct(), "links")
         found.append(linked)
-        turn += 1
         if linked.isEmpty():
             break
-        forget(labels)
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        labels = components(every.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        labels, before = _relabelled(linked, labels), labels
+        forget(before)
     forget(met, texts, *tried)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every, labels
+    return reduce(DataFrame.unionByName, found), labels
+
+
+def _leaders(met: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (node, leader) of nodes with different labels that share a bucket (key, node).
+
+    In the first turn each bucket has one leader. The next have sixteen and then `LEADERS` each, in
+    buckets that still hold several labels.
+    """
+    own = F.col("node") if labels is None else F.coalesce("label", "node")
+    rows = (met if labels is None else met.join(labels, "node", "left")).select("key", "node", own.alias("label"))
+    if labels is not None:
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        rows = written(rows.join(several.select("key"), "key"), "open")
+    drawn = F.xxhash64("node", F.lit(turn))
+    part = F.pmod(drawn, F.lit(min(16**turn, LEADERS)))
+    heads = rows.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "label"), drawn).alias("head"))
+    heads = heads.select("key", F.col("head.node").alias("leader"), F.col("head.label").alias("leader_label"))
+    return rows.join(heads, "key").filter("label != leader_label").select("node", "leader").distinct()
+
+
+def _relabelled(linked: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The labels after these links, which are between nodes of different labels."""
+    ends = linked.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    if labels is None:
+        return components(ends)
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        ends = ends.join(of, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    every = labels.unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    moved = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    after = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+    forget(merged)
+    return after
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS,
