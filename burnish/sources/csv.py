@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import as_missing, col, csv_header_names
 
+WHOLE_FILES = 1_000
 _RECORD = "__record"
 READ_OPTIONS = {
     "header": True,
@@ -47,15 +48,38 @@ def _names(fields: list[str | None]) -> list[str]:
     return csv_header_names([first, *fields[1:]])
 
 
-def _files_with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files where a quoted field may hold a line break.
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines as the files hold them, cut at line feeds only."""
+    return spark.read.option("lineSep", "\n").text(paths)
+
+
+def _line_end(spark: SparkSession, paths: list[str]) -> str:
+    """What ends the header line of the first file."""
+    first = _lines(spark, [_first_file(spark, paths)]).first()
+    return "\r\n" if first is not None and first[0].endswith("\r") else "\n"
+
+
+def _files_with_line_breaks(spark: SparkSession, paths: list[str], most: int) -> list[str] | None:
+    """Files where a quoted field may hold a line break; None if there are more than `most`.
 
     Such a record starts with a line whose quotes do not pair up. A file without such a line can be
     split and parsed line by line with the same result.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = spark.read.text(paths).filter(quotes % 2 == 1)
-    return {r[0] for r in odd.select(F.col("_metadata.file_path")).distinct().collect()}
+    odd = _lines(spark, paths).filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"))
+    found = odd.distinct().limit(most + 1).collect()
+    return [r["file"] for r in found] if len(found) <= most else None
+
+
+def _check_headers(spark: SparkSession, paths: list[str]) -> None:
+    """Raise unless the first lines of all files are equal. Only the first block of each file is read."""
+    block = F.col("_metadata.file_block_start")
+    lines = _lines(spark, paths).filter(block == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place")
+    )
+    firsts = lines.groupBy("file").agg(F.min_by(F.regexp_replace("value", "^\ufeff", ""), "place").alias("line"))
+    if firsts.select("line").distinct().limit(2).count() > 1:
+        raise ValueError(f"files with different headers in {paths}")
 
 
 def _surplus_fields(names: list[str], separator: str) -> Column:
@@ -97,43 +121,44 @@ def scan_csv(
     na: bool = True,
     separator: str = ",",
     position: str | None = None,
+    whole_files: int = WHOLE_FILES,
 ) -> DataFrame:
     """Every column of a CSV file, or of a folder of them with the same header, as text.
 
     `multi_line` None looks for quoted line breaks first and gives up splitting only the files that
-    have them; True or False skips that look. `bad_lines` decides on rows with more fields than the
-    header: `skip` drops them, `error` fails the query that meets one. Short rows are padded with
-    nulls. `na` turns the missing-value tokens into nulls. `position` names a column to add that
+    have them; True or False skips that look. More than `whole_files` such files are not told apart
+    from the others: then every file is read by one task. `bad_lines` decides on rows with more fields
+    than the header: `skip` drops them, `error` fails the query that meets one. Short rows are padded
+    with nulls. `na` turns the missing-value tokens into nulls. `position` names a column to add that
     orders the rows by file, block and place in the block, whatever order Spark packs the files in.
+
+    All files must have the header of the first one, and end their lines as it does. Where lines end
+    with a carriage return and a line feed, either alone is part of a quoted field.
     """
     paths = _paths(path)
     header = _header_fields(spark, paths, separator)
     names = _names(header)
+    if header != names:
+        _check_headers(spark, paths)  # else Spark compares the names itself
+    options = {"sep": separator, "enforceSchema": header != names}
+    if (ends := _line_end(spark, paths)) != "\n":
+        options["lineSep"] = ends
     schema = with_record(T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
-    def read(files: list[str], whole: bool) -> DataFrame:
-        # Unless names had to be changed, Spark checks that every file has the same header.
-        reader = spark.read.schema(schema).options(
-            **READ_OPTIONS, sep=separator, multiLine=whole, enforceSchema=header != names
-        )
-        df = reader.csv(files)
+    def read(whole: bool) -> DataFrame:
+        df = spark.read.schema(schema).options(**READ_OPTIONS, **options, multiLine=whole).csv(paths)
         if position is None:
             return df
         place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
         return df.withColumn(position, F.struct(*[p.alias(n) for p, n in zip(place, ("file", "block", "row"))]))
 
-    if multi_line is None:
-        broken = _files_with_line_breaks(spark, paths)
-        if not broken:
-            df = read(paths, False)
-        else:
-            listing = spark.read.format("binaryFile").load(paths).select("_metadata.file_path", "path")
-            files = listing.collect()
-            df = read([f.path for f in files if f.file_path in broken], True)
-            if rest := [f.path for f in files if f.file_path not in broken]:
-                df = read(rest, False).unionByName(df)
+    broken = _files_with_line_breaks(spark, paths, whole_files) if multi_line is None else []
+    if broken:
+        # Spark does not open the files that such a filter rules out.
+        in_broken = F.col("_metadata.file_path").isin(broken)
+        df = read(True).filter(in_broken).unionByName(read(False).filter(~in_broken))
     else:
-        df = read(paths, multi_line)
+        df = read(broken is None or bool(multi_line))
 
     df = handle_bad_lines(df, names, bad_lines, separator)
     kept = [as_missing(col(n)).alias(n) if na else col(n) for n in names]
@@ -144,10 +169,14 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str |
     """Write with a header, nulls as empty fields, booleans as `True` and `False`.
 
     The result is a folder that appears as a whole or not at all. With `order_by` rows are
-    range-partitioned by it, and the part files in name order hold the rows in that order.
+    range-partitioned by it, ties by their place in the input, so that a frequent key is split; the
+    part files in name order hold the rows in that order. A missing value of a table of one column is
+    written as `""`, as a blank line would be no row.
     """
     if order_by is not None:
-        df = df.orderBy(col(order_by))
+        arrival = "__arrival"
+        placed = df.withColumn(arrival, F.monotonically_increasing_id())
+        df = placed.orderBy(col(order_by), col(arrival)).drop(arrival)
     printed = [
         F.initcap(col(f.name).cast("string")).alias(f.name)
         if isinstance(f.dataType, T.BooleanType)
@@ -155,5 +184,10 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str |
         for f in df.schema
     ]
     # Blanks at the ends of a text are data; Spark's writer would cut them.
-    writer = df.select(*printed).write.mode(mode).options(header=True, escape='"', emptyValue="")
-    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if len(printed) == 1:
+        name = df.columns[0]
+        printed = [F.coalesce(printed[0].cast("string"), F.lit("")).alias(name)]
+    else:
+        options["emptyValue"] = ""
+    df.select(*printed).write.mode(mode).options(**options).csv(path)

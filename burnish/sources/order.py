@@ -53,7 +53,7 @@ def with_chunk(
 
 
 def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    """The first `n` rows by `order_by`, a key without nulls or repeats.
+    """The first `n` rows by `order_by`, a key without repeats; rows without a key come last.
 
     A bound on the key filters the scan first, so parquet skips the row groups behind it and the
     other columns are read for the first rows only. For a few rows the bound is the n-th smallest
@@ -63,10 +63,13 @@ def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
     if n < 1:
         return df.limit(0)
     key: Column = col(order_by)
-    df = df.filter(key.isNotNull())
-    keys = df.select(key.alias("k"))
+    by = key.asc_nulls_last()
+    keys = df.filter(key.isNotNull()).select(key.alias("k"))
     if n <= _FEW_ROWS:
-        return df.filter(key <= keys.orderBy("k").limit(n).agg(F.max("k")).scalar()).orderBy(key).limit(n)
+        found = keys.orderBy("k").limit(n).agg(F.struct(F.max("k").alias("k"), F.count("k").alias("n"))).first()[0]
+        if found["n"] == n:
+            df = df.filter(key <= literal_of(found["k"], df.schema[order_by].dataType))
+        return df.orderBy(by).limit(n)
     # About 20 of the n wanted keys are sampled, so the 60th sampled key lies well behind them.
     sampled = keys.sample(20 / n, seed=7).orderBy("k").limit(60)
     bound = sampled.agg(F.max("k").alias("k"), F.count("k").alias("n")).first()
@@ -74,4 +77,4 @@ def first_n(df: DataFrame, n: int, order_by: str) -> DataFrame:
         last = literal_of(bound["k"], df.schema[order_by].dataType)
         if keys.filter(F.col("k") <= last).count() >= n:
             df = df.filter(key <= last)
-    return df.orderBy(key).limit(n)
+    return df.orderBy(by).limit(n)

@@ -175,3 +175,52 @@ def test_row_index_over_many_partitions(spark):
     assert sorted(r["row_idx"] for r in by_key) == list(range(1_000))
     ranked = sorted(by_key, key=lambda r: r["row_idx"])
     assert [(r["hot"], r["id"]) for r in ranked] == sorted((r["hot"], r["id"]) for r in by_key)
+
+
+def test_line_ends_inside_fields_stay(spark, csv):
+    path = csv('a,b\r\n"x\r\ny","p\nq"\r\n1,2\r\n')
+    want = sorted([("x\r\ny", "p\nq"), ("1", "2")], key=repr)
+    assert rows(b.scan_csv(spark, path)) == want
+    assert rows(b.scan_csv(spark, path, multi_line=True)) == want
+
+
+def test_renamed_headers_are_compared(spark, csv):
+    folder = csv("a,a\n1,2\n", "x.csv", "renamed").rsplit("/", 1)[0]
+    csv("a,a\n3,4\n", "y.csv", "renamed")
+    assert b.scan_csv(spark, folder).count() == 2
+    csv("x,y\n5,6\n", "z.csv", "renamed")
+    with pytest.raises(ValueError, match="headers"):
+        b.scan_csv(spark, folder)
+
+
+def test_many_files_with_line_breaks(spark, csv):
+    for k in range(3):
+        path = csv(f'a,b\n"{k}\n",2\n', f"{k}.csv", "breaks")
+    folder = path.rsplit("/", 1)[0]
+    assert rows(b.scan_csv(spark, folder, whole_files=2)) == rows(b.scan_csv(spark, folder)) == [(f"{k}\n", "2") for k in range(3)]
+
+
+def test_one_column_keeps_its_gaps(spark, frame, tmp_path):
+    path = str(tmp_path / "gaps")
+    b.write_csv(frame("a string", [("x",), (None,), ("y",), (None,)]), path)
+    assert rows(b.scan_csv(spark, path)) == sorted([("x",), (None,), ("y",), (None,)], key=repr)
+    path = str(tmp_path / "numbers")
+    b.write_csv(frame("a bigint", [(1,), (None,)]), path)
+    assert b.scan_csv_typed(spark, path).count() == 2
+
+
+def test_order_splits_a_frequent_key(spark, tmp_path):
+    path = str(tmp_path / "ordered")
+    df = spark.range(0, 200_000, 1, 4).selectExpr("CASE WHEN id % 10 = 0 THEN id ELSE -1 END AS k", "id AS v", "repeat('x', 200) AS w")
+    b.write_csv(df, path, order_by="k")
+    sizes = [r["count"] for r in spark.read.text(path).groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 120_000
+    read = b.scan_csv(spark, path, position="at").orderBy("at").collect()
+    assert [int(r["k"]) for r in read] == sorted(int(r["k"]) for r in read)
+
+
+def test_first_rows_without_a_key_come_last(frame):
+    df = frame("k int, v int", [(None, 1), (2, 2), (1, 3)])
+    assert [r["v"] for r in b.first_n(df, 5, "k").collect()] == [3, 2, 1]
+    assert [r["v"] for r in b.first_n(df, 2, "k").collect()] == [3, 2]
+    assert b.first_n(df, 500, "k").count() == 3
