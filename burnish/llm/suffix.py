@@ -24,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, COUNTER_SCHEMA, added_up, byte_view, counted, counter_rows, forget, same, utf8, written
+from .common import BROADCAST_ROWS, COUNTER_SCHEMA, added_up, byte_view, counted, counter_rows, forget, pieces, same, utf8, written
 from .words import mixed
 
 LENGTH = 100
 GRAM = 32
-#: Suffixes of one text that are taken at once.
+#: Suffixes of one text that are taken at once, and bytes of texts whose runs are compared at once.
 BLOCK = 1 << 19
+SLICE_BYTES = 1 << 23
 #: Runs of one anchor that meet in one task; of more frequent anchors every suffix is hashed and grouped by Spark.
 GROUP_ROWS = 20_000
 COUNTERS = 1 << 20
@@ -134,12 +135,19 @@ def _runs_of(column: pa.Array, length: int, gram: int) -> dict[str, np.ndarray]:
     return {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in names}
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few megabytes of text."""
+    for batch in batches:
+        for start, end in pieces(byte_view(batch.column(text))[1], SLICE_BYTES, batch.num_rows):
+            yield batch.slice(start, end - start)
+
+
 def _frequent(docs: DataFrame, length: int, gram: int, group_rows: int) -> np.ndarray:
     """In how many parts the runs of an anchor are dealt out, by a hashed counter; 0 for all but frequent ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in _slices(batches, 0):
             anchors = _runs_of(batch.column(0), length, gram)["anchor"]
             counters += np.bincount(anchors & (COUNTERS - 1), minlength=COUNTERS)
         if counters.any():
@@ -167,7 +175,7 @@ def _first_passes(docs: DataFrame, length: int, gram: int, group_rows: int) -> D
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = parts_of.value
-        for batch in batches:
+        for batch in _slices(batches, 2):
             found = _runs_of(batch.column(2), length, gram)
             row, first, anchor, run = found["row"], found["first"], found["anchor"], found["run"]
             # Of equal runs in the batch, all but the earliest are known to be repeats.
@@ -176,6 +184,8 @@ def _first_passes(docs: DataFrame, length: int, gram: int, group_rows: int) -> D
             repeat = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (run[1:] == run[:-1])])[: len(row)]
             parts = dealt[anchor & (COUNTERS - 1)]
             part = np.where(parts > 0, (run & 0x7FFFFFFF) % np.maximum(parts, 1), -1)
+            # A repeat is done with: it goes anywhere.
+            anchor = np.where(repeat, (first + (row << 20)) * 0x9E3779B1, anchor)
             take = pa.array(row)
             out = [pa.array(np.where(repeat, SPAN, OPEN).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take),
                    pa.array(first), pa.array(last + length), pa.array(anchor), pa.array(run), pa.array(part.astype(np.int32))]
@@ -383,7 +393,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, g
                 for b, e in zip(begin, end, strict=True):
                     left[b:e] = False
                 kept = text[left].tobytes()
-                out.append((len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
