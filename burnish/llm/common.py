@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
-from functools import reduce
+from functools import cache, reduce
 from uuid import uuid4
 
 import numpy as np
@@ -18,16 +17,20 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
 
-    Only a local session that names none gets a temporary one.
+    A cluster must name one. Only a local session that names none, as a test may, gets a temporary one.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -55,16 +58,6 @@ def forget(*tables: DataFrame | None) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-@contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """A list of written tables, deleted when the block ends, also on failure."""
-    tables: list[DataFrame] = []
-    try:
-        yield tables
-    finally:
-        forget(*tables)
-
-
 def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if it is counted to have at most `most` rows, else to be shuffled.
 
