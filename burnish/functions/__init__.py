@@ -12,7 +12,16 @@ from .columns import (
 )
 from .missing import NA_TOKENS, as_missing, is_missing, normalize_na
 from .names import csv_header_names, short_name, standard_name
-from .numbers import is_boolean_text, is_integer_text, is_number_text, to_boolean, to_double, to_long
+from .numbers import (
+    is_boolean_text,
+    is_integer_text,
+    is_number_text,
+    is_unsigned_text,
+    to_boolean,
+    to_double,
+    to_long,
+    to_unsigned,
+)
 from .ratio import percent
 from .rows import column_values, literal_of, literal_rows, name_at
 from .text import WHITESPACE, strip
@@ -31,6 +40,7 @@ __all__ = [
     "is_integer_text",
     "is_missing",
     "is_number_text",
+    "is_unsigned_text",
     "literal_of",
     "literal_rows",
     "name_at",
@@ -46,4 +56,5 @@ __all__ = [
     "to_boolean",
     "to_double",
     "to_long",
+    "to_unsigned",
 ]

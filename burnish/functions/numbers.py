@@ -43,6 +43,12 @@ def is_integer_text(c: Column) -> Column:
     return (c == "") | (c.rlike(INTEGER_PATTERN) & fits)
 
 
+def is_unsigned_text(c: Column) -> Column:
+    """True for a whole number from 0 to 2^64 - 1; an empty text passes."""
+    value = c.try_cast("decimal(38,0)")
+    return (c == "") | (c.rlike(INTEGER_PATTERN) & F.coalesce(value.between(0, LARGEST_WHOLE), F.lit(False)))
+
+
 def is_boolean_text(c: Column) -> Column:
     return c.isin(*BOOLEAN_TEXTS)
 
@@ -51,6 +57,11 @@ def to_long(c: Column) -> Column:
     return c.try_cast("bigint")
 
 
+def to_unsigned(c: Column) -> Column:
+    """Exact up to 2^64 - 1, as pandas' unsigned integers are."""
+    return c.try_cast("decimal(20,0)")
+
+
 def to_double(c: Column) -> Column:
     return c.try_cast("double")
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import (
     col,
@@ -15,6 +14,7 @@ from ..functions import (
     is_integer_text,
     is_missing,
     is_number_text,
+    is_unsigned_text,
     numeric_columns,
     present,
     quoted,
@@ -23,9 +23,10 @@ from ..functions import (
     strip,
     to_double,
     to_long,
+    to_unsigned,
 )
 from ..functions.names import distinct_names
-from .distinct import columns_by_type, value_counts
+from .distinct import value_counts
 from .probe import maybe_numeric
 from .statistics import approximate_medians, exact_medians
 
@@ -75,29 +76,40 @@ def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _coalesced(df, {n: means.getField(f"c{i}") for i, n in enumerate(names)})
 
 
-def fill_median(df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False) -> DataFrame:
+def fill_median(
+    df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False, accuracy: int | None = None
+) -> DataFrame:
     """Fill missing numbers with the column's median; a filled column becomes double.
 
-    The median is exact and found by `exact_medians`, or with `approximate` taken from a sample.
+    The median is exact and found by `exact_medians`, whose count of values also shows the gaps; or
+    with `approximate` it is taken from a sketch of all rows.
     """
-    names = _numeric_gaps(df, columns)
+    names = [n for n in numeric_columns(df) if columns is None or n in columns]
     if not names:
         return df
-    medians = approximate_medians(df, names) if approximate else exact_medians(df, names)
-    return _coalesced(df, {n: F.lit(medians[n]).cast("double") for n in names})
+    if approximate:
+        more = {} if accuracy is None else {"accuracy": accuracy}
+        names = missing_columns(df, names) if columns is None else names
+        medians = approximate_medians(df, names, **more) if names else {}
+    else:
+        medians = exact_medians(df, names, gaps_only=columns is None)
+    return _coalesced(df, {n: F.lit(m).cast("double") for n, m in medians.items()}) if medians else df
 
 
-def modes(df: DataFrame, columns: list[str], dtype: T.DataType) -> DataFrame:
-    """One row with the most frequent value of each column, the smallest on ties.
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the most frequent value of each column, the smallest on ties, as fields c0, c1, …
 
-    Counting is spread over the values; a column's winner is kept as a running minimum, so no task
-    gathers the values of a column.
+    All columns are counted in one scan, spread over the values; a column's winner is kept as a
+    running minimum, so no task gathers the values of a column.
     """
-    counted = value_counts(df, columns, dtype)
+    counted, kinds = value_counts(df, columns)
+    values = [f"v{k}" for k in range(max(kinds) + 1)]
     best = counted.groupBy("position").agg(
-        F.min_by("value", F.struct(-F.col("occurrences"), F.col("value"))).alias("value")
+        F.min_by(F.struct(*values), F.struct(-F.col("occurrences"), *[F.col(v) for v in values])).alias("value")
     )
-    at = [F.max(F.when(F.col("position") == i, F.col("value"))).alias(f"c{i}") for i in range(len(columns))]
+    at = [
+        F.max(F.when(F.col("position") == i, F.col(f"value.v{kinds[i]}"))).alias(f"c{i}") for i in range(len(columns))
+    ]
     return best.agg(F.struct(*at))
 
 
@@ -105,13 +117,11 @@ def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Fill missing values of any type with the column's most frequent value, the smallest on ties."""
     usable = groupable_columns(df)
     names = missing_columns(df, usable) if columns is None else [n for n in usable if n in columns]
+    if not names:
+        return df
+    row = modes(df, names).scalar()
     fields = {f.name: f for f in df.schema}
-    values = {}
-    for dtype, family in columns_by_type(df, names).items():
-        row = modes(df, family, dtype).scalar()
-        for i, n in enumerate(family):
-            values[n] = row.getField(f"c{i}").cast(fields[n].dataType)
-    return _coalesced(df, values) if values else df
+    return _coalesced(df, {n: row.getField(f"c{i}").cast(fields[n].dataType) for i, n in enumerate(names)})
 
 
 def fill_by_chunk(df: DataFrame, method: str, chunk: str = "chunk_id", columns: list[str] | None = None) -> DataFrame:
@@ -160,10 +170,11 @@ def standardize_columns(df: DataFrame, *, on_clash: str = "number") -> DataFrame
 
 @dataclass(frozen=True)
 class TextFacts:
-    """Which text columns hold numbers only, and which of those only whole numbers."""
+    """Which text columns hold numbers only: whole ones, whole ones above the largest bigint, any others."""
 
-    whole: tuple[str, ...]
-    fractional: tuple[str, ...]
+    whole: tuple[str, ...] = ()
+    fractional: tuple[str, ...] = ()
+    unsigned: tuple[str, ...] = ()
 
 
 def text_fact_columns(texts: dict[str, Column]) -> list[Column]:
@@ -173,16 +184,23 @@ def text_fact_columns(texts: dict[str, Column]) -> list[Column]:
         counts += [
             F.count_if(~is_number_text(c)).alias(f"text{i}"),
             F.count_if(~is_integer_text(c)).alias(f"fraction{i}"),
+            F.count_if(~is_unsigned_text(c)).alias(f"signed{i}"),
         ]
     return counts
 
 
+def number_kind(row, i: int, filled: bool) -> str | None:
+    """What the text column with the aggregates `i` holds: whole, unsigned or fractional numbers, or None."""
+    if row[f"text{i}"]:
+        return None
+    if not filled:
+        return "fractional"
+    return "whole" if row[f"fraction{i}"] == 0 else "unsigned" if row[f"signed{i}"] == 0 else "fractional"
+
+
 def read_text_facts(texts: dict[str, Column], row) -> TextFacts:
-    whole, fractional = [], []
-    for i, n in enumerate(texts):
-        if row[f"text{i}"] == 0:
-            (whole if row[f"fraction{i}"] == 0 and row["filled"][f"c{i}"] else fractional).append(n)
-    return TextFacts(tuple(whole), tuple(fractional))
+    found = {n: number_kind(row, i, row["filled"][f"c{i}"]) for i, n in enumerate(texts)}
+    return TextFacts(**{k: tuple(n for n in texts if found[n] == k) for k in ("whole", "fractional", "unsigned")})
 
 
 def filled_flags(texts: dict[str, Column]) -> Column:
@@ -193,18 +211,29 @@ def filled_flags(texts: dict[str, Column]) -> Column:
 def numeric_texts(df: DataFrame, texts: dict[str, Column] | None = None) -> TextFacts:
     """Find the text columns whose every value is a number: a short probe, then one pass."""
     texts = {n: col(n) for n in string_columns(df)} if texts is None else texts
-    texts = maybe_numeric(df, texts)
-    if not texts:
-        return TextFacts((), ())
-    return read_text_facts(texts, df.agg(*text_fact_columns(texts), filled_flags(texts)).first())
+    return facts_and_gaps(df, texts, [])[0]
+
+
+def facts_and_gaps(df: DataFrame, texts: dict[str, Column], gaps_of: list[str]) -> tuple[TextFacts, list[str]]:
+    """What text columns hold, and which of other columns have a missing value, in one pass after a short probe."""
+    texts = maybe_numeric(df, texts) if texts else {}
+    wanted = [*text_fact_columns(texts), filled_flags(texts)] if texts else []
+    wanted += [F.bool_or(is_missing(df.schema[n])).alias(f"gap{i}") for i, n in enumerate(gaps_of)]
+    if not wanted:
+        return TextFacts(), []
+    row = df.agg(*wanted).first()
+    facts = read_text_facts(texts, row) if texts else TextFacts()
+    return facts, [n for i, n in enumerate(gaps_of) if row[f"gap{i}"]]
 
 
 def convert_types(df: DataFrame, facts: TextFacts | None = None) -> DataFrame:
     """Turn text columns whose every value is a number into bigint, or double if any has a fraction.
 
-    All other columns stay as they are.
+    Whole numbers from 0 to 2^64 - 1 of which some need it become decimals of 20 digits. All other
+    columns stay as they are.
     """
     facts = numeric_texts(df) if facts is None else facts
     converted = {n: to_long(col(n)) for n in facts.whole}
+    converted |= {n: to_unsigned(col(n)) for n in facts.unsigned}
     converted |= {n: to_double(col(n)) for n in facts.fractional}
     return _replace_columns(df, converted)

@@ -36,20 +36,24 @@ def _widened(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def columns_by_type(df: DataFrame, columns: list[str]) -> dict[T.DataType, list[str]]:
-    """Columns that can share one value column without losing their order or equality."""
-    families: dict[T.DataType, list[str]] = {}
-    for field in df.schema:
-        if field.name in columns:
-            families.setdefault(_widened(field.dataType), []).append(field.name)
-    return families
+def value_counts(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[int]]:
+    """(position, v0, v1, …, occurrences) for all columns in one scan, and which of v0, v1, … each column uses.
 
-
-def value_counts(df: DataFrame, columns: list[str], dtype: T.DataType) -> DataFrame:
-    """(position, value, occurrences) for columns of one type; missing values are left out."""
+    Columns that can share one value column without losing their order or equality do; a row fills
+    one of them. Missing values are left out.
+    """
     fields = {f.name: f for f in df.schema}
-    values = df.select(*[present(fields[n]).cast(dtype).alias(n) for n in columns])
-    return column_values(values, columns).groupBy("position", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    wide = [_widened(fields[n].dataType) for n in columns]
+    types = list(dict.fromkeys(wide))
+    cells: list[Column] = [F.lit(len(columns))]
+    for i, n in enumerate(columns):
+        value = present(fields[n]).cast(wide[i])
+        cells += [F.lit(i), *[value if t == wide[i] else F.lit(None).cast(t) for t in types]]
+    names = [f"v{k}" for k in range(len(types))]
+    filled = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in names])
+    long = df.select(F.stack(*cells).alias("position", *names)).filter(filled)
+    counted = long.groupBy("position", *names).agg(F.count(F.lit(1)).alias("occurrences"))
+    return counted, [types.index(t) for t in wide]
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
@@ -65,16 +69,11 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, *, exact: b
         wide = df.agg(*[F.approx_count_distinct(present(fields[n])).alias(f"u{i}") for i, n in enumerate(names)])
         rows = [F.struct(F.lit(n).alias("column"), F.col(f"u{i}").alias("unique_values")) for i, n in enumerate(names)]
         return wide.select(F.inline(F.array(*rows)))
-    counted = [
-        value_counts(df, family, dtype)
-        .groupBy("position")
-        .agg(F.count(F.lit(1)).alias("unique_values"))
-        .select(name_at(family).alias("column"), "unique_values")
-        for dtype, family in columns_by_type(df, names).items()
-    ]
+    counted, _ = value_counts(df, names)
+    found = counted.groupBy("position").agg(F.count(F.lit(1)).alias("unique_values"))
     # A column with nothing but missing values has no group, yet belongs in the answer.
     zero = literal_rows(df.sparkSession, "column string, unique_values bigint", [(n, 0) for n in names])
-    every = reduce(DataFrame.unionByName, counted, zero)
+    every = found.select(name_at(names).alias("column"), "unique_values").unionByName(zero)
     return every.groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
 
 

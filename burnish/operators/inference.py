@@ -12,25 +12,28 @@ from ..functions import (
     is_boolean_text,
     is_integer_text,
     is_number_text,
+    is_unsigned_text,
     string_columns,
     to_boolean,
     to_double,
     to_long,
+    to_unsigned,
 )
 from ..sources.csv import scan_csv
 from .probe import probe
 
 
 def scan_csv_typed(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    """A CSV scan with each column as bigint, double, boolean or text, whichever holds all values."""
+    """A CSV scan with each column as bigint, decimal, double, boolean or text, whichever holds all values."""
     return infer_types(scan_csv(spark, path, **options))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Give text columns the narrowest type that all their values fit.
 
-    Whole numbers with gaps become double and booleans with gaps stay text, as in pandas. The first
-    rows rule most types out; one pass over the whole table decides on the others.
+    Whole numbers above the largest bigint are decimals of 20 digits, which hold all of 64 unsigned
+    bits. Whole numbers with gaps become double and booleans with gaps stay text, as in pandas. The
+    first rows rule most types out; one pass over the whole table decides on the others.
     """
     names = string_columns(df)
     tests = {}
@@ -39,6 +42,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         tests |= {
             f"number {n}": is_number_text(c),
             f"integer {n}": is_integer_text(c) & c.isNotNull(),
+            f"unsigned {n}": is_unsigned_text(c) & c.isNotNull(),
             f"boolean {n}": is_boolean_text(c) & c.isNotNull(),
         }
     failed = probe(df, [], tests).failed
@@ -54,6 +58,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     for n in names:
         if f"integer {n}" in holds:
             typed[n] = to_long(col(n))
+        elif f"unsigned {n}" in holds:
+            typed[n] = to_unsigned(col(n))
         elif f"number {n}" in holds:
             typed[n] = to_double(col(n))
         elif f"boolean {n}" in holds:

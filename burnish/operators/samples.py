@@ -5,41 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import col, column_values, literal_of, literal_rows, name_at, present
+from ..functions import col, column_values, literal_rows, name_at, present
 from ..options import SAMPLE_VALUES
 from ..sources.order import first_n
 
 PREFIX_ROWS = 100
 
 
-def _rows_behind(texts: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """The rows that hold the first `n` values of columns whose values lie far behind.
-
-    Each pass finds the next smallest key for all of the columns at once.
-    """
-    dtype = texts.schema["__row"].dataType
-    last: dict[str, Column] = {}
-    keys: list[Column] = []
-    for _ in range(n):
-        following = []
-        for c in columns:
-            wanted = F.col(c).isNotNull()
-            if c in last:
-                wanted = wanted & (F.col("__row") > last[c])
-            following.append(F.min(F.when(wanted, F.col("__row"))).alias(c))
-        found = texts.agg(*following).first()
-        columns = [c for c in columns if found[c] is not None]
-        if not columns:
-            break
-        last = {c: literal_of(found[c], dtype) for c in columns}
-        keys += last.values()
-    return texts.filter(F.col("__row").isin(*keys)) if keys else texts.limit(0)
-
-
 def sample_values(
     df: DataFrame,
     order_by: str,
@@ -51,8 +27,8 @@ def sample_values(
     """(column, sample_values): the first `n` non-missing values of each column by `order_by`, as text.
 
     Nearly always the first rows hold them, and those are cheap to read. Columns with too few values
-    there are searched in the whole table, all of them together. `empty` names columns known to have
-    no value at all.
+    there are looked for in one scan of the whole table, all of them together; each task passes on
+    `n` values of a column. `empty` names columns known to have no value at all.
     """
     fields = {f.name: f for f in df.schema}
     names = [c for c in df.columns if c not in empty]
@@ -70,8 +46,8 @@ def sample_values(
 
     parts = [long(prefix, [c for c in texts.columns[1:] if c not in behind])] if len(behind) < len(names) else []
     if behind:
-        parts.append(long(_rows_behind(texts.select("__row", *behind), behind, n), behind))
-    rank = F.row_number().over(W.partitionBy("column").orderBy("__row"))
+        parts.append(long(texts.select("__row", *behind), behind))
+    rank = F.row_number().over(W.partitionBy("column").orderBy(F.col("__row").asc_nulls_last()))
     kept = reduce(DataFrame.unionByName, parts).withColumn("__rank", rank).filter(F.col("__rank") <= n)
     collected = kept.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))).getField("value").alias("sample_values")

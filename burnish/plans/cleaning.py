@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import col, string_columns, strip
 from ..functions.missing import is_missing
+from ..functions.names import distinct_names
 from ..operators.cleaning import (
     TextFacts,
     convert_types,
     drop_missing,
+    facts_and_gaps,
     fill_by_chunk,
     fill_mean,
     fill_median,
     fill_mode,
-    missing_columns,
-    numeric_texts,
     standardize_columns,
     trim_whitespace,
 )
@@ -32,24 +32,39 @@ _ROW, _CHUNK = "__row", "__chunk"
 _FILLS = {"fill_mean": fill_mean, "fill_median": fill_median, "fill_mode": fill_mode}
 
 
-def _conversion(df: DataFrame, options: CleanOptions) -> TextFacts:
-    # Copies of rows do not change which columns hold numbers, nor do fill values, which the column
-    # holds already. So this looks at the table before both and shuffles nothing.
-    rows = drop_missing(df) if options.handle_missing == "drop" else df
-    texts = {n: strip(col(n)) if options.trim_whitespace else col(n) for n in string_columns(rows)}
-    return numeric_texts(rows, texts)
+def _facts(df: DataFrame, options: CleanOptions) -> tuple[TextFacts | None, list[str] | None]:
+    """Which text columns are numbers and which columns have gaps, as far as the options need them, in one pass.
 
-
-def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str | None = None, **chosen) -> DataFrame:
+    Copies of rows change neither, nor do fill values, which the column holds already. So this looks
+    at the table before both and shuffles nothing.
+    """
+    filling = options.handle_missing in FILL_METHODS
+    texts = {}
+    if options.convert_types:
+        df = drop_missing(df) if options.handle_missing == "drop" else df
+        texts = {n: strip(col(n)) if options.trim_whitespace else col(n) for n in string_columns(df)}
+    facts, gaps = facts_and_gaps(df, texts, df.columns if filling else [])
+    return (facts if options.convert_types else None), (gaps if filling else None)
+
+
+def clean(
+    df: DataFrame,
+    options: CleanOptions | None = None,
+    *,
+    order_by: str | None = None,
+    counts: dict[str, Observation] | None = None,
+    **chosen,
+) -> DataFrame:
     """Clean a table: duplicates, names, missing values, trim, types, each if chosen.
 
     Two facts about the data shape the result: which columns have gaps, and which text columns are
-    numbers. Each is looked up at once in one pass without a shuffle; the cleaning itself is lazy,
+    numbers. Both are looked up at once in one pass without a shuffle; the cleaning itself is lazy,
     but for medians after dedup, for which the distinct rows are written to the shared folder once.
     `order_by` names a column that places the rows and takes no part in the cleaning; of equal rows
     the first stays. With `scope="chunk"` fill values come from runs of `chunk_rows` rows, placed by
     `order_by` (then a dense row number) or else in scan order; duplicates are then not removed, as
-    fill values would depend on which copies stay.
+    fill values would depend on which copies stay. `counts` observes `rows` of those `read` and of
+    those that are `distinct`; not for fill values, which read the rows more than once.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
     by_chunk = options.scope == "chunk" and options.handle_missing in FILL_METHODS
@@ -59,12 +74,14 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
     carried = [order_by] if order_by is not None else []
     body = df.drop(*carried) if carried else df
     if options.standardize_columns:
-        body_names = standardize_columns(body).columns
+        # Names are numbered against the one that stays as it is.
+        body_names = distinct_names([*carried, *standardize_columns(body).columns], "_")[len(carried) :]
         names = iter(body_names)
         df = df.toDF(*[n if n in carried else next(names) for n in df.columns])
         body = body.toDF(*body_names)
-    facts = _conversion(body, options) if options.convert_types else None
-    gaps = missing_columns(body) if options.handle_missing in FILL_METHODS else None
+    facts, gaps = _facts(body, options)
+    if counts:
+        df = df.observe(counts["read"], F.count(F.lit(1)).alias("rows"))
 
     if by_chunk:
         out = _filled_by_chunk(df, options, order_by, gaps)
@@ -75,6 +92,8 @@ def clean(df: DataFrame, options: CleanOptions | None = None, *, order_by: str |
             if gaps and options.handle_missing == "fill_median":
                 # Medians take several passes; each would shuffle the whole table again.
                 out = materialized(out)
+        if counts:
+            out = out.observe(counts["distinct"], F.count(F.lit(1)).alias("rows"))
         if options.handle_missing == "drop":
             out = drop_missing(out, body.columns)
         elif gaps is not None:
@@ -116,29 +135,33 @@ def clean_summary(df: DataFrame, options: CleanOptions | None = None, **chosen)
 
 @dataclass(frozen=True)
 class CleanResult:
-    """What a cleaning run did."""
+    """What a cleaning run did: rows after duplicates, rows written, and the rows that the steps removed."""
 
     output_path: str
     rows_processed: int
     rows_out: int
     columns: tuple[str, ...]
+    rows_removed: int = 0
+    duplicates_removed: int = 0
+    missing_removed: int = 0
 
 
 def clean_to_csv(
     df: DataFrame, path: str, options: CleanOptions | None = None, *, mode: str = "error", **chosen
 ) -> CleanResult:
-    """Clean and write as CSV. The rows written are counted while they are written.
+    """Clean and write as CSV. Rows are counted while they are read, after duplicates, and while they are written.
 
     A failure is raised; a folder without `_SUCCESS` was not finished.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
-    cleaned = clean(df, options)
-    seen = Observation()
-    counted = cleaned.observe(seen, F.count(F.lit(1)).alias("rows_out"))
-    write_csv(counted, path, mode=mode)
-    rows_out = seen.get["rows_out"]
-    # Duplicates are counted as processed before incomplete rows go; only that case needs a count.
-    processed = rows_out
-    if options.remove_duplicates and options.handle_missing == "drop":
-        processed = clean_summary(df, options).first()["rows_after_dedup"]
-    return CleanResult(path, processed, rows_out, tuple(cleaned.columns))
+    several = options.handle_missing in FILL_METHODS  # fill values read the rows once more
+    seen, counts = Observation(), {"read": Observation(), "distinct": Observation()}
+    cleaned = clean(df, options, counts=None if several else counts)
+    write_csv(cleaned.observe(seen, F.count(F.lit(1)).alias("rows")), path, mode=mode)
+    rows_out = seen.get["rows"]
+    # Fill values remove no rows, so only the rows before are counted.
+    rows_in = df.count() if several else counts["read"].get["rows"]
+    processed = rows_out if several else counts["distinct"].get["rows"]
+    return CleanResult(
+        path, processed, rows_out, tuple(cleaned.columns), rows_in - rows_out, rows_in - processed, processed - rows_out
+    )

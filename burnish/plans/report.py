@@ -18,11 +18,12 @@ from ..functions import (
     present,
     string_columns,
 )
-from ..operators.cleaning import text_fact_columns
+from ..operators.cleaning import number_kind, text_fact_columns
 from ..operators.counts import table_counts
 from ..operators.distinct import duplicate_estimate, duplicate_rows, label_distinct, plentiful
 from ..operators.probe import probe
 from ..operators.samples import sample_values
+from ..operators.statistics import describe_numeric
 from ..options import DISTINCT_CAP
 from ..sources.files import size_mb
 
@@ -49,9 +50,8 @@ def _inferred(row, i: int, field: T.StructField, text: int | None, total: int) -
         return dtype_name(field.dataType)
     if total and row[f"other{i}"] == 0 and row[f"missing{i}"] == 0:
         return "bool"
-    if text is None or not total or row[f"text{text}"]:
-        return "object"
-    return "int64" if row[f"fraction{text}"] == 0 and row[f"missing{i}"] < total else "float64"
+    kind = None if text is None or not total else number_kind(row, text, row[f"missing{i}"] < total)
+    return {"whole": "int64", "unsigned": "uint64", "fractional": "float64", None: "object"}[kind]
 
 
 def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
@@ -106,14 +106,45 @@ def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
     return profile
 
 
-def quality_report_json(df: DataFrame, order_by: str, *, path: str | None = None) -> DataFrame:
-    """One row, one JSON text: the table profile with the column profiles nested by column name."""
+def quality_report_json(
+    df: DataFrame, order_by: str, *, path: str | None = None, statistics: bool = True, sample_rows: int | None = None
+) -> DataFrame:
+    """One row, one JSON text: the table profile with the column profiles nested by column name.
+
+    `unique_values` is a number below the cap and a text such as `1000+` from there. With `statistics`
+    numeric columns have mean, median, std, min and max, of the first `sample_rows` rows if given.
+    `path` adds the size of the files there, in MiB, as `memory_usage`.
+    """
     columns = column_profile(df, order_by)
-    entry = F.struct(
-        F.col("column").alias("key"),
-        F.struct("dtype", "missing_count", "missing_percentage", "unique_values", "sample_values").alias("value"),
+    body = df.drop(order_by)
+    known = ["dtype", "missing_count", "missing_percentage"]
+    few = F.col("unique_values").try_cast("bigint")
+    unique = F.when(few.isNotNull(), F.to_json(F.struct(few.alias("v")))).otherwise(
+        F.to_json(F.struct(F.col("unique_values").alias("v")))
+    )
+    if statistics:
+        described = describe_numeric(df if sample_rows else body, sample_rows=sample_rows, order_by=order_by if sample_rows else None)
+        # Both have one row per column of the table.
+        columns = columns.join(F.broadcast(described.drop("ordinal")), "column", "left")
+    given = [c for c in ("mean", "median", "std", "min", "max") if c in columns.columns]
+    first = F.to_json(F.struct(*known))
+    rest = F.to_json(F.struct("sample_values", *given))  # leaves out what a column does not have
+    # {"dtype":…} + {"v":…} + {"sample_values":…}: a JSON field cannot be a number in one row and a text in the next.
+    entry = F.concat(
+        F.expr("substring(first, 1, length(first) - 1)"),
+        F.lit(',"unique_values":'),
+        F.expr("substring(uniq, 6, length(uniq) - 6)"),
+        F.lit(","),
+        F.expr("substring(rest, 2)"),
     )
-    by_name = columns.agg(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("entry")))).alias("all"))
-    nested = by_name.select(F.map_from_entries(F.col("all.entry")).alias("column_analysis")).scalar()
-    table = table_profile(df.drop(order_by), path=path).withColumn("column_analysis", nested)
-    return table.select(F.to_json(F.struct("*")).alias("quality_report"))
+    parts = columns.select("ordinal", "column", first.alias("first"), unique.alias("uniq"), rest.alias("rest"))
+    name = F.expr("substring(to_json(named_struct('v', column)), 6, length(to_json(named_struct('v', column))) - 6)")
+    entries = parts.select("ordinal", F.concat(name, F.lit(":"), entry).alias("entry"))
+    listed = entries.agg(F.array_sort(F.collect_list(F.struct("ordinal", "entry"))).alias("all"))
+    nested = listed.select(F.concat(F.lit("{"), F.array_join("all.entry", ","), F.lit("}"))).scalar()
+    table = table_profile(body, path=path)
+    if path is not None:
+        table = table.withColumnRenamed("size_mb", "memory_usage")
+    whole = F.to_json(F.struct(*table.columns))
+    report = F.concat(F.expr("substring(whole, 1, length(whole) - 1)"), F.lit(',"column_analysis":'), F.col("nested"), F.lit("}"))
+    return table.select(whole.alias("whole"), nested.alias("nested")).select(report.alias("quality_report"))

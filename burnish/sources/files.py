@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..options import ONE_TASK_ROWS
+from ..options import MAX_FILE_BYTES, ONE_TASK_ROWS
 
 BYTES_PER_MB = 1024 * 1024
 
@@ -43,9 +44,9 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def admit_files(
-    spark: SparkSession, path: str, *, extension: str = "csv", max_bytes: int | None = None
+    spark: SparkSession, path: str, *, extension: str = "csv", max_bytes: int | None = MAX_FILE_BYTES
 ) -> DataFrame:
-    """Files below `path` with the extension, in any case, and at most `max_bytes` long."""
+    """Files below `path` with the extension, in any case, and at most `max_bytes` long (None: any length)."""
     files = _listing(spark, path)
     wanted: Column = F.lower(F.element_at(F.split("path", r"\."), -1)) == extension.lower()
     if max_bytes is not None:
@@ -60,25 +61,40 @@ def size_mb(spark: SparkSession, path: str) -> DataFrame:
 
 
 def working_dir(spark: SparkSession) -> str:
-    """The folder every executor shares, as `spark.checkpoint.dir` names it.
+    """The folder every executor shares: `spark.checkpoint.dir`, or the context's checkpoint folder.
 
-    A local session without the setting gets a temporary folder; a cluster must name one.
+    A cluster must name one. Only a local session that names none, as a test may, gets a temporary one;
+    the session's own settings stay as they are.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="burnish-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """The rows of `df`, written once as parquet to the shared folder and read back from there.
 
-    Unlike a checkpoint, the table can be read by column. It stays until the folder is cleaned up.
+    Unlike a checkpoint, the table can be read by column. `clear_materialized` deletes it.
     """
     path = f"{working_dir(df.sparkSession)}/burnish-{uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete the tables that operators have written to the shared folder; results that still read them end."""
+    while _WRITTEN:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 import burnish as b
+from burnish.functions import literal_rows
 from burnish.sources import working_dir
 
 from .registry import check
@@ -68,19 +69,45 @@ def csv_skip_bad_lines(spark, sf_dir):
     return b.scan_csv(spark, _uneven_lines(spark, sf_dir), bad_lines="skip")
 
 
-@check()
-def admitted_files(spark, sf_dir):
-    return b.admit_files(spark, sf_dir, extension="parquet", max_bytes=100 * 1024 * 1024)
+@check("SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS text_sha256, lang FROM documents")
+def csv_crlf(spark, sf_dir):
+    """Lines that end with a carriage return and a line feed; line feeds in fields are kept."""
+    path = fresh(spark)
+    lines = table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), "lang").alias("value"))
+    header = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
+    # One file, the header first.
+    header.unionByName(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    read = b.scan_csv(spark, path, na=False)
+    return read.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@check("""SELECT CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def csv_one_column(spark, sf_dir):
+    """A table of one column with gaps, written and read back: no row is lost."""
+    path = fresh(spark)
+    b.write_csv(table(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderstatus END AS o_orderstatus"), path)
+    return b.scan_csv(spark, path)
 
 
-@check()
-def size_mb(spark, sf_dir):
-    return b.size_mb(spark, sf_dir)
+@check("""SELECT count(*) AS refused FROM (SELECT 1 WHERE EXISTS (SELECT * FROM part WHERE p_partkey % 10 IN (1, 2, 4)))""")
+def csv_strict(spark, sf_dir):
+    """A scan that accepts no line of another width fails, and says why."""
+    try:
+        b.scan_csv(spark, _uneven_lines(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+        refused = 0
+    except Exception as e:
+        if "more than 4 fields" not in str(e):
+            raise
+        refused = 1
+    return literal_rows(spark, "refused bigint", [(refused,)])
 
 
 @check(f"""WITH d AS (SELECT DISTINCT * FROM ({view_sql('copied_events')}))
     SELECT count(*) AS rows_processed, count(*) FILTER (WHERE event_id IS NOT NULL AND user_id IS NOT NULL
-        AND event_type IS NOT NULL AND value IS NOT NULL) AS rows_out FROM d""")
+        AND event_type IS NOT NULL AND value IS NOT NULL) AS rows_out,
+        (SELECT count(*) FROM ({view_sql('copied_events')})) - count(*) AS duplicates_removed,
+        count(*) FILTER (WHERE user_id IS NULL OR value IS NULL) AS missing_removed FROM d""")
 def clean_to_csv(spark, sf_dir):
     """Rows counted while writing must be the rows in the files."""
     path = fresh(spark)
@@ -88,7 +115,8 @@ def clean_to_csv(spark, sf_dir):
         view(spark, sf_dir, "copied_events"), path, remove_duplicates=True, handle_missing="drop"
     )
     written = b.scan_csv(spark, path).agg(F.count(F.lit(1)).alias("rows_out"))
-    return written.select(F.lit(result.rows_processed).cast("bigint").alias("rows_processed"), "rows_out")
+    counts = ("rows_processed", "duplicates_removed", "missing_removed")
+    return written.select(*[F.lit(getattr(result, c)).cast("bigint").alias(c) for c in counts], "rows_out")
 
 
 @check("""SELECT 'orders' AS id, 'orders.csv' AS filename, 'completed' AS status, count(*) AS rows_processed FROM orders

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import burnish as b
 from burnish.functions import literal_rows
+from burnish.operators.rules import EMAIL_PATTERN
 
 from .registry import check
 from .views import table, view, view_sql
@@ -82,9 +83,13 @@ def unique_labels(spark, sf_dir):
     return b.distinct_labels(view(spark, sf_dir, "gappy_lineitem"))
 
 
-@check()
+@check(f"""WITH d AS ({view_sql('gappy_lineitem')}) {UNIQUE_SQL.replace('AS unique_values', '> 0 AS within_bound')}""")
 def unique_approx(spark, sf_dir):
-    return b.distinct_counts(view(spark, sf_dir, "gappy_lineitem"), exact=False)
+    """The sketch's counts are off by less than a fifth of the exact ones, four times its standard error."""
+    gappy = view(spark, sf_dir, "gappy_lineitem")
+    exact = b.distinct_counts(gappy).withColumnRenamed("unique_values", "exact")
+    close = F.abs(F.col("unique_values") - F.col("exact")) <= 0.2 * F.col("exact")
+    return b.distinct_counts(gappy, exact=False).join(exact, "column").select("column", close.alias("within_bound"))
 
 
 @check("WITH d AS (" + view_sql("gappy_orders") + ") " + per_column(
@@ -181,8 +186,6 @@ def json_records(spark, sf_dir):
     return b.to_json_records(view(spark, sf_dir, "gappy_orders"))
 
 
-INFERRED = {"whole": "int64", "fraction": "float64", "exponent": "float64", "one_bad": "object", "gaps": "int64",
-            "nothing": "float64", "too_long": "float64", "c_mktsegment": "object"}
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 PROFILE_SQL = f"""
     WITH d AS ({view_sql('text_customer')}), n AS ({per_column(
@@ -192,12 +195,13 @@ PROFILE_SQL = f"""
         " count(*) FILTER (WHERE NOT regexp_matches({c}, '" + NUMBER.replace("{", "{{").replace("}", "}}") + "')) AS texts,"
         " count(*) FILTER (WHERE {c} IS NOT NULL AND NOT (regexp_matches({c}, '^\\s*[+-]?[0-9]+\\s*$')"
         " AND TRY_CAST(trim({c}) AS BIGINT) IS NOT NULL)) AS fractions,"
+        " count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST(trim({c}) AS UBIGINT) IS NULL) AS signed,"
         " (SELECT string_agg({c}, '|' ORDER BY c_custkey) FROM (SELECT c_custkey, {c} FROM d WHERE {c} IS NOT NULL"
         " ORDER BY c_custkey LIMIT 3)) AS samples FROM d",
     )})
     SELECT ordinal, name AS "column", 'string' AS declared_dtype,
            CASE WHEN texts > 0 THEN 'object' WHEN fractions = 0 AND missing_count < n THEN 'int64'
-                ELSE 'float64' END AS dtype,
+                WHEN signed = 0 AND missing_count < n THEN 'uint64' ELSE 'float64' END AS dtype,
            missing_count, {percent_sql('missing_count', 'n')} AS missing_percentage, {label_sql('u')} AS unique_values,
            coalesce(samples, '') AS sample_values
     FROM n"""
@@ -226,27 +230,86 @@ def column_profile_lineitem(spark, sf_dir):
     return b.column_profile(view(spark, sf_dir, "gappy_lineitem"))
 
 
+@check("""WITH d AS (SELECT embedding, label FROM embeddings) """ + " UNION ALL ".join(
+    profile_row_sql(i, c, *kinds) for i, (c, kinds) in enumerate({"embedding": ("array<float>", "object"), "label": ("int", "int64")}.items())))
+def column_profile_embeddings(spark, sf_dir):
+    return b.column_profile(table(spark, sf_dir, "embeddings").select("embedding", "label"))
+
+
+@check("WITH d AS (SELECT * FROM events) " + " UNION ALL ".join(
+    profile_row_sql(i, c, *kinds) for i, (c, kinds) in enumerate({
+        "event_id": ("bigint", "int64"), "ts": ("timestamp_ntz", "object"), "user_id": ("bigint", "int64"), "event_type": ("string", "object"),
+        "value": ("double", "float64"), "props": ("string", "object")}.items())))
+def column_profile_events(spark, sf_dir):
+    return b.column_profile(table(spark, sf_dir, "events"))
+
+
+@check("""WITH d AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE -o_totalprice END AS price, o_custkey % 3 AS few FROM orders)
+    SELECT 'price' AS "column", CAST(median(CAST(price AS DOUBLE)) AS DOUBLE) AS median FROM d
+    UNION ALL SELECT 'few', CAST(median(CAST(few AS DOUBLE)) AS DOUBLE) FROM d""")
+def exact_median_frequent(spark, sf_dir):
+    """Half of a column is one value, and its other values are distinct."""
+    orders = table(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE -o_totalprice END AS price", "o_custkey % 3 AS few")
+    medians = b.exact_medians(orders, ["price", "few"], one_task_rows=500)
+    return literal_rows(spark, "column string, median double", list(medians.items()))
+
+
+@check("""SELECT c_custkey, c_nationkey FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS c_custkey, c_custkey AS was, c_nationkey FROM customer)
+    WHERE c_custkey IS NOT NULL""")
+def first_rows_without_keys(spark, sf_dir):
+    """Rows without a key come last: as many first rows as there are keys are those that have one."""
+    customers = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS c_custkey", "c_nationkey")
+    keys = customers.filter("c_custkey IS NOT NULL").count()
+    every = b.first_n(customers, 2 * keys + 10, "c_custkey")
+    if every.count() != customers.count():
+        raise ValueError("rows without a key are lost")
+    return b.first_n(customers, keys, "c_custkey")
+
+
 REPORTED = {"o_custkey": "int64", "o_orderstatus": "object", "o_totalprice": "float64", "o_orderpriority": "object"}
 
 
 def report_entry_sql(c: str, dtype: str) -> str:
     gaps = f"count(*) FILTER (WHERE {c} IS NULL)"
     first = f"SELECT {c}, o_orderkey FROM d WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 3"
-    return f"""'{c}': {{'dtype': '{dtype}', 'missing_count': (SELECT {gaps} FROM d),
+    fields = f"""'dtype': '{dtype}', 'missing_count': (SELECT {gaps} FROM d),
         'missing_percentage': (SELECT {percent_sql(gaps, "count(*)")} FROM d),
         'unique_values': (SELECT {label_sql(f"count(DISTINCT {c})")} FROM d),
-        'sample_values': (SELECT list(CAST({c} AS VARCHAR) ORDER BY o_orderkey) FROM ({first}))}}"""
+        'sample_values': (SELECT list(CAST({c} AS VARCHAR) ORDER BY o_orderkey) FROM ({first}))"""
+    if dtype != "object":
+        fields += "".join(f", '{s}': (SELECT {f} FROM d)" for s, f in (
+            ("mean", f"round(avg(CAST({c} AS DOUBLE)), 4)"), ("median", f"round(CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE), 4)"),
+            ("std", f"round(stddev_samp(CAST({c} AS DOUBLE)), 4)"), ("min", f"CAST(min({c}) AS DOUBLE)"), ("max", f"CAST(max({c}) AS DOUBLE)")))
+    return f"'{c}': {{{fields}}}"
+
+
+STATISTICS = ("mean", "median", "std", "min", "max")
 
 
 @check(f"""WITH d AS ({view_sql('gappy_orders')}), b AS (SELECT * EXCLUDE (o_orderkey) FROM d),
-    t AS ({table_counts_sql('b', ORDERS[1:])})
-    SELECT CAST(to_json({{'total_rows': total_rows, 'total_columns': total_columns, 'total_cells': total_cells,
-        'missing_cells': missing_cells, 'missing_percentage': missing_percentage, 'is_large_file': is_large_file,
+    t AS ({table_counts_sql('b', ORDERS[1:])}),
+    r AS (SELECT to_json({{'total_rows': total_rows, 'missing_cells': missing_cells, 'is_large_file': is_large_file,
         'duplicate_rows': (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b)),
-        'column_analysis': {{{", ".join(report_entry_sql(c, t) for c, t in REPORTED.items())}}}}}) AS VARCHAR)
-        AS quality_report FROM t""")
+        'column_analysis': {{{", ".join(report_entry_sql(c, t) for c, t in REPORTED.items())}}}}}) AS j FROM t)
+    SELECT CAST(j->>'$.total_rows' AS BIGINT) AS total_rows, CAST(j->>'$.missing_cells' AS BIGINT) AS missing_cells,
+        j->>'$.is_large_file' AS is_large_file, CAST(j->>'$.duplicate_rows' AS BIGINT) AS duplicate_rows,
+        {", ".join(f"j->>'$.column_analysis.{c}.{f}' AS {c}_{f}" for c in REPORTED for f in ("dtype", "missing_count", "unique_values", "sample_values"))},
+        {", ".join(f"round(CAST(j->>'$.column_analysis.{c}.{f}' AS DOUBLE), 4) AS {c}_{f}" for c, t in REPORTED.items() if t != "object" for f in STATISTICS)}
+    FROM r""")
 def quality_report_json(spark, sf_dir):
-    return b.quality_report_json(view(spark, sf_dir, "gappy_orders"), "o_orderkey")
+    """The report's JSON text, read back field by field."""
+    report = b.quality_report_json(view(spark, sf_dir, "gappy_orders"), "o_orderkey")
+
+    def at(path, kind="string"):
+        return F.get_json_object("quality_report", f"$.{path}").cast(kind)
+
+    fields = [at("total_rows", "bigint").alias("total_rows"), at("missing_cells", "bigint").alias("missing_cells"),
+              at("is_large_file").alias("is_large_file"), at("duplicate_rows", "bigint").alias("duplicate_rows")]
+    for c, t in REPORTED.items():
+        fields += [at(f"column_analysis.{c}.{f}").alias(f"{c}_{f}") for f in ("dtype", "missing_count", "unique_values", "sample_values")]
+        if t != "object":
+            fields += [F.round(at(f"column_analysis.{c}.{f}", "double"), 4).alias(f"{c}_{f}") for f in STATISTICS]
+    return report.select(*fields)
 
 
 @check(f"""SELECT dtype, count(*) AS columns FROM ({PROFILE_SQL}) GROUP BY dtype""")
@@ -277,12 +340,9 @@ def missing_heat_bucket(spark, sf_dir):
     return b.missing_heat_bucket(b.column_missing(view(spark, sf_dir, "gappy_lineitem")))
 
 
-EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-
-
 @check(f"""WITH d AS ({view_sql('contact_customer')}), n AS (
-        SELECT count(*) FILTER (WHERE regexp_matches(email, '{EMAIL}')) AS valid,
-               count(*) FILTER (WHERE NOT regexp_matches(email, '{EMAIL}')) AS invalid,
+        SELECT count(*) FILTER (WHERE regexp_matches(email, '{EMAIL_PATTERN}')) AS valid,
+               count(*) FILTER (WHERE NOT regexp_matches(email, '{EMAIL_PATTERN}')) AS invalid,
                count(*) FILTER (WHERE email IS NULL) AS missing FROM d)
     SELECT *, {percent_sql('valid', '(valid + invalid)')} AS valid_percentage FROM n""")
 def regex_rule(spark, sf_dir):

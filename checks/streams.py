@@ -79,6 +79,54 @@ def stream_batch_fill(spark, sf_dir):
     return out.select("event_id", F.round("user_id", 6).alias("user_id"), "event_type", F.round("value", 6).alias("value"))
 
 
+PARTS = 6
+MANY = f"""SELECT o_orderkey % {PARTS} AS part, o_orderkey,
+    CASE WHEN o_orderkey % {PARTS} < 3 AND o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS o_custkey,
+    o_totalprice FROM orders"""
+
+
+def _many_files(spark, sf_dir) -> str:
+    """Orders as one file for each part, with gaps in some of them only."""
+    path = fresh(spark)
+    rows = spark.sql(MANY.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    rows.repartition(PARTS, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def _many_stream(spark, path):
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, part int"
+    return s.stream_scan(spark, path, schema, file_format="parquet", max_files_per_trigger=1)
+
+
+@check(f"""WITH d AS ({MANY})
+    SELECT o_orderkey, CAST(part AS INTEGER) AS part, o_totalprice,
+           round(coalesce(CAST(o_custkey AS DOUBLE), avg(CAST(o_custkey AS DOUBLE)) OVER (PARTITION BY part)), 6) AS o_custkey FROM d""")
+def stream_batch_fill_many(spark, sf_dir):
+    """Several micro-batches; an integer column has gaps in some only, and all are read as one table."""
+    path = fresh(spark)
+    stream = _many_stream(spark, _many_files(spark, sf_dir))
+    _finish(s.stream_batch_fill(stream, path + "/out", path + "/state", handle_missing="fill_mean"))
+    out = spark.read.parquet(path + "/out")
+    return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("part").cast("int").alias("part"), "o_totalprice",
+                      F.round("o_custkey", 6).alias("o_custkey"))
+
+
+@check("SELECT count(*) AS rows_read, count(*) AS rows_filled FROM orders")
+def stream_rows_read_many(spark, sf_dir):
+    """More batches than Spark remembers; a batch that is filled is counted once."""
+    path, files = fresh(spark), _many_files(spark, sf_dir)
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        plain = s.stream_to_parquet(_many_stream(spark, files), path + "/out", path + "/state")
+        _finish(plain)
+        filled = s.stream_batch_fill(_many_stream(spark, files), path + "/out2", path + "/state2", handle_missing="fill_median")
+        _finish(filled)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    return literal_rows(spark, "rows_read bigint, rows_filled bigint", [(s.rows_read(plain), s.rows_read(filled))])
+
+
 @check("SELECT DISTINCT md5(text) AS text_md5, lang, source FROM documents")
 def stream_dedup(spark, sf_dir):
     path = fresh(spark)
@@ -113,3 +161,15 @@ def stream_dedup_watermark(spark, sf_dir):
     kept = s.stream_dedup(twice, event_time="ts", delay="10 minutes")
     _finish(s.stream_to_parquet(kept, path + "/out", path + "/state"))
     return spark.read.parquet(path + "/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@check("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_brand FROM part WHERE p_partkey % 10 <> 1")
+def stream_csv_typed(spark, sf_dir):
+    """Typed CSV columns in a stream: lines of another width are skipped, the rest is cast."""
+    path = fresh(spark)
+    lines = table(spark, sf_dir, "part").selectExpr(
+        "concat_ws(',', CAST(p_partkey AS STRING), CAST(p_size AS STRING), p_brand, CASE WHEN p_partkey % 10 = 1 THEN 'more' END) AS value")
+    lines.toDF("p_partkey,p_size,p_brand").write.options(header=True, sep="\x01", quote="\x02").csv(path + "/in")
+    stream = s.stream_scan(spark, path + "/in", "p_partkey bigint, p_size bigint, p_brand string", file_names="*.csv", bad_lines="skip")
+    _finish(s.stream_to_parquet(stream, path + "/out", path + "/state"))
+    return spark.read.parquet(path + "/out")

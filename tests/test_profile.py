@@ -138,8 +138,27 @@ def test_report_json(frame):
     assert report["total_cells"] == 6 and report["missing_cells"] == 2 and report["is_large_file"] is False
     assert list(report["column_analysis"]) == ["a.b", "n"]
     assert report["column_analysis"]["a.b"] == {
-        "dtype": "object", "missing_count": 1, "missing_percentage": 33.33, "unique_values": "1",
+        "dtype": "object", "missing_count": 1, "missing_percentage": 33.33, "unique_values": 1,
         "sample_values": ["x", "x"]}
+    assert report["column_analysis"]["n"] == {
+        "dtype": "float64", "missing_count": 1, "missing_percentage": 33.33, "unique_values": 2,
+        "sample_values": ["1.0", "2.0"], "mean": 1.5, "median": 1.5, "std": pytest.approx(0.7071, abs=1e-4), "min": 1.0, "max": 2.0}
+
+
+def test_report_of_many_values(spark):
+    df = spark.range(3000).selectExpr("id AS k", "id AS many", "'a\"b' AS `qu\"ote`")
+    report = json.loads(b.quality_report_json(df, "k", statistics=False).first()[0])
+    assert report["column_analysis"]["many"]["unique_values"] == "1000+" and "mean" not in report["column_analysis"]["many"]
+    assert report["column_analysis"]['qu"ote']["sample_values"] == ['a"b'] * 3
+
+
+def test_medians_beside_a_frequent_value(spark):
+    """Half the rows are zero and the rest distinct: no interval is left to one task."""
+    df = spark.range(0, 400_001, 1, 4).selectExpr("CASE WHEN id % 2 = 0 THEN 0D ELSE -1D - id END AS v", "CASE WHEN id < 200000 THEN -5D - id ELSE 0D END AS w",
+                                                 "CASE WHEN id < 200001 THEN 1D ELSE 2D + id END AS x")
+    assert b.exact_medians(df, df.columns, one_task_rows=1_000) == {"v": 0.0, "w": 0.0, "x": 1.0}
+    even = spark.range(0, 400_000, 1, 4).selectExpr("CASE WHEN id % 2 = 0 THEN 0D ELSE -1D - id END AS v")
+    assert b.exact_medians(even, ["v"], one_task_rows=1_000) == {"v": -1.0}
 
 
 def test_json_records(spark):
