@@ -53,6 +53,7 @@ def clean(
     *,
     order_by: str | None = None,
     counts: dict[str, Observation] | None = None,
+    fill_columns: list[str] | None = None,
     **chosen,
 ) -> DataFrame:
     """Clean a table: duplicates, names, missing values, trim, types, each if chosen.
@@ -63,7 +64,8 @@ def clean(
     `order_by` names a column that places the rows and takes no part in the cleaning; of equal rows
     the first stays. With `scope="chunk"` fill values come from runs of `chunk_rows` rows, placed by
     `order_by` (then a dense row number) or else in scan order; duplicates are then not removed, as
-    fill values would depend on which copies stay. `counts` observes `rows` of those `read` and of
+    fill values would depend on which copies stay. `fill_columns` names those to fill, if not all.
+    `counts` observes `rows` of those `read` and of
     those that are `distinct`; not for fill values, which read the rows more than once.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
@@ -73,6 +75,7 @@ def clean(
 
     carried = [order_by] if order_by is not None else []
     body = df.drop(*carried) if carried else df
+    given = body.columns
     if options.standardize_columns:
         # Names are numbered against the one that stays as it is.
         body_names = distinct_names([*carried, *standardize_columns(body).columns], "_")[len(carried) :]
@@ -80,6 +83,9 @@ def clean(
         df = df.toDF(*[n if n in carried else next(names) for n in df.columns])
         body = body.toDF(*body_names)
     facts, gaps = _facts(body, options)
+    if fill_columns is not None and gaps is not None:
+        renamed = dict(zip(given, body.columns, strict=True))
+        gaps = [n for n in gaps if n in {renamed[c] for c in fill_columns}]
     if counts:
         df = df.observe(counts["read"], F.count(F.lit(1)).alias("rows"))
 

@@ -175,14 +175,16 @@ def stream_batch_fill(
     options: CleanOptions | None = None,
     *,
     types: dict[str, str] | None = None,
+    fill_columns: list[str] | None = None,
     **chosen,
 ) -> StreamingQuery:
     """Clean each micro-batch as a table of its own: fill values come from the batch.
 
     A batch is written to its own folder and replaces it when Spark repeats the batch. All folders have the same
-    columns and types, whatever their batch holds: numbers are double wherever means or medians are filled in, and
-    `types` says what to cast before, as in `stream_clean`. What one batch cannot know of the others is refused:
-    `convert_types`.
+    columns and types, whatever their batch holds: where means or medians are filled in, numbers are double, those
+    in `fill_columns` (by their names before cleaning) or all. Name them if other columns hold whole numbers above
+    2^53, such as ids: columns that are not named keep their type and their gaps. `types` says what to cast before,
+    as in `stream_clean`. What one batch cannot know of the others is refused: `convert_types`.
     """
     options = CleanOptions.from_dict(chosen) if options is None else options
     if options.convert_types:
@@ -190,17 +192,17 @@ def stream_batch_fill(
     _counter(stream.sparkSession)
     if types:
         stream = stream_clean(stream, types=types)
-    doubles = options.handle_missing in ("fill_mean", "fill_median")
+    filling = options.handle_missing in ("fill_mean", "fill_median")
+    unknown = set(fill_columns or ()) - set(numeric_columns(stream))
+    if unknown:
+        raise ValueError(f"no numeric columns: {sorted(unknown)}")
+    doubles = [n for n in numeric_columns(stream) if filling and (fill_columns is None or n in fill_columns)]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # it is read for gaps, for fill values and to be written
+        typed = batch.select(*[col(n).cast("double").alias(n) if n in doubles else col(n) for n in batch.columns])
+        batch = typed.persist()  # it is read for gaps, for fill values and to be written
         try:
-            cleaned = clean(batch, options)
-            if doubles:
-                numbers = set(numeric_columns(cleaned))
-                cleaned = cleaned.select(
-                    *[col(n).cast("double").alias(n) if n in numbers else col(n) for n in cleaned.columns]
-                )
+            cleaned = clean(batch, options, fill_columns=fill_columns)
             cleaned.write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
         finally:
             batch.unpersist()

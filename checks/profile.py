@@ -195,7 +195,8 @@ PROFILE_SQL = f"""
         " count(*) FILTER (WHERE NOT regexp_matches({c}, '" + NUMBER.replace("{", "{{").replace("}", "}}") + "')) AS texts,"
         " count(*) FILTER (WHERE {c} IS NOT NULL AND NOT (regexp_matches({c}, '^\\s*[+-]?[0-9]+\\s*$')"
         " AND TRY_CAST(trim({c}) AS BIGINT) IS NOT NULL)) AS fractions,"
-        " count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST(trim({c}) AS UBIGINT) IS NULL) AS signed,"
+        " count(*) FILTER (WHERE {c} IS NOT NULL AND NOT (regexp_matches({c}, '^\\s*[+-]?[0-9]+\\s*$')"
+        " AND TRY_CAST(trim({c}) AS UBIGINT) IS NOT NULL)) AS signed,"
         " (SELECT string_agg({c}, '|' ORDER BY c_custkey) FROM (SELECT c_custkey, {c} FROM d WHERE {c} IS NOT NULL"
         " ORDER BY c_custkey LIMIT 3)) AS samples FROM d",
     )})

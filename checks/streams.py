@@ -73,7 +73,8 @@ def stream_batch_fill(spark, sf_dir):
     """The table is one file, so one micro-batch."""
     path = fresh(spark)
     _finish(
-        s.stream_batch_fill(_gappy_stream(spark, sf_dir), path + "/out", path + "/state", handle_missing="fill_mean")
+        s.stream_batch_fill(_gappy_stream(spark, sf_dir), path + "/out", path + "/state", handle_missing="fill_mean",
+                            fill_columns=["user_id", "value"])
     )
     out = spark.read.parquet(path + "/out").drop("batch_id")
     return out.select("event_id", F.round("user_id", 6).alias("user_id"), "event_type", F.round("value", 6).alias("value"))
@@ -105,7 +106,8 @@ def stream_batch_fill_many(spark, sf_dir):
     """Several micro-batches; an integer column has gaps in some only, and all are read as one table."""
     path = fresh(spark)
     stream = _many_stream(spark, _many_files(spark, sf_dir))
-    _finish(s.stream_batch_fill(stream, path + "/out", path + "/state", handle_missing="fill_mean"))
+    _finish(s.stream_batch_fill(stream, path + "/out", path + "/state", handle_missing="fill_mean",
+                                fill_columns=["o_custkey", "o_totalprice"]))
     out = spark.read.parquet(path + "/out")
     return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("part").cast("int").alias("part"), "o_totalprice",
                       F.round("o_custkey", 6).alias("o_custkey"))
