@@ -26,6 +26,13 @@ HEADLINE = [
     "clean_table",
     "csv_typed",
     "stream_profile",
+    # Plans with several passes or files.
+    "sample_values",
+    "row_index",
+    "csv_line_breaks",
+    "duplicate_exact_by_hash",
+    "quality_report_json",
+    "stream_batch_fill_many",
 ]
 
 

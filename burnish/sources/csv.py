@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import as_missing, col, csv_header_names
 
 WHOLE_FILES = 1_000
-_RECORD = "__record"
+_RECORD, _PLACE = "__record", "__place"
 READ_OPTIONS = {
     "header": True,
     "escape": '"',
@@ -149,8 +149,7 @@ def scan_csv(
         df = spark.read.schema(schema).options(**READ_OPTIONS, **options, multiLine=whole).csv(paths)
         if position is None:
             return df
-        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-        return df.withColumn(position, F.struct(*[p.alias(n) for p, n in zip(place, ("file", "block", "row"))]))
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias(_PLACE))
 
     broken = _files_with_line_breaks(spark, paths, whole_files) if multi_line is None else []
     if broken:
@@ -162,7 +161,11 @@ def scan_csv(
 
     df = handle_bad_lines(df, names, bad_lines, separator)
     kept = [as_missing(col(n)).alias(n) if na else col(n) for n in names]
-    return df.select(*kept, *([col(position)] if position is not None else []))
+    if position is not None:
+        # Numbered after bad lines are gone: the rows of a block have consecutive numbers.
+        place = [F.col(f"{_PLACE}.file_path").alias("file"), F.col(f"{_PLACE}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+        kept.append(F.struct(*place).alias(position))
+    return df.select(*kept)
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "error", order_by: str | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import col, literal_of
 from ..options import CHUNK_ROWS
@@ -23,8 +24,11 @@ def with_row_index(df: DataFrame, order_by: str | None = None, *, name: str = "r
     orders the whole table. With `order_by` the table is range-partitioned; the position in the
     input breaks ties, which also splits a key or a row that fills a large share of the table. The
     placed rows are written to the shared folder first: counting and numbering must see the same
-    partitions, even if an executor is lost in between.
+    partitions, even if an executor is lost in between. If `order_by` is the `position` of a CSV scan,
+    nothing is moved or written: the rows of each block of a file are counted, and numbered in place.
     """
+    if order_by is not None and _is_position(df.schema[order_by].dataType):
+        return _numbered_by_block(df, order_by, name)
     position = F.monotonically_increasing_id()
     if order_by is not None:
         arrival = "__arrival"
@@ -45,6 +49,22 @@ def with_row_index(df: DataFrame, order_by: str | None = None, *, name: str = "r
     return numbered.drop(_POSITION, _PARTITION, "__start")
 
 
+def _is_position(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.StructType) and dtype.names == ["file", "block", "row"]
+
+
+def _numbered_by_block(df: DataFrame, position: str, name: str) -> DataFrame:
+    at = col(position)
+    block = [at["file"].alias("__file"), at["block"].alias("__block")]
+    counts = df.groupBy(*block).agg(F.count(F.lit(1)).alias("__rows"), F.min(at["row"]).alias("__first"))
+    # One row for each block of a file.
+    before = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
+    starts = counts.select("__file", "__block", start.alias("__start"))
+    placed = df.select("*", *block).join(starts, ["__file", "__block"])
+    return placed.withColumn(name, F.col("__start") + at["row"]).drop("__file", "__block", "__start")
+
+
 def with_chunk(
     df: DataFrame, row_idx: str = "row_idx", *, chunk_rows: int = CHUNK_ROWS, name: str = "chunk_id"
 ) -> DataFrame:

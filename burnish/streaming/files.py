@@ -135,7 +135,7 @@ def stream_table_counts(stream: DataFrame) -> DataFrame:
 
 
 def stream_dedup(
-    stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 1
+    stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 8
 ) -> DataFrame:
     """The first of each group of equal rows.
 
@@ -143,9 +143,9 @@ def stream_dedup(
     `event_time` and `delay` a row is forgotten once the watermark has passed it, so the state is
     bounded by the rows of that span; copies further apart are kept.
 
-    A streaming dedup shuffles every copy to one task. If one row may fill a large share of a batch,
-    `salts` spreads its copies over that many tasks, which pass on one each; a row's state is then
-    kept once more per salt it was seen with.
+    A streaming dedup shuffles every copy to one task. As one row may fill a large share of a batch,
+    `salts` spreads its copies over that many tasks, which pass on one each; a row's state is kept
+    once more per salt it was seen with. 1 saves that state where no row is frequent.
     """
     if event_time is not None and delay is None:
         raise ValueError("event_time needs a delay such as '10 minutes'")
