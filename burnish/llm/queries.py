@@ -41,7 +41,25 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@query()
+#: All strings of 100 bytes with their earliest place; the others mark their bytes. Bytes are pairs of hex digits.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    n AS (SELECT *, length(h) // 2 AS n FROM d),
+    w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM (SELECT *, unnest(range(1, n - 98)) AS i FROM n)),
+    g AS (SELECT s, min({'d': doc_id, 'i': i}) AS f FROM w GROUP BY s HAVING count(*) > 1),
+    r AS (SELECT doc_id, i FROM w JOIN g USING (s) WHERE {'d': doc_id, 'i': i} <> f),
+    c AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS c FROM r),
+    k AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c),
+    span AS (SELECT doc_id, k, min(i) AS a, max(i) + 99 AS z FROM k GROUP BY doc_id, k),
+    before AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS y FROM span),
+    cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, max(z) AS z,
+        string_agg(substr(h, 2 * y + 1, 2 * (a - 1 - y)), '' ORDER BY k) AS kept FROM before JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN z IS NULL THEN h ELSE concat(kept, substr(h, 2 * z + 1)) END)) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id)"""
+
+
+@query(REPEATS)
 def op3_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
