@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: each node gives its larger neighbours the smallest node around it.
         around = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
         least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = around.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = around.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         # Small star: each node and its smaller neighbours go to the smallest of them.
         small = large.groupBy("x").agg(F.min("y").alias("m"))
         moved = large.join(small, "x").filter("y != m").select(F.col("y").alias("u"), F.col("m").alias("v"))

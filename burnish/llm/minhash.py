@@ -5,8 +5,9 @@ occurrences times 1 + log(N / df) / log(N), so that a run in all texts weighs 1
 document frequencies are counted over all texts in a table of a fixed number of hashed counters, from which the
 mean load of a counter is taken off. All texts with the same weighted set are one node. Nodes that agree on all
 samples of a band meet in a bucket; each is compared with the bucket's leader, and linked if similar enough.
-Where a bucket still holds several classes, more leaders are drawn, until a turn finds no link. Neither a group's
-pairs are formed nor is a group ever in one task.
+Where a bucket then holds several classes, its members meet more leaders in two further turns, those with which they
+share the most buckets. So a node takes part in a fixed number of comparisons, as it has a fixed number of bands;
+neither a group's pairs are formed nor is a group ever in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import (
@@ -43,8 +45,8 @@ BAND_ROWS = 4
 #: Counters of document frequencies, and in how many rows a task hands them on.
 COUNTERS = 1 << 20
 BLOCKS = 1 << 8
-#: The most leaders that a bucket has in one turn.
-LEADERS = 64
+#: Turns of comparisons with leaders; leaders of a bucket in a later turn, and how many of its buckets' a node then meets.
+TURNS, ORDERS, CHOSEN = 3, 8, 16
 #: Members that one task compares with a copy of a leader.
 MEMBERS = 256
 #: Texts are taken in pieces of so many bytes and rows; a row number and 53 bits of a hash make one key.
@@ -245,7 +247,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) ->
 
 
 def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: float = SIMILARITY, size: int = SHINGLE,
-          broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame | None]:
+          broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes (node, leader, similarity), and the label of each linked node."""
     nodes = written(signed.filter("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "content")).alias("at"), F.first("keys").alias("keys")), "nodes")
@@ -259,52 +261,54 @@ def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: fl
     texts = written(source.join(near, same(source, near, ["doc_id", "content"])).select("node", "text"), "texts")
     forget(nodes, wanted)
     found, tried, labels = [], [], None
-    while True:
-        pairs = _leaders(met, labels, len(found))
-        for before in tried:
-            pairs = pairs.join(before, ["node", "leader"], "left_anti")
-        tried.append(written(pairs, "pairs"))
+    for turn in range(TURNS):
+        tried.append(written(_leaders(met, labels, turn, tried), "pairs"))
         linked = written(_verified(tried[-1], texts, idf, size).filter(F.col("similarity") >= similarity).distinct(), "links")
         found.append(linked)
-        if linked.isEmpty():
-            break
-        labels, before = _relabelled(linked, labels), labels
-        forget(before)
-    forget(met, texts, *tried)
+        if turn == 0:
+            labels = components(linked.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    labels, before = _relabelled(reduce(DataFrame.unionByName, found[1:]), labels), labels
+    forget(met, texts, before, *tried)
     return reduce(DataFrame.unionByName, found), labels
 
 
-def _leaders(met: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (node, leader) of nodes with different labels that share a bucket (key, node).
+def _leaders(met: DataFrame, labels: DataFrame | None, turn: int, tried: list[DataFrame]) -> DataFrame:
+    """Pairs (node, leader) of nodes with different labels that share a bucket (key, node), none of which was tried.
 
-    In the first turn each bucket has one leader. The next have sixteen and then `LEADERS` each, in
-    buckets that still hold several labels.
+    In the first turn each bucket has one leader. Later, `ORDERS` leaders are drawn in buckets that hold several labels
+    after the first, and a node meets the `CHOSEN` ones with which it shares the most buckets: as many pairs as there are
+    nodes, times a fixed number, however large a bucket is.
     """
-    own = F.col("node") if labels is None else F.coalesce("label", "node")
-    rows = (met if labels is None else met.join(labels, "node", "left")).select("key", "node", own.alias("label"))
-    if labels is not None:
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        rows = written(rows.join(several.select("key"), "key"), "open")
-    drawn = F.xxhash64("node", F.lit(turn))
-    part = F.pmod(drawn, F.lit(min(16**turn, LEADERS)))
-    heads = rows.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "label"), drawn).alias("head"))
+    if labels is None:
+        rows, orders = met.select("key", "node", F.col("node").alias("label")), 1
+    else:
+        rows, orders = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), ORDERS
+    drawn = [F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn * ORDERS + k))) for k in range(orders)]
+    heads = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array(*drawn).alias("heads"))
+    heads = heads.filter("low != high").select("key", F.explode(F.array_distinct("heads")).alias("head"))
     heads = heads.select("key", F.col("head.node").alias("leader"), F.col("head.label").alias("leader_label"))
-    return rows.join(heads, "key").filter("label != leader_label").select("node", "leader").distinct()
+    pairs = rows.join(heads, "key").filter("label != leader_label").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    for before in tried:
+        pairs = pairs.join(before, ["node", "leader"], "left_anti")
+    if labels is not None:
+        best = W.partitionBy("node").orderBy(F.desc("shared"), F.xxhash64("leader", F.lit(turn)))
+        pairs = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= CHOSEN)
+    return pairs.select("node", "leader")
 
 
-def _relabelled(linked: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The labels after these links, which are between nodes of different labels."""
+def _relabelled(linked: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after more links: components of labels, in place of components of nodes."""
     ends = linked.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    if labels is None:
-        return components(ends)
     for end in ("a", "b"):
         of = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
         ends = ends.join(of, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    every = labels.unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    ends = written(ends, "ends")
+    merged = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(new.select("node", F.col("node").alias("label")))
     moved = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
     after = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
-    forget(merged)
+    forget(ends, merged)
     return after
 
 
@@ -321,10 +325,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, size: int = SHIN
     signed = written(signatures(docs, idf, size=size, bands=bands, band_rows=band_rows), "signatures")
     _, labels = links(docs, signed, idf, similarity=similarity, size=size, broadcast_rows=broadcast_rows)
     rows = signed.select("doc_id", "content", "node")
-    if labels is not None:
-        rows = rows.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("label"))
-    else:
-        rows = rows.withColumnRenamed("node", "label")
+    rows = rows.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("label"))
     worded = rows.filter("label is not null")
     total = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     grouped = worded.join(total, "label").select("doc_id", "content", "class_id", "class_size")
