@@ -46,7 +46,7 @@ BAND_ROWS = 4
 COUNTERS = 1 << 20
 BLOCKS = 1 << 8
 #: Turns of comparisons with leaders; leaders of a bucket in a later turn, and how many of its buckets' a node then meets.
-TURNS, ORDERS, CHOSEN = 3, 8, 16
+TURNS, ORDERS, CHOSEN = 3, 4, 16
 #: Members that one task compares with a copy of a leader.
 MEMBERS = 256
 #: Texts are taken in pieces of so many bytes and rows; a row number and 53 bits of a hash make one key.
