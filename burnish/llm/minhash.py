@@ -6,8 +6,10 @@ document frequencies are counted over all texts in a table of a fixed number of
 mean load of a counter is taken off. All texts with the same weighted set are one node. Nodes that agree on all
 samples of a band meet in a bucket; each is compared with the bucket's leader, and linked if similar enough.
 Where a bucket then holds several classes, its members meet more leaders in two further turns, those with which they
-share the most buckets. So a node takes part in a fixed number of comparisons, as it has a fixed number of bands;
-neither a group's pairs are formed nor is a group ever in one task.
+share the most buckets. What is still open then is settled exactly: in each bucket that holds several classes, all
+members meet those outside its largest class, in cells of a fixed size, so a group is never in one task. Within a cell
+only texts are compared that share one of their rarest shingles, as any two similar enough do. So every two nodes
+that share a bucket and are similar enough are in one class.
 """
 
 from __future__ import annotations
@@ -47,8 +49,9 @@ COUNTERS = 1 << 20
 BLOCKS = 1 << 8
 #: Turns of comparisons with leaders; leaders of a bucket in a later turn, and how many of its buckets' a node then meets.
 TURNS, ORDERS, CHOSEN = 3, 4, 16
-#: Members that one task compares with a copy of a leader.
+#: Members that one task compares with a copy of a leader; members on each side of a cell, and their bytes on average.
 MEMBERS = 256
+CELL_BYTES = 1 << 23
 #: Texts are taken in pieces of so many bytes and rows; a row number and 53 bits of a hash make one key.
 PIECE_BYTES, PIECE_ROWS, HASH_BITS = 1 << 17, 1 << 11, 53
 
@@ -259,7 +262,7 @@ def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: fl
     source = docs.select("doc_id", utf8(F.col("text")).alias("text"), F.xxhash64("text").alias("content"))
     near = counted(wanted, broadcast_rows)
     texts = written(source.join(near, same(source, near, ["doc_id", "content"])).select("node", "text"), "texts")
-    forget(nodes, wanted)
+    forget(wanted)
     found, tried, labels = [], [], None
     for turn in range(TURNS):
         tried.append(written(_leaders(met, labels, turn, tried), "pairs"))
@@ -268,7 +271,9 @@ def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: fl
         if turn == 0:
             labels = components(linked.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     labels, before = _relabelled(reduce(DataFrame.unionByName, found[1:]), labels), labels
-    forget(met, texts, before, *tried)
+    found.append(written(_settled(met, labels, nodes, texts, idf, similarity, size), "links"))
+    labels, then = _relabelled(found[-1], labels), labels
+    forget(met, nodes, texts, before, then, *tried)
     return reduce(DataFrame.unionByName, found), labels
 
 
@@ -296,6 +301,132 @@ def _leaders(met: DataFrame, labels: DataFrame | None, turn: int, tried: list[Da
     return pairs.select("node", "leader")
 
 
+def _cells(met: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Where the members of buckets that hold several labels meet: key, i, j, role, node, label, minor.
+
+    Those outside the bucket's most frequent label (minor) are dealt to rows i of a grid of cells, in role 0, and all
+    members to its columns j, in role 1; each is in all cells of its row or column. Two of different labels meet, as one
+    of them is minor.
+    """
+    rows = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sized = rows.join(texts.select("node", F.octet_length("text").cast("bigint").alias("bytes")), "node")
+    groups = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "label", "bytes"))
+    buckets = groups.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), most.alias("top"))
+
+    def sides(n, size):
+        return F.greatest(F.ceil(n / MEMBERS), F.ceil(size / CELL_BYTES)).cast("int")
+
+    n, size = F.col("n"), F.col("bytes")
+    buckets = buckets.filter("labels > 1").select("key", F.col("top.label").alias("top"), sides(n, size).alias("wide"),
+                                                  sides(n - F.col("top.n"), size - F.col("top.bytes")).alias("high"))
+    placed = rows.join(buckets, "key").withColumn("minor", F.col("label") != F.col("top"))
+    i, j = F.pmod(F.xxhash64("node"), "high").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "wide").cast("int")
+    every, what = F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), ("node", "label", "minor")
+    minor = placed.filter("minor").select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(0).alias("role"), *what)
+    return minor.unionByName(placed.select("key", every, j.alias("j"), F.lit(1).alias("role"), *what))
+
+
+def rarest(hashes: np.ndarray, weight: np.ndarray, idf: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that the others weigh less than `similarity` of it.
+
+    Two sets that are similar enough share one of these: in the order from rare to frequent, one set's rarest end
+    first, and if it shared none of them with the other's, what they share would weigh too little.
+    """
+    order = np.lexsort((hashes, -idf[(hashes & np.uint64(COUNTERS - 1)).astype(np.intp)]))
+    so_far = np.cumsum(weight[order])
+    return hashes[order[: np.searchsorted(so_far, so_far[-1] * (1 - similarity * (1 - 1e-9)), side="right") + 1]]
+
+
+class Minor:
+    """The sets on one side of a cell, to be compared with others one by one."""
+
+    def __init__(self, key: int, idf: np.ndarray, similarity: float) -> None:
+        self.key, self.idf, self.similarity = key, idf, similarity
+        self.nodes, self.labels, self.keys, self.hashes, self.weight = [], [], [], [], []
+        self.above: dict[bytes, bytes] = {}
+        self.built = False
+
+    def add(self, node: bytes, label: bytes, keys: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> None:
+        for column, value in zip((self.nodes, self.labels, self.keys, self.hashes, self.weight), (node, label, keys, hashes, weight), strict=True):
+            column.append(value)
+
+    def build(self) -> None:
+        self.known, ids = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        self.ids = np.split(ids, np.cumsum([len(h) for h in self.hashes])[:-1])
+        self.other = np.zeros(len(self.known))
+        self.total, self.bands = np.array([w.sum() for w in self.weight]), np.stack(self.keys)
+        rare = [rarest(h, w, self.idf, self.similarity) for h, w in zip(self.hashes, self.weight, strict=True)]
+        owner, rare = np.repeat(np.arange(len(rare)), [len(r) for r in rare]), np.concatenate(rare)
+        order = np.argsort(rare, kind="stable")
+        self.rare, self.owner, self.built = rare[order], owner[order], True
+
+    def top(self, label: bytes) -> bytes:
+        while (above := self.above.get(label, label)) != label:
+            label = above
+        return label
+
+    def links(self, node: bytes, label: bytes, minor: bool, keys: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> Iterator[tuple]:
+        """node, other node, similarity: links to sets of other labels, but for labels that links of the cell connect."""
+        if not self.built:
+            self.build()
+        rare = rarest(hashes, weight, self.idf, self.similarity)
+        ranges = zip(np.searchsorted(self.rare, rare), np.searchsorted(self.rare, rare, side="right"), strict=True)
+        found = np.unique(np.concatenate([self.owner[a:b] for a, b in ranges]))
+        total, theirs = weight.sum(), self.total[found]
+        found = found[np.minimum(total, theirs) >= np.maximum(total, theirs) * self.similarity * (1 - 1e-9)]
+        # Two that share several buckets are compared in the first of them.
+        band = int(np.flatnonzero(keys == self.key)[0])
+        found = found[~(self.bands[found, :band] == keys[:band]).any(axis=1)]
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        here = self.known[at] == hashes
+        self.other[at[here]] = weight[here]
+        for k in found.tolist():
+            if (minor and self.nodes[k] <= node) or (one := self.top(self.labels[k])) == (two := self.top(label)):
+                continue
+            common = np.minimum(self.weight[k], self.other[self.ids[k]]).sum()
+            if (alike := common / (self.total[k] + total - common)) >= self.similarity:
+                self.above[max(one, two)] = min(one, two)
+                yield node, self.nodes[k], alike
+        self.other[at[here]] = 0
+
+
+def _settled(met: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float, size: int) -> DataFrame:
+    """node, leader, similarity: links that join all nodes of different labels that share a bucket and are similar enough."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
+    cells = written(_cells(met, labels, texts), "cells")
+    open_nodes = cells.select("node").distinct()
+    read = texts.join(open_nodes, "node", "left_semi").join(nodes.select("node", "keys"), "node")
+    rows = cells.join(read, "node").select("key", "i", "j", "role", "node", "label", "minor", "keys", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cell, others = sent.value, None, None
+        for batch in batches:
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            roles, names, of, minor = (batch.column(i).to_pylist() for i in range(3, 7))
+            bands = np.asarray(batch.column(7).flatten()).reshape(batch.num_rows, -1)
+            data, offsets = byte_view(batch.column(8))
+            out = []
+            for start, end in pieces(offsets, PIECE_BYTES, PIECE_ROWS):
+                hashes, times, owner = weighted_sets(data, offsets[start : end + 1], size)
+                weight = weights(hashes, times, table).astype(np.float64)
+                edges = np.searchsorted(owner, np.arange(end - start + 1))
+                for i in range(start, end):
+                    part = slice(edges[i - start], edges[i - start + 1])
+                    if places[i] != cell:
+                        cell, others = places[i], Minor(places[i][0], table, similarity)
+                    if roles[i] == 0:
+                        others.add(names[i], of[i], bands[i], hashes[part], weight[part])
+                    else:
+                        out += others.links(names[i], of[i], minor[i], bands[i], hashes[part], weight[part])
+            columns = zip(*out, strict=True) if out else [()] * 3
+            kinds = [pa.binary(), pa.binary(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "leader", "similarity"])
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+    return dealt.mapInArrow(compare, "node binary, leader binary, similarity double")
+
+
 def _relabelled(linked: DataFrame, labels: DataFrame) -> DataFrame:
     """The labels after more links: components of labels, in place of components of nodes."""
     ends = linked.select(F.col("node").alias("a"), F.col("leader").alias("b"))

@@ -121,3 +121,45 @@ def test_components_of_a_long_path(spark, frame):
     links = frame("a bigint, b bigint", [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1002), (5000, 5000)])
     labels = {r.node: r.label for r in components(links).collect()}
     assert labels == {**dict.fromkeys(range(n), 0), **dict.fromkeys((1000, 1001, 1002), 1000)}
+
+
+def templated(groups, seed=5):
+    """Pages of one template, in pairs that are little more alike than others: about 0.82 and 0.74."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    base, rows = words(300), []
+    for _ in range(groups):
+        shared = words(10)
+        rows += [(len(rows) + k, f"{base} {shared} {words(13)}") for k in range(2)]
+    return rows
+
+
+def met_and_alike(docs, rows, idf):
+    """Classes of the pairs that share a bucket and are similar enough, by all pairs: label of each row."""
+    keys = {r.doc_id: r["keys"] for r in minhash.signatures(docs, idf).collect()}
+    sets = {}
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        h, t, _ = minhash.weighted_sets(data, np.array([0, len(data)]))
+        sets[i] = (h, minhash.weights(h, t, idf).astype(np.float64))
+    label, links = {i: i for i in sets}, 0
+    for a in sets:
+        for b in range(a):
+            if any(x == y for x, y in zip(keys[a], keys[b], strict=True)):
+                _, at, to = np.intersect1d(sets[a][0], sets[b][0], return_indices=True)
+                common = np.minimum(sets[a][1][at], sets[b][1][to]).sum()
+                if common / (sets[a][1].sum() + sets[b][1].sum() - common) >= minhash.SIMILARITY:
+                    links += 1
+                    old, new = max(label[a], label[b]), min(label[a], label[b])
+                    label = {i: new if x == old else x for i, x in label.items()}
+    return label, links
+
+
+@pytest.mark.parametrize("members", [256, 16])
+def test_all_similar_pairs_of_a_bucket_are_found_in_a_templated_group(frame, monkeypatch, members):
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    rows = templated(150)
+    docs = frame("doc_id bigint, text string", rows)
+    want, links = met_and_alike(docs, rows, minhash.idf_table(docs))
+    assert links >= 100 and len(set(want.values())) > 100
+    assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
