@@ -313,8 +313,14 @@ LEAST_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, *, least: float = LEAST_SCORE, **how) -> DataFrame:
-    """The rows of `docs` whose language is known: not `und`, and scored at least `least`. Columns stay as they are."""
+    """The rows of `docs` whose language is known: not `und`, and scored at least `least`. Columns stay as they are.
+
+    Where no row to learn from has a language there is no model, and all rows whose text has a letter are kept.
+    """
     names = docs.columns
-    labelled = predict(docs.toDF(*(f"c{i}" for i in range(len(names)))), fit(docs, **how), text=f"c{names.index('text')}")
+    model = fit(docs, **how)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    labelled = predict(docs.toDF(*(f"c{i}" for i in range(len(names)))), model, text=f"c{names.index('text')}")
     kept = labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.drop("lang_pred", "score").toDF(*names)

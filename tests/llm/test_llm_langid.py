@@ -91,3 +91,8 @@ def test_kept_rows_have_their_columns(spark):
     assert kept.columns == docs.columns
     assert kept.filter("score = 'mine'").count() == kept.count() >= docs.count() - 10
     assert kept.filter("text = '123'").count() == 0
+
+
+def test_without_a_language_to_learn_every_text_with_a_letter_is_kept(frame):
+    docs = frame("doc_id bigint, text string, lang string", [(1, "some words", None), (2, "12 3", None), (3, "é", None), (4, None, None), (5, "", None)])
+    assert sorted(r.doc_id for r in langid.keep_identified(docs).collect()) == [1, 3]
