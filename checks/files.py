@@ -75,9 +75,10 @@ def csv_crlf(spark, sf_dir):
     path = fresh(spark)
     lines = table(spark, sf_dir, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), "lang").alias("value"))
-    header = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
-    # One file, the header first.
-    header.unionByName(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    # A file for each partition, the header before its first row: the low 33 bits number the rows of a partition.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    headed = F.when(first, F.concat(F.lit("doc_id,text,lang\r\n"), "value")).otherwise(F.col("value"))
+    lines.select(headed.alias("value")).write.option("lineSep", "\r\n").text(path)
     read = b.scan_csv(spark, path, na=False)
     return read.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
 

@@ -243,3 +243,14 @@ def test_rows_of_a_scan_are_numbered_in_place(spark, csv, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     want = [f"{name}{i:04}" for name, count in (("a", 500), ("b", 3_000)) for i in range(count) if i % 7]
     assert [tuple(r) for r in numbered] == list(enumerate(want))
+
+
+def test_the_crlf_check_writes_a_file_for_each_partition(spark, monkeypatch, tmp_path):
+    from checks import files
+
+    monkeypatch.setattr(files, "fresh", lambda spark: str(tmp_path / "crlf"))
+    monkeypatch.setattr(files, "table", lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3))
+    read = files.csv_crlf(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("CAST(doc_id AS STRING)", "sha2(text, 256)", "lang")
+    assert sorted(map(tuple, read.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert len(list((tmp_path / "crlf").glob("part-*"))) == 3
