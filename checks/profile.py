@@ -313,6 +313,21 @@ def quality_report_json(spark, sf_dir):
     return report.select(*fields)
 
 
+@check(f"""WITH d AS ({view_sql('gappy_orders')}), t AS ({table_counts_sql('d', ORDERS[1:])})
+    SELECT total_columns, total_cells, missing_percentage,
+        {", ".join(f"(SELECT {percent_sql(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} FROM d) AS {c}_missing_percentage" for c in REPORTED)}
+    FROM t""")
+def quality_report_json_totals(spark, sf_dir):
+    """The fields of the report's JSON text that `quality_report_json` does not return."""
+    report = b.quality_report_json(view(spark, sf_dir, "gappy_orders"), "o_orderkey")
+
+    def at(path, kind):
+        return F.get_json_object("quality_report", f"$.{path}").cast(kind)
+
+    fields = [at(f, kind).alias(f) for f, kind in (("total_columns", "bigint"), ("total_cells", "bigint"), ("missing_percentage", "double"))]
+    return report.select(*fields, *[at(f"column_analysis.{c}.missing_percentage", "double").alias(f"{c}_missing_percentage") for c in REPORTED])
+
+
 @check(f"""SELECT dtype, count(*) AS columns FROM ({PROFILE_SQL}) GROUP BY dtype""")
 def dtype_distribution(spark, sf_dir):
     return b.dtype_distribution(b.column_profile(view(spark, sf_dir, "text_customer").drop("c_custkey")))
