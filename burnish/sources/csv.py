@@ -99,14 +99,22 @@ def with_record(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
 
 
-def handle_bad_lines(df: DataFrame, names: list[str], bad_lines: str, separator: str = ",") -> DataFrame:
-    """Drop rows of text columns with more fields than `names`, or fail the query that meets one."""
+def handle_bad_lines(df: DataFrame, names: list[str], bad_lines: str, separator: str = ",", *, cut: bool = False) -> DataFrame:
+    """Drop rows of text columns with more fields than `names`, or fail the query that meets one.
+
+    With `cut` the same goes for records of another width with an odd number of quotes: parts of one with a line break.
+    """
     surplus = _surplus_fields(names, separator)
+    quotes = F.length(_RECORD) - F.length(F.replace(_RECORD, F.lit('"'), F.lit("")))
+    part = F.coalesce(quotes % 2 == 1, F.lit(False)) if cut else F.lit(False)
     if bad_lines == "skip":
-        kept = ~surplus
+        kept = ~surplus & ~part
     elif bad_lines == "error":
         message = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(_RECORD, 1, 200))
         kept = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True)
+        if cut:
+            message = F.concat(F.lit("a quoted line break needs multi_line: "), F.substring(_RECORD, 1, 200))
+            kept = F.when(~surplus & part, F.raise_error(message).cast("boolean")).otherwise(kept)
     else:
         raise ValueError(f"bad_lines must be 'skip' or 'error', not {bad_lines!r}")
     return df.filter(kept).drop(_RECORD)

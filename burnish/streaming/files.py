@@ -39,7 +39,8 @@ def stream_scan(
 
     For CSV every file's header must be the names of `schema`. `bad_lines` and `na` are those of `scan_csv`; line
     breaks in fields need `multi_line`, which reads a file in one task, or `line_end="\\r\\n"` where lines end so
-    and fields have plain line feeds: a stream cannot read its files beforehand. Values of other types than text are
+    and fields have plain line feeds: a stream cannot read its files beforehand. Without `multi_line`, parts of a record
+    with a quoted line break are bad lines, but for a part that has as many fields as the header. Values of other types than text are
     read as text and cast; one that does not fit fails the query (`misfits="error"`) or becomes null (`"null"`).
     """
     options = {}
@@ -56,7 +57,7 @@ def stream_scan(
     texts = T.StructType([T.StructField(n, T.StringType()) for n in declared.names])
     reader = spark.readStream.schema(with_record(texts)).format("csv")
     stream = reader.options(**READ_OPTIONS, **options, enforceSchema=False, multiLine=multi_line).load(path)
-    stream = handle_bad_lines(stream, declared.names, bad_lines)
+    stream = handle_bad_lines(stream, declared.names, bad_lines, cut=not multi_line)
     stream = normalize_na(stream) if na else stream
     return stream.select(*[_typed(f, misfits).alias(f.name) for f in declared])
 

@@ -153,3 +153,18 @@ def test_misfits_are_counted(spark, folder, tmp_path):
     cleaned = s.stream_clean(stream, types={"k": "bigint", "v": "double"}, trim_whitespace=True, misfits="count")
     s.stream_to_parquet(cleaned, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("misfits")).first()[0] == 4
+
+
+def test_parts_of_a_record_with_a_line_break_are_bad_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "cut.csv").write_text('k,v\n1,a\n"x\ny",b\n2\n"3 ""q""","c"\n')
+
+    def run(name, **how):
+        stream = s.stream_scan(spark, str(tmp_path / "in"), SCHEMA, **how)
+        s.stream_to_parquet(stream, str(tmp_path / name), str(tmp_path / name) + "-state").awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()), key=repr)
+
+    with pytest.raises(Exception, match="needs multi_line"):
+        run("strict")
+    assert ("x", None) not in run("skipped", bad_lines="skip")
+    assert ("x\ny", "b") in run("whole", multi_line=True)
