@@ -2,8 +2,8 @@
 
 A record is written as rows (archive, record, chunk, last, data, digest): chunk 0 begins with the record's header,
 the rest of its payload follows in chunks of `CHUNK` bytes, and each row carries the SHA-256 of the payload as far
-as it goes. The `data` of an archive's rows, in the order of record and chunk, is a WARC file. Reader and writer
-hold one chunk at a time, whatever the length of a record.
+as it goes. The `data` of an archive's rows, in the order of record and chunk, is a WARC file. The reader
+holds one chunk at a time, whatever the length of a record; the writer a batch of whole payloads, which it cuts.
 """
 
 from __future__ import annotations
