@@ -10,6 +10,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of narrow keys up to which a counted side is sent to all executors; beyond it both sides are shuffled.
@@ -58,6 +59,27 @@ def forget(*tables: DataFrame | None) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def numbered(df: DataFrame, name: str, number: str = "number", order_by: list[Column] | None = None) -> DataFrame:
+    """The rows of `df`, written once, with a last column `number`: 1, 2, 3 … in the order of `order_by`, or of no meaning.
+
+    Written rows are counted by the partition they were made in, which then starts where the one before it ends:
+    ordering cuts the table into ranges, and no task orders the whole. `forget` deletes the table.
+    """
+    if order_by is not None:
+        df = df.orderBy(*order_by)
+    place, part = free_name(df.columns, "place"), free_name(df.columns, "part")
+    stored = written(df.withColumn(place, F.monotonically_increasing_id()), name)
+    parts = stored.withColumn(part, F.shiftright(place, 33))
+    # One row for each partition.
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    sizes = parts.groupBy(part).agg(F.count(F.lit(1)).alias("rows"))
+    starts = sizes.select(part, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(number))
+    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    out = parts.join(counted(starts), part).withColumn(number, F.col(number) + within).select(*(quoted(c) for c in df.columns), number)
+    out._llm_path = stored._llm_path
+    return out
+
+
 def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if it is counted to have at most `most` rows, else to be shuffled.
 
@@ -71,6 +93,10 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(taken: list[str], name: str) -> str:
     """`name`, with as many underscores before it as no column of the table has, in any case."""
     lower = {c.lower() for c in taken}

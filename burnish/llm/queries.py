@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, minhash, quality, shards, spiece, suffix, tokencount, warc
+from . import chat, decontam, exact, langid, minhash, phrases, quality, shards, spiece, suffix, target, tokencount, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,79 @@ def op10_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+#: All runs of one to three words within pieces, and the cuts of the frequent ones in two.
+PHRASES = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+    gram AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM piece, (SELECT unnest([1, 2, 3]) AS k))),
+    often AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY lang, k, phrase),
+    total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM often WHERE k = 1 GROUP BY lang),
+    cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM often WHERE k > 1 AND f >= 10),
+    inside AS (SELECT DISTINCT c.lang, c.phrase FROM cand AS c JOIN (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+        FROM cand WHERE k = 3) AS b ON c.lang = b.lang AND c.phrase = b.phrase WHERE 100 * b.a >= 50 * c.a),
+    cut AS (SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS p, array_to_string(w[c + 1 : k], ' ') AS q
+        FROM (SELECT *, unnest(range(1, k)) AS c FROM cand ANTI JOIN inside USING (lang, phrase))),
+    rated AS (SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r,
+        CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+        FROM cut JOIN often AS x ON cut.lang = x.lang AND p = x.phrase JOIN often AS y ON cut.lang = y.lang AND q = y.phrase),
+    best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query(PHRASES)
+def op11_phrases(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold what templates use as marks.
+HOSTILE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+        (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+    e AS (SELECT *, replace(replace(replace(replace(replace(concat(role, text), '\', '\\'), '<turn>', '<\turn>'), '<text>', '<\text>'),
+        '</turn>', '<\/turn>'), '<|endoftext|>', '<\|endoftext|>') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(escaped) + length('<turn><text></turn>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op12_chat_formatting(spark, sf_dir):
+    """Every conversation rendered, encoded and masked, and read back from that."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = said.unionByName(spark.createDataFrame(HOSTILE, "conv_id bigint, turn bigint, role string, text string"))
+    return chat.read_back(chat.format_conversations(said, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+#: Words once each with their CRC-32, bit by bit; then counts, gains, weights and the draw.
+TARGET = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+    part AS (SELECT doc_id, unnest(w) AS x FROM doc),
+    known AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM part UNION SELECT x FROM item)),
+    hashed AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+        lambda i: CAST(concat('0x', h[2 * i + 1 : 2 * i + 2]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+        lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 10000 AS bucket FROM known),
+    raw AS (SELECT bucket, count(*) AS s FROM part JOIN hashed USING (x) GROUP BY bucket),
+    aim AS (SELECT bucket, count(*) AS t FROM item JOIN hashed USING (x) GROUP BY bucket),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM raw) + 10000 AS DOUBLE)
+        / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM aim) + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM raw LEFT JOIN aim USING (bucket)),
+    total AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM part JOIN hashed USING (x) JOIN gain USING (bucket) GROUP BY doc_id),
+    drawn AS (SELECT doc_id, CAST(concat('0x', sha256(concat('2024:', doc_id))[1:8]) AS BIGINT) AS h FROM documents),
+    scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+        FROM doc LEFT JOIN total USING (doc_id) JOIN drawn USING (doc_id)),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY (n_features >= 20) DESC, score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM ranked"""
+
+
+@query(TARGET)
+def op13_target_resampling(spark, sf_dir):
+    return target.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

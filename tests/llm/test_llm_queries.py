@@ -22,7 +22,7 @@ def test_same_rows_as_sql(spark, monkeypatch, name):
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
