@@ -107,8 +107,10 @@ def op8_warc(spark, sf_dir):
 
 @query()
 def op9_token_counts(spark, sf_dir):
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), model, new_path(spark, "token-cache"))
+    """Every document, with a cache that an earlier run has filled with the texts of one language."""
+    model, docs, cache = public_tokenizers.path("piece_bpe_32k.model"), table(spark, sf_dir, "documents"), new_path(spark, "token-cache")
+    tokencount.count_tokens(docs.filter("lang = 'en'"), model, cache)
+    return tokencount.count_tokens(docs, model, cache)
 
 
 #: The windows of the items, and the runs of as many words in documents that equal one.

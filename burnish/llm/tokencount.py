@@ -61,10 +61,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     text = F.coalesce("text", F.lit(""))
     digested = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(utf8(F.col("text")), 256)).alias("digest"))
     rows = written(digested.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest"), "count-rows")
-    texts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "count-texts")
+    # One row of each text, by its id; copies is how many rows have both.
+    ids = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    texts = written(ids.groupBy("digest").agg(F.min(F.struct("doc_id", "copies")).alias("one")).select("digest", "one.*"), "count-texts")
     missing = written(texts.join(read_cache(spark, cache_path, version), "digest", "left_anti"), "count-missing")
-    chosen = counted(missing, broadcast_rows)
-    misses = digested.join(chosen, (digested.digest == chosen.digest) & digested.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = counted(wanted, broadcast_rows)
+        found = digested.join(chosen, (digested.digest == chosen.digest) & digested.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
+        return found.select("digest", "text")
+
+    misses = texts_of(missing.filter("copies = 1"))
+    repeated = missing.filter("copies > 1")
+    if not repeated.isEmpty():  # rows that repeat text and id: one of them is encoded
+        misses = misses.unionByName(texts_of(repeated).groupBy("digest").agg(F.first("text").alias("text")))
     sent = spark.sparkContext.broadcast((tokenizer_path, model))  # one file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
