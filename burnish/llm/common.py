@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of narrow keys up to which a counted side is sent to all executors; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -110,7 +111,7 @@ def utf8(column: Column) -> Column:
 
 
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-           fields: list[tuple[str, str]]) -> DataFrame:
+           fields: list[tuple[str, str | T.DataType]]) -> DataFrame:
     """`mapInArrow` by the places of columns, whose names may hold any character; `fields` are names and types."""
     inner = [f"c{i}" for i in range(len(fields))]
 
@@ -118,15 +119,16 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in function(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=inner)
 
-    schema = ", ".join(f"{i} {kind}" for i, (_, kind) in zip(inner, fields, strict=True))
+    types = [kind if isinstance(kind, T.DataType) else T.DataType.fromDDL(kind) for _, kind in fields]
+    schema = T.StructType([T.StructField(i, kind) for i, kind in zip(inner, types, strict=True)])
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return plain.mapInArrow(run, schema).toDF(*(name for name, _ in fields))
 
 
-def kinds(df: DataFrame, places: Iterable[int] | None = None) -> list[tuple[str, str]]:
+def kinds(df: DataFrame, places: Iterable[int] | None = None) -> list[tuple[str, str | T.DataType]]:
     """Names and types of the columns at these places, or of all."""
     all_fields = df.schema.fields
-    return [(all_fields[i].name, all_fields[i].dataType.simpleString()) for i in (range(len(all_fields)) if places is None else places)]
+    return [(all_fields[i].name, all_fields[i].dataType) for i in (range(len(all_fields)) if places is None else places)]
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

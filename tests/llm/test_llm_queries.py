@@ -57,3 +57,16 @@ def test_language_stage_drops_what_has_no_language(spark, frame):
     odd = frame(docs.schema, [(-1, None, None, None, None), (-2, "1234", "en", "s", 4)])
     kept = langid.keep_identified(docs.unionByName(odd))
     assert kept.filter("doc_id < 0").count() == 0
+
+
+def test_stages_with_odd_columns(spark, frame):
+    """A struct field with a blank, and names that differ from an operator's own in case alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "named_struct('a b', n_chars) AS `the struct`", "'x' AS `N_Words`", "1 AS Token_IDs", "2 AS `Lang_Pred`", "'y' AS KEEP_ID")
+    folder = f"{corpus_pipeline.shared_dir(spark)}/odd-{id(odd)}"
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, odd, "/root/testdata/sf0.001").write.parquet(f"{folder}/{name}")
+        after = spark.read.parquet(f"{folder}/{name}")
+        assert after.columns == (odd.columns if name != "pieces" else [*(c for c in odd.columns if c != "Token_IDs"), "token_ids"])
+        assert after.filter("`the struct`.`a b` = n_chars").count() == after.count() > 0
+        odd = after

@@ -1,12 +1,14 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2 as model_format
 
 from burnish.llm import spiece
 
@@ -54,11 +56,55 @@ def test_edge_rows(frame):
     assert spiece.encode(docs.limit(0), PATH).count() == 0
 
 
-def test_other_models_are_refused():
-    from sentencepiece import sentencepiece_model_pb2 as model_format
-
+def changed(**how):
     spec = model_format.ModelProto()
     spec.ParseFromString(Path(PATH).read_bytes())
-    spec.trainer_spec.model_type = spec.trainer_spec.UNIGRAM
-    with pytest.raises(ValueError, match="merges"):
-        spiece.compiled(spec.SerializeToString())
+    for name, value in how.items():
+        setattr(spec.trainer_spec, name, value)
+    return spec
+
+
+def test_unigrams_take_the_least_weight():
+    """Pieces of the same file with weights that differ; the library reads the same model."""
+    spec, rng = changed(model_type=1), random.Random(4)
+    for piece in spec.pieces:
+        if piece.type == type(piece).NORMAL:
+            piece.score = -rng.uniform(3, 14)
+    library = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+    machine = spiece.compiled(spec.SerializeToString())
+    texts = ["", " ", "the of and  ", "x" * 700, "日本 \U0001d518 é\x00"]
+    texts += ["".join(rng.choice("etaoinshr  ▁é日\n.𝔘") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    assert [spiece.encode_text(machine, t).tolist() for t in texts] == library.encode(texts)
+
+
+def test_a_small_memory_does_not_change_ids(monkeypatch):
+    monkeypatch.setattr(spiece, "MEMORY_SLOTS", 7)
+    monkeypatch.setattr(spiece, "BORDER_SLOTS", 5)
+    monkeypatch.setattr(spiece, "SOLVE_CHARS", 50)
+    monkeypatch.setattr(spiece, "LONG_RUN", 12)
+    machine, rng = spiece.compiled(Path(PATH).read_bytes()), random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoin😀\x00,") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    assert [spiece.encode_text(machine, t).tolist() for t in texts] == LIBRARY.encode(texts)
+    assert machine["memory"].runs.shape[0] == 7
+
+
+def test_bytes_that_are_no_text():
+    ids = [[MACHINE["bytes"][0xF0]], [MACHINE["bytes"][0x9F], 300], [], [1, 2]]
+    flat = [int(i) for x in ids for i in x]
+    got = spiece.decoded(MACHINE, np.array(flat, np.int32), np.cumsum([0, *map(len, ids)])).to_pylist()
+    assert got[0] == "\ufffd" and got[1].startswith("\ufffd") and got[2:] == ["", ""]
+
+
+def test_other_models_are_refused():
+    with pytest.raises(ValueError, match="merges or unigrams"):
+        spiece.compiled(changed(model_type=3).SerializeToString())
+    with pytest.raises(ValueError, match="bytes"):
+        spiece.compiled(changed(byte_fallback=False).SerializeToString())
+
+
+def test_odd_columns(frame):
+    docs = frame("doc_id bigint, text string, Token_IDs string, s struct<`a b`: int>", [(1, "some text", "old", (3,))])
+    coded = spiece.encode(docs, PATH)
+    assert coded.columns == ["doc_id", "text", "s", "token_ids"]
+    row = spiece.decode(coded, PATH).first()
+    assert row.decoded == "some text" and row.s["a b"] == 3
