@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import as_missing, col, csv_header_names
+from . import quoted as parts
 
-WHOLE_FILES = 1_000
+#: Files with quoted line breaks that are told apart from the others by name.
+LISTED_FILES = 1_000
 _RECORD, _PLACE = "__record", "__place"
 READ_OPTIONS = {
     "header": True,
@@ -59,18 +61,6 @@ def _line_end(spark: SparkSession, paths: list[str]) -> str:
     return "\r\n" if first is not None and first[0].endswith("\r") else "\n"
 
 
-def _files_with_line_breaks(spark: SparkSession, paths: list[str], most: int) -> list[str] | None:
-    """Files where a quoted field may hold a line break; None if there are more than `most`.
-
-    Such a record starts with a line whose quotes do not pair up. A file without such a line can be
-    split and parsed line by line with the same result.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = _lines(spark, paths).filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"))
-    found = odd.distinct().limit(most + 1).collect()
-    return [r["file"] for r in found] if len(found) <= most else None
-
-
 def _check_headers(spark: SparkSession, paths: list[str]) -> None:
     """Raise unless the first lines of all files are equal. Only the first block of each file is read."""
     block = F.col("_metadata.file_block_start")
@@ -99,27 +89,51 @@ def with_record(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
 
 
-def handle_bad_lines(df: DataFrame, names: list[str], bad_lines: str, separator: str = ",", *, cut: bool = False) -> DataFrame:
-    """Drop rows of text columns with more fields than `names`, or fail the query that meets one.
-
-    With `cut` the same goes for records of another width with an odd number of quotes: parts of one with a line break.
-    """
+def handle_bad_lines(df: DataFrame, names: list[str], bad_lines: str, separator: str = ",") -> DataFrame:
+    """Drop rows of text columns with more fields than `names`, or fail the query that meets one."""
     surplus = _surplus_fields(names, separator)
-    quotes = F.length(_RECORD) - F.length(F.replace(_RECORD, F.lit('"'), F.lit("")))
-    part = F.coalesce(quotes % 2 == 1, F.lit(False)) if cut else F.lit(False)
     if bad_lines == "skip":
-        kept = ~surplus & ~part
+        kept = ~surplus
     elif bad_lines == "error":
         message = F.concat(F.lit(f"more than {len(names)} fields: "), F.substring(_RECORD, 1, 200))
         kept = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True)
-        if cut:
-            message = F.concat(F.lit("a quoted line break needs multi_line: "), F.substring(_RECORD, 1, 200))
-            kept = F.when(~surplus & part, F.raise_error(message).cast("boolean")).otherwise(kept)
     else:
         raise ValueError(f"bad_lines must be 'skip' or 'error', not {bad_lines!r}")
     return df.filter(kept).drop(_RECORD)
 
 
+def stream_records(lines: DataFrame, names: list[str], *, separator: str = ",", line_end: str | None = None) -> DataFrame:
+    """The text columns `names`, and the record of rows of another width, of a stream of lines of files.
+
+    Lines are joined to records within a block of a file; a record that leaves its block fails the query, as the next
+    block may be read by another task. So does a file whose header is not `names`. Without `line_end` lines end with a
+    line feed, with or without a carriage return before it.
+    """
+    schema = with_record(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    states = parts.with_states(parts.placed(lines), separator)
+    rows = parts.records(states, line_end or "\n", {}, crossing=False)
+    rows = rows.filter((F.col("kind") == parts.HEADER) | F.col("text").rlike(r"[^\x00-\x20]"))
+    if line_end is None:
+        rows = rows.withColumn("text", F.regexp_replace("text", "\r$", ""))
+    is_header = F.col("kind") == parts.HEADER
+    rows = rows.withColumn("text", F.when(is_header, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")))
+    parsed = _parsed(rows, schema, {"sep": separator}, keep=["kind", "text"])
+    named = F.col(_RECORD).isNull()
+    for n in names:
+        named = named & F.coalesce(col(n) == n, F.lit(False))
+    message = F.concat(F.lit(f"a header other than {separator.join(names)}: "), F.substring("text", 1, 200))
+    row = F.when(is_header & ~named, F.raise_error(message).cast("boolean")).otherwise(~is_header)
+    return parsed.filter(row).select(*(col(n) for n in names), _RECORD)
+
+
+def _parsed(texts: DataFrame, schema: T.StructType, options: dict, keep: list[str]) -> DataFrame:
+    """The columns of the records in `text`, and the columns `keep`."""
+    how = {k: str(v) for k, v in (READ_OPTIONS | options).items() if k not in ("header", "columnPruning")}
+    kept = {n: f"__kept{i}" for i, n in enumerate(keep)}
+    rows = texts.select(F.from_csv("text", schema.toDDL(), how).alias("__row"), *(F.col(n).alias(k) for n, k in kept.items()))
+    return rows.select("__row.*", *(F.col(k).alias(n) for n, k in kept.items()))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -129,13 +143,14 @@ def scan_csv(
     na: bool = True,
     separator: str = ",",
     position: str | None = None,
-    whole_files: int = WHOLE_FILES,
+    listed_files: int = LISTED_FILES,
 ) -> DataFrame:
     """Every column of a CSV file, or of a folder of them with the same header, as text.
 
-    `multi_line` None looks for quoted line breaks first and gives up splitting only the files that
-    have them; True or False skips that look. More than `whole_files` such files are not told apart
-    from the others: then every file is read by one task. `bad_lines` decides on rows with more fields
+    `multi_line` None looks for quoted line breaks first. Files without any are parsed line by line; the others stay
+    split too, and their blocks are cut into records by the state, inside or outside a field, that each begins in.
+    If more than `listed_files` files have line breaks, all are read in that way. False skips the look, and True
+    makes each file one task. `bad_lines` decides on rows with more fields
     than the header: `skip` drops them, `error` fails the query that meets one. Short rows are padded
     with nulls. `na` turns the missing-value tokens into nulls. `position` names a column to add that
     orders the rows by file, block and place in the block, whatever order Spark packs the files in.
@@ -159,13 +174,18 @@ def scan_csv(
             return df
         return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias(_PLACE))
 
-    broken = _files_with_line_breaks(spark, paths, whole_files) if multi_line is None else []
-    if broken:
-        # Spark does not open the files that such a filter rules out.
-        in_broken = F.col("_metadata.file_path").isin(broken)
-        df = read(True).filter(in_broken).unionByName(read(False).filter(~in_broken))
+    blocks = parts.look(spark, paths, separator, ends, listed_files) if multi_line is None else parts.Blocks([])
+    if blocks.broken == []:
+        df = read(bool(multi_line))
     else:
-        df = read(broken is None or bool(multi_line))
+        if header == names:
+            _check_headers(spark, paths)
+        records = parts.whole_records(spark, paths, separator, ends, blocks)
+        records = records.withColumn(_PLACE, F.struct(F.col("file").alias("file_path"), F.col("block").alias("file_block_start")))
+        df = _parsed(records, schema, {"sep": separator}, keep=[] if position is None else [_PLACE])
+        if blocks.broken is not None:
+            # Spark does not open the files that such a filter rules out.
+            df = df.unionByName(read(False).filter(~F.col("_metadata.file_path").isin(blocks.broken)))
 
     df = handle_bad_lines(df, names, bad_lines, separator)
     kept = [as_missing(col(n)).alias(n) if na else col(n) for n in names]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from threading import Event
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from ..operators.cleaning import drop_missing, trim_whitespace
 from ..operators.counts import column_missing, table_counts
 from ..options import FILL_METHODS, CleanOptions
 from ..plans.cleaning import clean
-from ..sources.csv import READ_OPTIONS, handle_bad_lines, with_record
+from ..sources.csv import READ_OPTIONS, handle_bad_lines, stream_records, with_record
 
 _BATCH = "batch_id"
+_OBSERVED = "burnish_rows_"
 
 
 def stream_scan(
@@ -37,10 +39,11 @@ def stream_scan(
 ) -> DataFrame:
     """Files below the folder `path` as a stream, those whose names match the glob `file_names`.
 
-    For CSV every file's header must be the names of `schema`. `bad_lines` and `na` are those of `scan_csv`; line
-    breaks in fields need `multi_line`, which reads a file in one task, or `line_end="\\r\\n"` where lines end so
-    and fields have plain line feeds: a stream cannot read its files beforehand. Without `multi_line`, parts of a record
-    with a quoted line break are bad lines, but for a part that has as many fields as the header. Values of other types than text are
+    For CSV every file's header must be the names of `schema`. `bad_lines` and `na` are those of `scan_csv`. Fields may
+    have line breaks: lines are joined to records within a block of a file (`spark.sql.files.maxPartitionBytes`), and a
+    record that leaves its block fails the query, as a stream cannot read its files beforehand. `multi_line` reads a
+    file in one task instead. `line_end="\\r\\n"` is for lines that end so where fields have plain line feeds.
+    Values of other types than text are
     read as text and cast; one that does not fit fails the query (`misfits="error"`) or becomes null (`"null"`).
     """
     options = {}
@@ -52,12 +55,18 @@ def stream_scan(
         return spark.readStream.schema(schema).format(file_format).options(**options).load(path)
 
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if line_end is not None:
-        options["lineSep"] = line_end
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in declared.names])
-    reader = spark.readStream.schema(with_record(texts)).format("csv")
-    stream = reader.options(**READ_OPTIONS, **options, enforceSchema=False, multiLine=multi_line).load(path)
-    stream = handle_bad_lines(stream, declared.names, bad_lines, cut=not multi_line)
+    if multi_line:
+        if line_end is not None:
+            options["lineSep"] = line_end
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in declared.names])
+        reader = spark.readStream.schema(with_record(texts)).format("csv")
+        stream = reader.options(**READ_OPTIONS, **options, enforceSchema=False, multiLine=True).load(path)
+    else:
+        lines = spark.readStream.options(**options, lineSep=line_end or "\n").text(path)
+        stream = stream_records(lines, declared.names, line_end=line_end)
+        # The source counts lines, headers among them.
+        stream = stream.observe(f"{_OBSERVED}{uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    stream = handle_bad_lines(stream, declared.names, bad_lines)
     stream = normalize_na(stream) if na else stream
     return stream.select(*[_typed(f, misfits).alias(f.name) for f in declared])
 
@@ -244,7 +253,8 @@ class _RowCounter(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.rows[str(event.progress.runId)] += event.progress.numInputRows
+        observed = [m["rows"] for name, m in event.progress.observedMetrics.items() if name.startswith(_OBSERVED)]
+        self.rows[str(event.progress.runId)] += sum(observed) if observed else event.progress.numInputRows
 
     def onQueryTerminated(self, event) -> None:
         self.ended[str(event.runId)].set()

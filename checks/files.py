@@ -49,6 +49,23 @@ def csv_line_breaks(spark, sf_dir):
     return read.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
+def lines_with_headers(df, header: str):
+    """Lines (value) with the header before the first row of each partition: its low 33 bits number a partition's rows."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    return df.select(F.when(first, F.concat(F.lit(header), "value")).otherwise(F.col("value")).alias("value"))
+
+
+@check("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents")
+def csv_line_breaks_split(spark, sf_dir):
+    """Texts with line breaks in files that Spark may split anywhere, numbered in the order of files and lines."""
+    path = fresh(spark)
+    text = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, sf_dir, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), text, "lang").alias("value"), "doc_id")
+    lines_with_headers(rows.orderBy("doc_id"), "doc_id,text,lang\n").write.text(path)
+    read = b.with_row_index(b.scan_csv(spark, path, na=False, position="at"), "at")
+    return read.select("doc_id", F.md5("text").alias("text_md5"), "lang", "row_idx")
+
+
 def _uneven_lines(spark, sf_dir) -> str:
     """Lines of four fields, but with one, two or none too many or too few."""
     path = fresh(spark)
@@ -75,10 +92,7 @@ def csv_crlf(spark, sf_dir):
     path = fresh(spark)
     lines = table(spark, sf_dir, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), "lang").alias("value"))
-    # A file for each partition, the header before its first row: the low 33 bits number the rows of a partition.
-    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
-    headed = F.when(first, F.concat(F.lit("doc_id,text,lang\r\n"), "value")).otherwise(F.col("value"))
-    lines.select(headed.alias("value")).write.option("lineSep", "\r\n").text(path)
+    lines_with_headers(lines, "doc_id,text,lang\r\n").write.option("lineSep", "\r\n").text(path)
     read = b.scan_csv(spark, path, na=False)
     return read.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burnish import streaming as s
+from burnish import write_csv
 from burnish.functions import literal_rows
 
 from .files import fresh
@@ -175,3 +176,13 @@ def stream_csv_typed(spark, sf_dir):
     stream = s.stream_scan(spark, path + "/in", "p_partkey bigint, p_size bigint, p_brand string", file_names="*.csv", bad_lines="skip")
     _finish(s.stream_to_parquet(stream, path + "/out", path + "/state"))
     return spark.read.parquet(path + "/out")
+
+
+@check("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents")
+def stream_csv_line_breaks(spark, sf_dir):
+    """Whole texts with line breaks, quotes and separators, streamed from CSV files."""
+    path = fresh(spark)
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path + "/in")
+    stream = s.stream_scan(spark, path + "/in", "doc_id string, text string, lang string", file_names="*.csv", na=False)
+    _finish(s.stream_to_parquet(stream, path + "/out", path + "/state"))
+    return spark.read.parquet(path + "/out").select("doc_id", F.md5("text").alias("text_md5"), "lang")

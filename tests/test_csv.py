@@ -1,5 +1,7 @@
 import datetime
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,7 +199,7 @@ def test_many_files_with_line_breaks(spark, csv):
     for k in range(3):
         path = csv(f'a,b\n"{k}\n",2\n', f"{k}.csv", "breaks")
     folder = path.rsplit("/", 1)[0]
-    assert rows(b.scan_csv(spark, folder, whole_files=2)) == rows(b.scan_csv(spark, folder)) == [(f"{k}\n", "2") for k in range(3)]
+    assert rows(b.scan_csv(spark, folder, listed_files=2)) == rows(b.scan_csv(spark, folder)) == [(f"{k}\n", "2") for k in range(3)]
 
 
 def test_one_column_keeps_its_gaps(spark, frame, tmp_path):
@@ -254,3 +256,69 @@ def test_the_crlf_check_writes_a_file_for_each_partition(spark, monkeypatch, tmp
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("CAST(doc_id AS STRING)", "sha2(text, 256)", "lang")
     assert sorted(map(tuple, read.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
     assert len(list((tmp_path / "crlf").glob("part-*"))) == 3
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of a few bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def set_to(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+
+    yield set_to
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+CELLS = ["", "a", "b c", 'say ""x""', "l1\nl2", "\n", "1,2", "\n\n,\n", 'q""\n""q', "é\nü", "long " * 9]
+
+
+@pytest.mark.parametrize(("size", "line_end"), [(61, "\n"), (150, "\r\n"), (4096, "\n")])
+def test_split_files_with_quoted_line_breaks(spark, tmp_path, small_blocks, size, line_end):
+    rng = random.Random(size)
+    table = [[str(k), rng.choice(CELLS), rng.choice(CELLS), str(rng.randint(0, 9))] for k in range(60)]
+    for part in range(2):
+        lines = [",".join(f'"{c}"' if any(x in c for x in '\n,"') else c for c in row) for row in table[part::2]]
+        (tmp_path / f"{part}.csv").write_bytes((line_end.join(["k,x,\"y\",z", *lines, ""])).encode())
+    small_blocks(size)
+    got = b.scan_csv(spark, str(tmp_path), na=False, position="at")
+    want = sorted(tuple((c.replace('""', '"') or None) for c in row) for row in table)
+    assert sorted((r.k, r.x, r.y, r.z) for r in got.collect()) == want
+    numbered = b.with_row_index(got, "at").collect()
+    assert sorted(r.row_idx for r in numbered) == list(range(60))
+    order = [r.k for r in sorted(numbered, key=lambda r: r.row_idx)]
+    assert order == [str(k) for part in range(2) for k in range(part, 60, 2)]
+    if size < 200:
+        plan = got._jdf.queryExecution().toString()
+        assert got.rdd.getNumPartitions() > 3 and "multiLine" not in plan
+    assert got.select("z").filter("z is not null").count() == 60 and got.count() == 60
+
+
+def test_split_files_with_odd_quotes(spark, tmp_path, small_blocks):
+    """Quotes that open nothing, bad widths and a header over several lines, as one task reads them."""
+    lines = ['"a', 'x",b', 'one"two,3', '"u"v"w,4', '"s\n""t""",5', "6", '"7\n8",9,10,11', ' "x",12', '"",""', "", '"e\n\n",13']
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    want = sorted(map(tuple, b.scan_csv(spark, str(tmp_path), multi_line=True, bad_lines="skip", na=False).collect()), key=repr)
+    for size in (19, 1000):
+        small_blocks(size)
+        got = b.scan_csv(spark, str(tmp_path), bad_lines="skip", na=False)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+        assert got.columns == ["a\nx", "b"]
+        with pytest.raises(Exception, match="more than 2 fields"):
+            b.scan_csv(spark, str(tmp_path), na=False).collect()
+
+
+def test_states_compose():
+    from burnish.sources.quoted import composed
+
+    rng = random.Random(3)
+    maps = np.array([rng.choice([(0, 1), (0, 0), (1, 1), (1, 0)]) for _ in range(200)])
+    for start in (0, 1):
+        states, end = composed(maps[:, 0], maps[:, 1], start)
+        now = start
+        for i, m in enumerate(maps):
+            assert states[i] == now
+            now = m[now]
+        assert end == now
