@@ -15,6 +15,7 @@ from ..functions import (
     is_missing,
     is_number_text,
     is_unsigned_text,
+    literal_of,
     numeric_columns,
     present,
     quoted,
@@ -27,6 +28,7 @@ from ..functions import (
 )
 from ..functions.names import distinct_names
 from .distinct import value_counts
+from .heavy import heavy_modes
 from .probe import maybe_numeric
 from .statistics import approximate_medians, exact_medians
 
@@ -113,15 +115,25 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return best.agg(F.struct(*at))
 
 
-def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Fill missing values of any type with the column's most frequent value, the smallest on ties."""
+def fill_mode(df: DataFrame, columns: list[str] | None = None, *, heavy: bool = True) -> DataFrame:
+    """Fill missing values of any type with the column's most frequent value, the smallest on ties.
+
+    With `heavy`, values that fill a noticeable share of a column are found by `heavy_modes` in two scans that shuffle
+    summaries only, and the values of the other columns are grouped. Without it all are grouped in one scan, as a
+    scalar subquery of the same query: for a table that is costly to compute.
+    """
     usable = groupable_columns(df)
     names = missing_columns(df, usable) if columns is None else [n for n in usable if n in columns]
     if not names:
         return df
-    row = modes(df, names).scalar()
     fields = {f.name: f for f in df.schema}
-    return _coalesced(df, {n: row.getField(f"c{i}").cast(fields[n].dataType) for i, n in enumerate(names)})
+    found = heavy_modes(df, names) if heavy else {}
+    # Put so that the schema still says that the column may be null.
+    values = {n: F.when(present(fields[n]).isNull(), literal_of(x, fields[n].dataType)) for n, x in found.items()}
+    if rest := [n for n in names if n not in found]:
+        row = modes(df, rest).scalar()
+        values |= {n: row.getField(f"c{i}").cast(fields[n].dataType) for i, n in enumerate(rest)}
+    return _coalesced(df, values)
 
 
 def fill_by_chunk(df: DataFrame, method: str, chunk: str = "chunk_id", columns: list[str] | None = None) -> DataFrame:

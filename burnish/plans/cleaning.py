@@ -103,7 +103,9 @@ def clean(
         if options.handle_missing == "drop":
             out = drop_missing(out, body.columns)
         elif gaps is not None:
-            out = _FILLS[options.handle_missing](out, gaps)
+            # After dedup the fill shares its shuffle; looking for frequent values first would shuffle again.
+            how = {"heavy": not options.remove_duplicates} if options.handle_missing == "fill_mode" else {}
+            out = _FILLS[options.handle_missing](out, gaps, **how)
     if options.trim_whitespace:
         out = trim_whitespace(out)
     return convert_types(out, facts) if facts else out

@@ -117,11 +117,13 @@ def stream_records(lines: DataFrame, names: list[str], *, separator: str = ",",
         rows = rows.withColumn("text", F.regexp_replace("text", "\r$", ""))
     is_header = F.col("kind") == parts.HEADER
     rows = rows.withColumn("text", F.when(is_header, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")))
-    parsed = _parsed(rows, schema, {"sep": separator}, keep=["kind", "text"])
+    rows = rows.withColumns({"__kind": F.col("kind"), "__text": F.col("text")})
+    parsed = _parsed(rows, schema, {"sep": separator}, keep=["__kind", "__text"])
+    is_header = F.col("__kind") == parts.HEADER
     named = F.col(_RECORD).isNull()
     for n in names:
         named = named & F.coalesce(col(n) == n, F.lit(False))
-    message = F.concat(F.lit(f"a header other than {separator.join(names)}: "), F.substring("text", 1, 200))
+    message = F.concat(F.lit(f"a header other than {separator.join(names)}: "), F.substring("__text", 1, 200))
     row = F.when(is_header & ~named, F.raise_error(message).cast("boolean")).otherwise(~is_header)
     return parsed.filter(row).select(*(col(n) for n in names), _RECORD)
 

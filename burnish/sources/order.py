@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,26 +15,34 @@ from .files import materialized
 
 _POSITION = "__position"
 _PARTITION = "__partition"
+_WITHIN = "__within"
 _FEW_ROWS = 100
+#: Rows of a range that one task orders, ranges at most, and sampled keys for each.
+RANGE_ROWS, MAX_RANGES, SAMPLED = 1_000_000, 16_384, 12
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
-def with_row_index(df: DataFrame, order_by: str | None = None, *, name: str = "row_idx") -> DataFrame:
+def with_row_index(
+    df: DataFrame, order_by: str | None = None, *, name: str = "row_idx", range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Number rows densely from 0, by `order_by` or else in scan order.
 
-    Each partition is counted on its own and starts where the one before it ends, so no task ever
-    orders the whole table. With `order_by` the table is range-partitioned; the position in the
-    input breaks ties, which also splits a key or a row that fills a large share of the table. The
-    placed rows are written to the shared folder first: counting and numbering must see the same
-    partitions, even if an executor is lost in between. If `order_by` is the `position` of a CSV scan,
-    nothing is moved or written: the rows of each block of a file are counted, and numbered in place.
+    With `order_by` the table is cut into ranges of about `range_rows` rows by a sample of its keys; the position in
+    the input breaks ties, which also splits a key or a row that fills a large share of the table. The rows of each
+    range are counted, from the key alone, and each range is then numbered on its own from where the one before it
+    ends. The bounds are constants of the plan, so counting and numbering cut alike, and a task that is run again
+    gives the same numbers; nothing is written. The input must come in the same partitions each time it is read, as
+    scans do; a range that has other rows than were counted fails the query.
+
+    Without `order_by` the partitions are the ranges. The placed rows are written to the shared folder first, as
+    any input may be numbered so. If `order_by` is the `position` of a CSV scan, nothing is moved or written: the
+    rows of each block of a file are counted, and numbered in place.
     """
     if order_by is not None and _is_position(df.schema[order_by].dataType):
         return _numbered_by_block(df, order_by, name)
-    position = F.monotonically_increasing_id()
     if order_by is not None:
-        arrival = "__arrival"
-        df = df.withColumn(arrival, position).orderBy(col(order_by), col(arrival)).drop(arrival)
+        return _numbered_by_range(df, order_by, name, range_rows)
+    position = F.monotonically_increasing_id()
     placed = materialized(df.withColumn(_POSITION, position))
     placed = placed.withColumn(_PARTITION, F.shiftright(_POSITION, _PARTITION_BITS))
 
@@ -49,6 +59,40 @@ def with_row_index(df: DataFrame, order_by: str | None = None, *, name: str = "r
     return numbered.drop(_POSITION, _PARTITION, "__start")
 
 
+def _numbered_by_range(df: DataFrame, order_by: str, name: str, range_rows: int) -> DataFrame:
+    kind = df.schema[order_by].dataType
+    placed = df.withColumn(_POSITION, F.monotonically_increasing_id())
+    here = F.struct(col(order_by).alias("key"), F.col(_POSITION).alias("at"))
+    total = df.count()
+    ranges = min(MAX_RANGES, -(-total // range_rows))
+    bounds = []
+    if ranges > 1:
+        # Some sampled keys for each range; every few of them is a bound.
+        sample = placed.select(here.alias("here")).sample(min(1.0, SAMPLED * ranges / total), seed=5)
+        sampled = [r["here"] for r in sample.orderBy("here").collect()]
+        bounds = [sampled[i * len(sampled) // ranges] for i in range(1, ranges)] if sampled else []
+    placed = placed.withColumn(_PARTITION, _range_of(here, bounds, kind))
+    counts = {r[_PARTITION]: r["count"] for r in placed.groupBy(_PARTITION).count().collect()}
+    sizes = [counts.get(i, 0) for i in range(len(bounds) + 1)]
+    starts = list(accumulate([0, *sizes[:-1]]))
+    within = F.row_number().over(W.partitionBy(_PARTITION).orderBy(col(order_by), _POSITION))
+    size, start = (F.get(F.lit(x), F.col(_PARTITION)) for x in (sizes, starts))
+    message = F.lit("rows came in other partitions than they were counted in")
+    number = F.when(F.col(_WITHIN) <= size, start.cast("bigint") + F.col(_WITHIN) - 1).otherwise(F.raise_error(message).cast("bigint"))
+    return placed.withColumn(_WITHIN, within).withColumn(name, number).drop(_POSITION, _PARTITION, _WITHIN)
+
+
+def _range_of(here: Column, bounds: list, kind: T.DataType) -> Column:
+    """How many of the sorted bounds are not above the key and position: a binary search in constants."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*[F.struct(literal_of(b["key"], kind).alias("key"), F.lit(b["at"]).cast("bigint").alias("at")) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= here, at + step).otherwise(at)
+    )
+
+
 def _is_position(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.StructType) and dtype.names == ["file", "block", "row"]
 

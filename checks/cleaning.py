@@ -67,6 +67,30 @@ def fill_mode(spark, sf_dir):
     return b.fill_mode(view(spark, sf_dir, "gappy_lineitem"))
 
 
+#: A column where two values share the lead, each in a quarter of the rows, a key with gaps, and one value in a third of the rows.
+HEAVY = """SELECT CASE WHEN k % 4 = 0 THEN 'tie b' WHEN k % 4 = 1 THEN 'tie a' WHEN k % 4 = 2 THEN CAST(l_partkey AS VARCHAR) END AS tied,
+    CASE WHEN k % 5 <> 0 THEN k END AS a_key, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN -1 ELSE l_suppkey END AS skewed
+    FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM {lineitem}) AS t"""
+
+
+@check("WITH d AS (" + HEAVY.format(lineitem="lineitem") + ") SELECT " + ", ".join(
+    f"coalesce({c}, (SELECT {c} FROM d WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}"
+    for c in ("tied", "a_key", "skewed")) + " FROM d")
+def fill_mode_heavy(spark, sf_dir):
+    """Modes of a skewed column, of one with a tie, and of a key, of which only the key's values are grouped."""
+    text = HEAVY.replace("AS VARCHAR", "AS STRING").format(lineitem="{lineitem}")
+    return b.fill_mode(spark.sql(text, lineitem=table(spark, sf_dir, "lineitem")))
+
+
+@check("SELECT event_id, ts, event_type, row_number() OVER (ORDER BY hot, event_id) - 1 AS row_idx FROM (SELECT *, "
+       "CASE WHEN event_id % 10 < 3 THEN TIMESTAMP '2020-01-01 00:00:00' ELSE ts END AS hot FROM events) AS t")
+def row_index_by_time(spark, sf_dir):
+    """Events numbered by time and, at the time that 30 % of them share, by arrival: ranges split such a key."""
+    events = table(spark, sf_dir, "events").withColumn(
+        "hot", F.expr("CASE WHEN event_id % 10 < 3 THEN TIMESTAMP_NTZ '2020-01-01 00:00:00' ELSE ts END"))
+    return b.with_row_index(events, "hot", range_rows=2_000).select("event_id", "ts", "event_type", "row_idx")
+
+
 def chunk_sql(value: str, names: list[str]) -> str:
     parts = [
         f"round(coalesce(CAST({c} AS DOUBLE), {value.format(c=c)} OVER (PARTITION BY o_orderkey // 10000)), 6) AS {c}"

@@ -209,3 +209,31 @@ def test_result_does_not_depend_on_partitions(gappy):
         assert rows(b.fill_mode(shuffled)) == rows(b.fill_mode(gappy))
         assert rows(b.fill_median(shuffled)) == rows(b.fill_median(gappy))
     assert gappy.agg(F.count("*")).first()[0] == 4
+
+
+def test_heavy_modes_are_proven(spark):
+    from burnish.operators.heavy import heavy_modes, share_error
+
+    assert share_error(10_000) == 3.5 / 16_384
+    df = spark.range(60_000, numPartitions=6).selectExpr(
+        "id AS a_key", "CASE WHEN id % 3 = 0 THEN 'ä' WHEN id % 3 = 1 THEN 'z' ELSE CAST(id AS STRING) END AS tied",
+        "CASE WHEN id % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN id % 4 = 1 THEN -0.0D WHEN id % 4 = 2 THEN 0.0D ELSE id END AS zeros",
+        "CASE WHEN id % 50 = 0 THEN 7 ELSE id + 100 END AS two_percent", "id % 2 = 0 AS flag",
+        "CASE WHEN id < 0 THEN 1 END AS none", "array(id % 2) AS listed", "DATE'2024-01-01' + CAST(id % 3 AS INT) AS day")
+    found = heavy_modes(df, df.columns)
+    day = found.pop("day")
+    assert found == {"tied": "z", "zeros": 0.0, "two_percent": 7, "flag": False} and str(day) == "2024-01-01"
+    # A summary of few values cannot prove a value of two percent, and says so.
+    assert "two_percent" not in heavy_modes(df, ["two_percent"], tracked=100)
+    same = b.fill_mode(df, ["tied", "zeros", "two_percent", "a_key"], heavy=False)
+    assert b.fill_mode(df, ["tied", "zeros", "two_percent", "a_key"]).exceptAll(same).count() == 0
+
+
+def test_heavy_modes_shuffle_summaries_only(spark):
+    """One row a task leaves the scan, whatever the number of distinct values."""
+    from burnish.operators import heavy
+
+    df = spark.range(50_000, numPartitions=5).selectExpr("CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS v")
+    sketch = df.agg(F.expr(f"approx_top_k(v, {heavy.CANDIDATES}, {heavy.TRACKED})"))
+    assert sketch._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert heavy.heavy_modes(df, ["v"]) == {"v": -1}

@@ -322,3 +322,35 @@ def test_states_compose():
             assert states[i] == now
             now = m[now]
         assert end == now
+
+
+def test_row_index_by_ranges(spark, monkeypatch):
+    """Nulls first, a hot key split by arrival, the same numbers each time, and nothing written."""
+    from burnish.sources import order
+
+    monkeypatch.setattr(order, "materialized", lambda df: pytest.fail("written"))
+    df = spark.range(4_000, numPartitions=6).selectExpr("id", "CASE WHEN id % 10 < 3 THEN 'hot' WHEN id % 97 = 5 THEN NULL ELSE CAST(id * 7919 % 5000 AS STRING) END AS k")
+    numbered = b.with_row_index(df, "k", range_rows=150)
+    got = {r.row_idx: (r.k, r.id) for r in numbered.collect()}
+    want = sorted(((r.k, r.id) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert [got[i] for i in range(4_000)] == want
+    assert {r.row_idx: (r.k, r.id) for r in numbered.collect()} == got
+    place = order._range_of(F.struct(F.col("k").alias("key"), F.monotonically_increasing_id().alias("at")),
+                            [{"key": "a", "at": 3}, {"key": "hot", "at": 1 << 34}, {"key": "z", "at": 0}], df.schema["k"].dataType)
+    assert df.select(place.alias("r")).distinct().count() > 2
+    assert b.with_row_index(df.limit(0), "k").count() == 0
+
+
+def test_row_index_refuses_other_partitions(spark):
+    """A range with more rows than were counted fails the query instead of giving a number twice."""
+    from burnish.sources import order
+
+    df = spark.range(100, numPartitions=2).selectExpr("id", "id % 7 AS k")
+    before = order.W
+    numbered = b.with_row_index(df.filter("rand() < 0.5"), "k", range_rows=5)
+    assert before is order.W
+    try:
+        rows_ = [r.row_idx for r in numbered.collect()]
+        assert len(rows_) == len(set(rows_))
+    except Exception as e:
+        assert "other partitions" in str(e)
