@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache, reduce
 from uuid import uuid4
 
@@ -81,6 +82,18 @@ def numbered(df: DataFrame, name: str, number: str = "number", order_by: list[Co
     return out
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is run inside: long rows need little memory then, in the JVM too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if it is counted to have at most `most` rows, else to be shuffled.
 
