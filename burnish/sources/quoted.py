@@ -108,13 +108,15 @@ class Blocks:
     open_at: dict[str, set[int]] = field(default_factory=dict)
     #: The blocks before those.
     before: dict[str, set[int]] = field(default_factory=dict)
+    #: All blocks behind the first of a file that hold a quote: the second pass must cut files at the same places.
+    seen: dict[str, set[int]] = field(default_factory=dict)
 
 
 def look(spark: SparkSession, paths: list[str], separator: str, line_end: str, most: int) -> Blocks:
     """The first pass. `broken` is None for more than `most` files with line breaks.
 
-    What the driver sees of the blocks is those that begin inside a field: a number for each, at most one for every
-    block of a large file, and none of files of one block.
+    What the driver sees of the blocks is a number for each behind the first of a large file, and none of files of one
+    block.
     """
     quoted = lines_of(spark, paths, line_end).filter(F.contains("value", F.lit('"')))
     states = with_states(quoted, separator).select("file", "block", "from_out", "from_in")
@@ -146,7 +148,10 @@ def look(spark: SparkSession, paths: list[str], separator: str, line_end: str, m
         for row in inside.select("file", "block", "previous").collect():
             open_at.setdefault(row.file, set()).add(row.block)
             earlier.setdefault(row.file, set()).add(row.previous)
-    return Blocks(found if len(found) <= most else None, open_at, earlier)
+    seen: dict[str, set[int]] = {}
+    for row in blocks.filter("block > 0").select("file", "block").collect():
+        seen.setdefault(row.file, set()).add(row.block)
+    return Blocks(found if len(found) <= most else None, open_at, earlier, seen)
 
 
 def _bytes(values: pa.Array) -> list[bytes]:
@@ -156,8 +161,8 @@ def _bytes(values: pa.Array) -> list[bytes]:
 class _Cutter:
     """Joins the lines of one block after the other to records."""
 
-    def __init__(self, line_end: str, open_at: dict[str, set[int]]) -> None:
-        self.line_end, self.open_at = line_end.encode(), open_at
+    def __init__(self, line_end: str, open_at: dict[str, set[int]], seen: dict[str, set[int]] | None) -> None:
+        self.line_end, self.open_at, self.seen = line_end.encode(), open_at, seen
         self.key, self.size, self.state, self.held, self.kind = None, 0, 0, [], WHOLE
 
     def begin(self, key: tuple, size: int) -> None:
@@ -183,7 +188,10 @@ class _Cutter:
 
     def lines(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values = rows.column("value")
-        states, self.state = composed(*(rows.column(n).to_numpy().astype(np.int64) for n in ("from_out", "from_in")), self.state)
+        from_out, from_in = (rows.column(n).to_numpy().astype(np.int64) for n in ("from_out", "from_in"))
+        if self.seen is not None and self.key[1] and self.key[1] not in self.seen.get(self.key[0], ()) and (from_out.any() or not from_in.all()):
+            raise ValueError(f"{self.key[0]} is cut into other blocks than when it was looked at: scan it again")
+        states, self.state = composed(from_out, from_in, self.state)
         starts = np.flatnonzero(states == 0)
         if not len(starts):
             self.held += _bytes(values)
@@ -221,14 +229,15 @@ class _Cutter:
 RECORD_SCHEMA = "file string, block bigint, size bigint, kind int, text string"
 
 
-def records(lines: DataFrame, line_end: str, open_at: dict[str, set[int]], *, only: dict[str, set[int]] | None = None, crossing: bool = True) -> DataFrame:
+def records(lines: DataFrame, line_end: str, open_at: dict[str, set[int]], *, seen: dict[str, set[int]] | None = None,
+            only: dict[str, set[int]] | None = None, crossing: bool = True) -> DataFrame:
     """file, block, size, kind, text: the second pass over `lines` with states.
 
-    `only` names the blocks to look at, if not all. Without `crossing` a record that leaves its block fails the query.
+    Blocks with quotes that are not `seen`, if that is given, fail the query. `only` names the blocks to look at, if not all. Without `crossing` a record that leaves its block fails the query.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(line_end, open_at)
+        cutter = _Cutter(line_end, open_at, seen)
         for batch in batches:
             for key, rows in _blocks(batch):
                 if only is not None and key[1] not in only.get(key[0], ()):
@@ -254,13 +263,14 @@ def whole_records(spark: SparkSession, paths: list[str], separator: str, line_en
     """
     lines = lines_of(spark, paths, line_end)
     if blocks.broken is not None:
-        lines = lines.filter(F.col("file").isin(blocks.broken))
+        # Not by the file alone: Spark would then list fewer files, and cut them into other blocks.
+        lines = lines.filter(F.col("file").isin(blocks.broken) | F.col("value").isNull())
     lines = with_states(lines, separator)
-    complete = records(lines, line_end, blocks.open_at).filter(F.col("kind") == WHOLE).select("file", "block", "text")
+    complete = records(lines, line_end, blocks.open_at, seen=blocks.seen).filter(F.col("kind") == WHOLE).select("file", "block", "text")
     if blocks.open_at:
         # The blocks on either side of an open border hold the parts.
         only = {f: starts | blocks.before[f] for f, starts in blocks.open_at.items()}
-        complete = complete.unionByName(_put_together(records(lines, line_end, blocks.open_at, only=only), line_end))
+        complete = complete.unionByName(_put_together(records(lines, line_end, blocks.open_at, seen=blocks.seen, only=only), line_end))
     return complete.filter(F.col("text").rlike(r"[^\x00-\x20]"))
 
 

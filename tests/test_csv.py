@@ -310,6 +310,24 @@ def test_split_files_with_odd_quotes(spark, tmp_path, small_blocks):
             b.scan_csv(spark, str(tmp_path), na=False).collect()
 
 
+def test_files_without_line_breaks_do_not_move_the_blocks(spark, tmp_path, small_blocks):
+    """The others make up most of the folder; block sizes follow from all its files."""
+    text = "k,v\n" + "".join(f'{i},"a\nb ""{i}"""\n' for i in range(60))
+    (tmp_path / "broken.csv").write_text(text)
+    for part in range(3):
+        (tmp_path / f"plain{part}.csv").write_text("k,v\n" + "".join(f"{i},plain\n" for i in range(1000 * (part + 1), 1000 * (part + 1) + 400)))
+    small_blocks("1g")
+    spark.conf.set("spark.sql.files.openCostInBytes", 100)
+    got = sorted((int(r.k), r.v) for r in b.scan_csv(spark, str(tmp_path)).collect())
+    want = [(i, f'a\nb "{i}"') for i in range(60)] + [(i, "plain") for part in range(3) for i in range(1000 * (part + 1), 1000 * (part + 1) + 400)]
+    assert got == sorted(want)
+    # Cut elsewhere between the look and the read, the scan fails instead of giving wrong rows.
+    scanned = b.scan_csv(spark, str(tmp_path))
+    small_blocks(333)
+    with pytest.raises(Exception, match="other blocks"):
+        scanned.collect()
+
+
 def test_states_compose():
     from burnish.sources.quoted import composed
 
