@@ -182,7 +182,9 @@ def stream_csv_typed(spark, sf_dir):
 def stream_csv_line_breaks(spark, sf_dir):
     """Whole texts with line breaks, quotes and separators, streamed from CSV files."""
     path = fresh(spark)
-    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path + "/in")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # Files of some hundred texts, as they may arrive: a stream reads records within a block of a file.
+    write_csv(docs.repartition(docs.count() // 400 + 1), path + "/in")
     stream = s.stream_scan(spark, path + "/in", "doc_id string, text string, lang string", file_names="*.csv", na=False)
     _finish(s.stream_to_parquet(stream, path + "/out", path + "/state"))
     return spark.read.parquet(path + "/out").select("doc_id", F.md5("text").alias("text_md5"), "lang")
