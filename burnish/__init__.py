@@ -31,6 +31,8 @@ from .options import CleanOptions
 from .plans import (
     CleanResult,
     clean,
+    clean_in_ranges,
+    clean_progress,
     clean_summary,
     clean_to_csv,
     column_profile,
@@ -55,6 +57,8 @@ __all__ = [
     "append_run",
     "bounded_distinct",
     "clean",
+    "clean_in_ranges",
+    "clean_progress",
     "clean_summary",
     "clean_to_csv",
     "column_missing",

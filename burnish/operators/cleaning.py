@@ -51,7 +51,8 @@ def _replace_columns(df: DataFrame, replaced: dict[str, Column]) -> DataFrame:
     return df.select(*[replaced[n].alias(n) if n in replaced else col(n) for n in df.columns])
 
 
-def _coalesced(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def fill_with(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Each column with its missing values replaced."""
     fields = {f.name: f for f in df.schema}
     return _replace_columns(df, {n: F.coalesce(present(fields[n]), v) for n, v in values.items()})
 
@@ -72,10 +73,7 @@ def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = _numeric_gaps(df, columns)
     if not names:
         return df
-    means = df.agg(
-        F.struct(*[F.avg(present(df.schema[n]).cast("double")).alias(f"c{i}") for i, n in enumerate(names)])
-    ).scalar()
-    return _coalesced(df, {n: means.getField(f"c{i}") for i, n in enumerate(names)})
+    return fill_with(df, fill_values(df, "fill_mean", names))
 
 
 def fill_median(
@@ -95,7 +93,7 @@ def fill_median(
         medians = approximate_medians(df, names, **more) if names else {}
     else:
         medians = exact_medians(df, names, gaps_only=columns is None)
-    return _coalesced(df, {n: F.lit(m).cast("double") for n, m in medians.items()}) if medians else df
+    return fill_with(df, {n: F.lit(m).cast("double") for n, m in medians.items()}) if medians else df
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,16 +122,34 @@ def fill_mode(df: DataFrame, columns: list[str] | None = None, *, heavy: bool =
     """
     usable = groupable_columns(df)
     names = missing_columns(df, usable) if columns is None else [n for n in usable if n in columns]
-    if not names:
-        return df
-    fields = {f.name: f for f in df.schema}
-    found = heavy_modes(df, names) if heavy else {}
+    values = fill_values(df, "fill_mode", names, heavy=heavy)
     # Put so that the schema still says that the column may be null.
-    values = {n: F.when(present(fields[n]).isNull(), literal_of(x, fields[n].dataType)) for n, x in found.items()}
-    if rest := [n for n in names if n not in found]:
+    return fill_with(df, {n: F.when(present(df.schema[n]).isNull(), v) for n, v in values.items()}) if values else df
+
+
+def fill_values(df: DataFrame, method: str, names: list[str], *, heavy: bool = True) -> dict[str, Column]:
+    """What `method` fills each of the columns with: constants, or fields of a scalar subquery.
+
+    Columns to which the method does not apply, as means to texts, are left out.
+    """
+    fields = {f.name: f for f in df.schema}
+    if method != "fill_mode":
+        names = [n for n in numeric_columns(df) if n in names]
+    if not names:
+        return {}
+    if method == "fill_mean":
+        means = df.agg(F.struct(*[F.avg(present(fields[n]).cast("double")).alias(f"c{i}") for i, n in enumerate(names)])).scalar()
+        return {n: means.getField(f"c{i}") for i, n in enumerate(names)}
+    if method == "fill_median":
+        return {n: F.lit(m).cast("double") for n, m in exact_medians(df, names).items()}
+    if method != "fill_mode":
+        raise ValueError(f"method must be fill_mean, fill_median or fill_mode, not {method!r}")
+    found = heavy_modes(df, [n for n in groupable_columns(df) if n in names]) if heavy else {}
+    values = {n: literal_of(x, fields[n].dataType) for n, x in found.items()}
+    if rest := [n for n in groupable_columns(df) if n in names and n not in found]:
         row = modes(df, rest).scalar()
         values |= {n: row.getField(f"c{i}").cast(fields[n].dataType) for i, n in enumerate(rest)}
-    return _coalesced(df, values)
+    return values
 
 
 def fill_by_chunk(df: DataFrame, method: str, chunk: str = "chunk_id", columns: list[str] | None = None) -> DataFrame:
@@ -155,7 +171,7 @@ def fill_by_chunk(df: DataFrame, method: str, chunk: str = "chunk_id", columns:
     if not names:
         return df
     fields = {f.name: f for f in df.schema}
-    return _coalesced(df, {n: value(present(fields[n])).over(window) for n in names})
+    return fill_with(df, {n: value(present(fields[n])).over(window) for n in names})
 
 
 def trim_whitespace(df: DataFrame, *, null_as: str | None = None) -> DataFrame:

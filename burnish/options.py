@@ -20,6 +20,9 @@ HISTORY_ROWS = 10
 ONE_TASK_ROWS = 1_000_000
 MEDIAN_TASK_ROWS = 100_000
 
+# Ours: the bytes of files that are cleaned at a time where progress is logged.
+RANGE_BYTES = 1 << 40
+
 FILL_METHODS = ("fill_mean", "fill_median", "fill_mode")
 
 

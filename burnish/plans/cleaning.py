@@ -32,7 +32,7 @@ _ROW, _CHUNK = "__row", "__chunk"
 _FILLS = {"fill_mean": fill_mean, "fill_median": fill_median, "fill_mode": fill_mode}
 
 
-def _facts(df: DataFrame, options: CleanOptions) -> tuple[TextFacts | None, list[str] | None]:
+def decisions(df: DataFrame, options: CleanOptions) -> tuple[TextFacts | None, list[str] | None]:
     """Which text columns are numbers and which columns have gaps, as far as the options need them, in one pass.
 
     Copies of rows change neither, nor do fill values, which the column holds already. So this looks
@@ -82,7 +82,7 @@ def clean(
         names = iter(body_names)
         df = df.toDF(*[n if n in carried else next(names) for n in df.columns])
         body = body.toDF(*body_names)
-    facts, gaps = _facts(body, options)
+    facts, gaps = decisions(body, options)
     if fill_columns is not None and gaps is not None:
         renamed = dict(zip(given, body.columns, strict=True))
         gaps = [n for n in gaps if n in {renamed[c] for c in fill_columns}]

@@ -43,6 +43,19 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
     return reader.load(path).select("path", "length")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def fingerprint(spark: SparkSession, path: str) -> list[int]:
+    """Number, bytes and a checksum of names, lengths and times of the files below `path`: it changes if they do."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    checksum = F.sum(F.xxhash64("path", "length", "modificationTime").bitwiseAND(0xFFFFFFFF))
+    row = reader.agg(F.count(F.lit(1)), F.sum("length"), checksum).first()
+    return [int(x or 0) for x in row]
+
+
 def admit_files(
     spark: SparkSession, path: str, *, extension: str = "csv", max_bytes: int | None = MAX_FILE_BYTES
 ) -> DataFrame:

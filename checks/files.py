@@ -144,3 +144,62 @@ def run_log(spark, sf_dir):
         b.append_run(spark, path + "/log", id=name, filename=f"{name}.csv", status="completed",
                      rows_processed=result.rows_processed)
     return b.recent_runs(b.read_runs(spark, path + "/log")).select("id", "filename", "status", "rows_processed")
+
+
+def _event_files(spark, sf_dir) -> str:
+    """Rows of the table with copies and gaps, in eight files."""
+    path = fresh(spark)
+    view(spark, sf_dir, "copied_events").repartition(8).write.parquet(path)
+    return path
+
+
+DISTINCT_EVENTS = f"SELECT DISTINCT * FROM ({view_sql('copied_events')})"
+
+
+@check(f"""WITH d AS ({DISTINCT_EVENTS}) SELECT event_id, event_type,
+    coalesce(CAST(user_id AS DOUBLE), (SELECT median(user_id) FROM d)) AS user_id,
+    coalesce(value, (SELECT median(value) FROM d)) AS value FROM d""")
+def clean_ranges(spark, sf_dir):
+    """A folder cleaned file by file, with fill values of the whole table."""
+    return b.clean_in_ranges(spark, _event_files(spark, sf_dir), fresh(spark), bytes_per_range=1,
+                             remove_duplicates=True, handle_missing="fill_median")
+
+
+@check(f"""WITH d AS ({view_sql('copied_events')}), n AS (SELECT count(*) AS n,
+        count(*) FILTER (WHERE user_id IS NOT NULL AND value IS NOT NULL) AS kept FROM d)
+    SELECT CAST(8 AS BIGINT) AS ranges, n AS rows_processed, kept AS rows_out, n AS last_processed, kept AS last_out, kept AS written FROM n""")
+def clean_ranges_log(spark, sf_dir):
+    """The log of finished ranges adds up to the rows read and the rows written."""
+    path = fresh(spark)
+    rows = b.clean_in_ranges(spark, _event_files(spark, sf_dir), path, bytes_per_range=1, handle_missing="drop")
+    log = b.clean_progress(spark, path)
+    totals = log.agg(F.count(F.lit(1)).alias("ranges"), F.sum("rows_processed").alias("rows_processed"), F.sum("rows_out").alias("rows_out"),
+                     F.max("rows_processed_so_far").alias("last_processed"), F.max("rows_out_so_far").alias("last_out"))
+    return totals.withColumn("written", rows.agg(F.count(F.lit(1)).alias("written")).scalar())
+
+
+ORDER_FILES = """SELECT o_custkey % 40 AS part, count(*) AS n, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS length
+    FROM orders GROUP BY o_custkey % 40"""
+
+
+@check(f"""WITH f AS ({ORDER_FILES})
+    SELECT CAST(part AS INTEGER) AS part, length, n FROM f WHERE part % 3 > 0 AND length <= (SELECT CAST(sum(length) // 40 AS BIGINT) FROM f)""")
+def admit_files(spark, sf_dir):
+    """Orders as files of two kinds; of one kind, those up to a fortieth of all bytes, and the rows that are read from them."""
+    path = fresh(spark)
+    lines = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey % 40 AS INT) AS part", "CAST(o_orderkey AS STRING) AS value").repartition("part")
+    lines.filter("part % 3 > 0").write.partitionBy("part").csv(path)
+    lines.filter("part % 3 = 0").write.partitionBy("part").mode("append").text(path)
+    most = lines.agg(F.expr("sum(length(value) + 1) div 40")).first()[0]
+    part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("int")
+    admitted = b.admit_files(spark, path, max_bytes=most).select(part.alias("part"), "length")
+    rows = spark.read.text(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return admitted.join(rows, "part")
+
+
+@check("SELECT round(sum(strlen(coalesce(text, '')) + 1) / 1048576.0, 2) AS size_mb FROM documents")
+def size_mb(spark, sf_dir):
+    """The size of whole texts written as files."""
+    path = fresh(spark)
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return b.size_mb(spark, path)
