@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions import col, is_number_text, normalize_na, numeric_columns, standard_name
+from ..functions import col, is_number_text, normalize_na, numeric_columns, present, standard_name
 from ..functions.names import distinct_names
 from ..operators.cleaning import drop_missing, trim_whitespace
-from ..operators.counts import column_missing, table_counts
+from ..operators.counts import column_missing, one_row_per_column, table_counts
 from ..options import FILL_METHODS, CleanOptions
 from ..plans.cleaning import clean
 from ..sources.csv import READ_OPTIONS, handle_bad_lines, stream_records, with_record
@@ -144,6 +144,24 @@ def stream_table_counts(stream: DataFrame) -> DataFrame:
     return table_counts(stream)
 
 
+def stream_statistics(stream: DataFrame) -> DataFrame:
+    """Filled rows, mean, deviation, minimum and maximum so far per numeric column; write it with `stream_totals`.
+
+    The state is one row of moments: number, mean and sum of squared distances from it. They are merged around the
+    common mean, so that a small spread far from zero is not lost, as it is in sums of squares.
+    """
+    names = numeric_columns(stream)
+    if not names:
+        raise ValueError("no numeric columns")
+    aggregates, facts = [], {}
+    for i, n in enumerate(names):
+        value = present(stream.schema[n]).cast("double")
+        found = {"filled": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+        aggregates += [c.alias(f"{k}{i}") for k, c in found.items()]
+        facts[n] = {k: f"{k}{i}" for k in found}
+    return one_row_per_column(stream.agg(*aggregates), facts)
+
+
 def stream_dedup(
     stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 8
 ) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from burnish import streaming as s
-from burnish import write_csv
+from burnish import distinct_counts, write_csv
 from burnish.functions import literal_rows
+from burnish.operators.counts import one_row_per_column
 
 from .files import fresh
-from .profile import percent_sql, table_counts_sql
+from .profile import LINEITEM, LINEITEM_NUMBERS, percent_sql, table_counts_sql
 from .registry import check
-from .views import table
+from .views import table, view, view_sql
 
 EVENTS = ["event_id", "user_id", "event_type", "value"]
 GAPPY_EVENTS = """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS user_id,
@@ -188,3 +189,79 @@ def stream_csv_line_breaks(spark, sf_dir):
     stream = s.stream_scan(spark, path + "/in", "doc_id string, text string, lang string", file_names="*.csv", na=False)
     _finish(s.stream_to_parquet(stream, path + "/out", path + "/state"))
     return spark.read.parquet(path + "/out").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+STATISTICS_SQL = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS "column", count({c}) AS filled, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+        round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, min(CAST({c} AS DOUBLE)) AS "min", max(CAST({c} AS DOUBLE)) AS "max" FROM d"""
+    for i, c in enumerate(["o_orderkey", "o_custkey", "o_totalprice"])
+)
+
+
+@check(f"WITH d AS (SELECT o_orderkey, o_custkey, o_totalprice + 1000000 AS o_totalprice FROM ({MANY})) {STATISTICS_SQL}")
+def stream_statistics(spark, sf_dir):
+    """Running moments over several batches, of values far from zero too."""
+    path = fresh(spark)
+    stream = _many_stream(spark, _many_files(spark, sf_dir)).drop("part")
+    totals = s.stream_statistics(stream.withColumn("o_totalprice", F.col("o_totalprice") + 1_000_000))
+    _finish(s.stream_totals(totals, path + "/out", path + "/state"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "std")]
+    return s.read_totals(spark, path + "/out").select("ordinal", "column", "filled", *rounded, "min", "max")
+
+
+def _sketched(spark, rows, parts: int) -> str:
+    """The table sketched as its files arrive, in so many parts of several files."""
+    folder, store = fresh(spark), fresh(spark)
+    for part in range(parts):
+        arrived = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == part)
+        arrived.repartition(3).write.mode("append").parquet(folder)
+        s.sketch_files(spark, folder, store)
+    return store
+
+
+@check(f"WITH d AS ({view_sql('gappy_lineitem')}) " + " UNION ALL ".join(
+    f"""SELECT CAST({i} AS INTEGER) AS ordinal, '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing_count,
+        count({c}) > 0 AS within_bound FROM d""" for i, c in enumerate(LINEITEM)
+))
+def unique_incremental(spark, sf_dir):
+    """Distinct values from stored sketches, off by less than four standard errors of the exact ones."""
+    gappy = view(spark, sf_dir, "gappy_lineitem")
+    found = s.sketched_profile(spark, _sketched(spark, gappy, 3))
+    exact = distinct_counts(gappy).select("column", F.col("unique_values").alias("exact"))
+    close = F.abs(F.col("unique_values") - F.col("exact")) <= 4 * s.distinct_error() * F.col("exact")
+    return found.join(exact, "column").select("ordinal", "column", "rows", "missing_count", close.alias("within_bound"))
+
+
+#: Means of these lie close to a tie with six digits.
+DIGITS = {"l_discount": 8, "l_tax": 8}
+
+
+@check(f"WITH d AS ({view_sql('gappy_lineitem')}) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(avg(CAST({c} AS DOUBLE)), {DIGITS.get(c, 5)}) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), {DIGITS.get(c, 5)}) AS std,
+        min(CAST({c} AS DOUBLE)) AS "min", max(CAST({c} AS DOUBLE)) AS "max", count({c}) > 0 AS within_bound FROM d"""
+    for c in LINEITEM_NUMBERS
+))
+def median_incremental(spark, sf_dir):
+    """Statistics from stored sketches; the share of rows below the median and up to it enclose a half, within twice the rank error."""
+    gappy = view(spark, sf_dir, "gappy_lineitem")
+    found = s.sketched_profile(spark, _sketched(spark, gappy, 3)).filter("median IS NOT NULL")
+    medians = {r["column"]: r["median"] for r in found.select("column", "median").collect()}
+    off = 2 * s.rank_error()
+    counted = gappy.agg(*[
+        ((F.count_if(F.col(c) < m) <= (0.5 + off) * F.count(c)) & (F.count_if(F.col(c) <= m) >= (0.5 - off) * F.count(c))).alias(c)
+        for c, m in medians.items()
+    ])
+    near = one_row_per_column(counted, {c: {"within_bound": c} for c in medians}).drop("ordinal")
+    small = F.col("column").isin(*DIGITS)
+    rounded = [F.when(small, F.round(c, 8)).otherwise(F.round(c, 5)).alias(c) for c in ("mean", "std")]
+    return found.join(F.broadcast(near), "column").select("column", *rounded, "min", "max", "within_bound")
+
+
+@check(f"WITH d AS ({view_sql('copied_events')}) SELECT count(*) AS rows, count(*) > 0 AS within_bound FROM d")
+def duplicate_estimate_sketch(spark, sf_dir):
+    """Copies from stored sketches of whole rows; the distinct rows are off by less than four standard errors."""
+    copied = view(spark, sf_dir, "copied_events")
+    found = s.sketched_duplicates(spark, _sketched(spark, copied, 2))
+    exact = copied.distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    close = F.abs(F.col("rows") - F.col("duplicate_rows") - exact) <= 4 * s.rows_error() * exact
+    return found.select("rows", close.alias("within_bound"))
