@@ -1,9 +1,10 @@
 """WARC archives as a table of chunks.
 
 A record is written as rows (archive, record, chunk, last, data, digest): chunk 0 begins with the record's header,
-the rest of its payload follows in chunks of `CHUNK` bytes, and each row carries the SHA-256 of the payload as far
-as it goes. The `data` of an archive's rows, in the order of record and chunk, is a WARC file. The reader
-holds one chunk at a time, whatever the length of a record; the writer a batch of whole payloads, which it cuts.
+its payload follows in chunks of `CHUNK` bytes, and each row carries the SHA-256 of the payload as far
+as it goes. The `data` of an archive's rows, in the order of record and chunk, is a WARC file. Payloads are cut into
+chunks by Spark: Python holds batches of `ROWS_AT_ONCE` chunks and a running digest, in the writer and in the reader,
+whatever the length of a record.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, byte_view, counted, utf8, written
+from .common import BROADCAST_ROWS, batch_rows, byte_view, counted, utf8, written
 
 CHUNK = 1 << 16
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 100
+#: Chunks that come to Python in a batch, 64 MB of long payloads.
+ROWS_AT_ONCE = 1_000
 #: Chunks are handed on in batches of about so many bytes.
 BATCH = 1 << 22
 DATE = "1970-01-01T00:00:00Z"
@@ -44,21 +47,6 @@ def header(page: str | None, url: str | None, size: int, digest: str, refers_to:
     return "\r\n".join(lines).encode("ascii") + END
 
 
-def chunks(head: bytes, payload: memoryview | bytes, size: int = CHUNK) -> Iterator[tuple[int, bool, bytes, bytes]]:
-    """Rows of a record: chunk, last, data, digest of the payload so far."""
-    digest, at, number = hashlib.sha256(), 0, 0
-    while True:
-        room = max(size - len(head), 1) if number == 0 else size
-        part = payload[at : at + room]
-        digest.update(part)
-        at += len(part)
-        last = at >= len(payload)
-        yield number, last, b"".join((head if number == 0 else b"", part, END if last else b"")), digest.digest()
-        if last:
-            return
-        number += 1
-
-
 class Record:
     """Reads the chunks of a record one after the other."""
 
@@ -96,7 +84,8 @@ class Record:
                 unquote(to[len("<urn:page:id:") : -1]) if to else None)
 
 
-def write(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK, date: str = DATE, broadcast_rows: int = BROADCAST_ROWS) -> None:
+def write(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK, date: str = DATE, broadcast_rows: int = BROADCAST_ROWS,
+          rows_at_once: int = ROWS_AT_ONCE) -> None:
     """Write a record for each row of `pages` (page_id, url, html) to the folder `path`, an archive for each task.
 
     The payload is the html in UTF-8; null is empty. Of equal payloads of at least 100 bytes, that with the smallest
@@ -112,28 +101,38 @@ def write(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK, date: str =
     joined = heads.join(counted(first, broadcast_rows), "digest", "left")
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
     rows = joined.select(F.col("page_id").cast("string").alias("page"), "url", "digest", F.col("first").cast("string").alias("first"),
-                         again.alias("again"), F.when(~again, F.col("payload")).alias("payload"))
+                         again.alias("again"), F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
+    # A record's chunks are numbered first and cut one at a time: they follow each other in one task.
+    size = F.octet_length("payload")
+    last = F.greatest(F.ceil(size / chunk_bytes), F.lit(1)) - 1
+    numbered = rows.withColumns({"size": size, "end": last.cast("int")}).withColumn("chunk", F.explode(F.sequence(F.lit(0), "end")))
+    part = F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
+    cut = numbered.select("page", "url", "digest", "first", "again", "size", "chunk", (F.col("chunk") == F.col("end")).alias("last"), part.alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, record = TaskContext.get().partitionId(), 0
-        out, size = [], 0
+        archive, record = TaskContext.get().partitionId(), -1
+        sofar, out, held = hashlib.sha256(), [], 0
         for batch in batches:
-            data, offsets = byte_view(batch.column(5))
-            page, url, digest, first, again = (batch.column(i).to_pylist() for i in range(5))
+            data, offsets = byte_view(batch.column(8))
+            page, url, digest, first, again, size, chunk, last = (batch.column(i).to_pylist() for i in range(8))
             for i in range(batch.num_rows):
-                content = memoryview(data[offsets[i] : offsets[i + 1]])
-                head = header(page[i], url[i], len(content), digest[i], first[i], again[i], date)
-                for row in chunks(head, content, chunk_bytes):
-                    out.append((archive, record, *row))
-                    size += len(row[2])
-                    if size > BATCH:
-                        yield _batch(out)
-                        out, size = [], 0
-                record += 1
+                content, head = memoryview(data[offsets[i] : offsets[i + 1]]), b""
+                if chunk[i] == 0:
+                    record, sofar = record + 1, hashlib.sha256()
+                    head = header(page[i], url[i], size[i], digest[i], first[i], again[i], date)
+                sofar.update(content)
+                if last[i] and not again[i] and sofar.hexdigest() != digest[i]:
+                    raise ValueError("chunks that do not make up the payload")
+                out.append((archive, record, chunk[i], last[i], b"".join((head, content, END if last[i] else b"")), sofar.digest()))
+                held += len(out[-1][4])
+                if held > BATCH:
+                    yield _batch(out)
+                    out, held = [], 0
         if out:
             yield _batch(out)
 
-    rows.mapInArrow(run, SCHEMA).write.parquet(path)
+    with batch_rows(pages.sparkSession, rows_at_once):
+        cut.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -142,7 +141,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["archive", "record", "chunk", "last", "data", "digest"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, *, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """One row per record: page, record_type, payload_bytes, payload_digest, refers_to, with ids as strings.
 
     Every payload is read and its digest compared. A revisit has the size of the response that it refers to. A
@@ -171,7 +170,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     fields = "page string, record_type string, payload_bytes bigint, payload_digest string, refers_to string"
     short = table.filter("chunk = 0 and last")
     rest = table.filter("not (chunk = 0 and last)").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
-    records = written(short.mapInArrow(run, fields).unionByName(rest.mapInArrow(run, fields)), "records")
+    with batch_rows(spark, rows_at_once):
+        records = written(short.mapInArrow(run, fields).unionByName(rest.mapInArrow(run, fields)), "records")
     responses = records.filter("record_type = 'response'")
     revisits = records.filter("record_type = 'revisit'")
     sizes = responses.groupBy(F.col("page").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
