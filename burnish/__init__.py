@@ -20,6 +20,7 @@ from .operators.distinct import (
     duplicate_rows,
     remove_duplicates,
 )
+from .operators.expiry import expire_rewrite, read_kept, read_manifest
 from .operators.inference import infer_types, scan_csv_typed
 from .operators.preview import preview, to_json_records
 from .operators.report import completeness_split, dtype_distribution, missing_by_column, missing_heat_bucket
@@ -73,6 +74,7 @@ __all__ = [
     "duplicate_estimate",
     "duplicate_rows",
     "exact_medians",
+    "expire_rewrite",
     "expire_rows",
     "fill_by_chunk",
     "fill_mean",
@@ -85,6 +87,8 @@ __all__ = [
     "normalize_na",
     "preview",
     "quality_report_json",
+    "read_kept",
+    "read_manifest",
     "read_runs",
     "recent_runs",
     "regex_rule",

@@ -23,7 +23,7 @@ from .numbers import (
     to_unsigned,
 )
 from .ratio import percent
-from .rows import column_values, literal_of, literal_rows, name_at
+from .rows import column_values, literal_of, literal_rows, name_at, row_digest
 from .text import WHITESPACE, strip
 
 __all__ = [
@@ -44,6 +44,7 @@ __all__ = [
     "literal_of",
     "literal_rows",
     "name_at",
+    "row_digest",
     "normalize_na",
     "numeric_columns",
     "percent",

@@ -51,3 +51,13 @@ def column_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (
 def name_at(columns: Sequence[str], position: str = "position") -> Column:
     """The column name for a position given by `column_values`."""
     return F.element_at(F.array(*[F.lit(n) for n in columns]), F.col(position) + 1)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """40 bytes of a row that has no map: the SHA-256 of its values written as JSON, and a 64-bit hash of the values."""
+    fields = [(f.name, f.dataType) for f in df.schema]
+    # Adding zero makes one zero of both.
+    values = [col(n) + F.lit(0.0).cast(t) if isinstance(t, (T.FloatType, T.DoubleType)) else col(n) for n, t in fields]
+    exact = {f"{kind}Format": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for kind in ("timestamp", "timestampNTZ")}
+    text = F.to_json(F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "false", "timeZone": "UTC", **exact})
+    return F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.xxhash64(*values)), 16, "0")))

@@ -33,5 +33,16 @@ def unique_rule(df: DataFrame, *columns: str) -> DataFrame:
 
 def expire_rows(df: DataFrame, column: str, cutoff: Column | str) -> DataFrame:
     """Rows that have not expired: those whose time is not before `cutoff`; rows without one stay."""
-    limit = F.lit(cutoff).cast(df.schema[column].dataType) if isinstance(cutoff, str) else cutoff
-    return df.filter(col(column).isNull() | (col(column) >= limit))
+    return df.filter(not_expired(df, column, cutoff))
+
+
+def _limit(df: DataFrame, column: str, cutoff: Column | str) -> Column:
+    return F.lit(cutoff).cast(df.schema[column].dataType) if isinstance(cutoff, str) else cutoff
+
+
+def expired(df: DataFrame, column: str, cutoff: Column | str) -> Column:
+    return col(column) < _limit(df, column, cutoff)
+
+
+def not_expired(df: DataFrame, column: str, cutoff: Column | str) -> Column:
+    return col(column).isNull() | (col(column) >= _limit(df, column, cutoff))

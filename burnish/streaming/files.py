@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions import col, is_number_text, normalize_na, numeric_columns, present, standard_name
+from ..functions import col, is_number_text, normalize_na, numeric_columns, present, row_digest, standard_name
 from ..functions.names import distinct_names
 from ..operators.cleaning import drop_missing, trim_whitespace
 from ..operators.counts import column_missing, one_row_per_column, table_counts
@@ -163,7 +163,7 @@ def stream_statistics(stream: DataFrame) -> DataFrame:
 
 
 def stream_dedup(
-    stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 8
+    stream: DataFrame, *, event_time: str | None = None, delay: str | None = None, salts: int = 8, key: str = "rows"
 ) -> DataFrame:
     """The first of each group of equal rows.
 
@@ -174,19 +174,30 @@ def stream_dedup(
     A streaming dedup shuffles every copy to one task. As one row may fill a large share of a batch,
     `salts` spreads its copies over that many tasks, which pass on one each; a row's state is kept
     once more per salt it was seen with. 1 saves that state where no row is frequent.
+
+    `key="digest"` keeps 40 bytes of a row in the state instead of the row, for wide rows: its SHA-256 and a 64-bit hash
+    of another kind. Rows with the same digest are taken for copies without being compared. Zeros of both signs are
+    equal, as are all NaN.
     """
+    if key not in ("rows", "digest"):
+        raise ValueError(f"key must be 'rows' or 'digest', not {key!r}")
     if event_time is not None and delay is None:
         raise ValueError("event_time needs a delay such as '10 minutes'")
 
+    names = stream.columns
+
     def once(rows: DataFrame) -> DataFrame:
-        return rows.dropDuplicates() if event_time is None else rows.dropDuplicatesWithinWatermark(rows.columns)
+        of = rows.columns if key == "rows" else [c for c in rows.columns if c not in names]
+        return rows.dropDuplicates(of) if event_time is None else rows.dropDuplicatesWithinWatermark(of)
 
     if event_time is not None:
         stream = stream.withWatermark(event_time, delay)
+    if key == "digest":
+        stream = stream.withColumn("__digest", row_digest(stream))
     if salts > 1:
         salt = F.pmod(F.spark_partition_id(), F.lit(salts))
         stream = once(stream.withColumn("__salt", salt)).drop("__salt")
-    return once(stream)
+    return once(stream).drop("__digest")
 
 
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -203,3 +203,14 @@ def size_mb(spark, sf_dir):
     path = fresh(spark)
     table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
     return b.size_mb(spark, path)
+
+
+@check("SELECT event_id, user_id, ts, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def expire_rewrite(spark, sf_dir):
+    """Events in files by time; two cutoffs one after the other, and the rows of the second table."""
+    folder, first, second = fresh(spark), fresh(spark), fresh(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    events.repartitionByRange(8, "ts").write.parquet(folder)
+    b.expire_rewrite(spark, folder, first, "ts", "2024-01-10 00:00:00")
+    b.expire_rewrite(spark, first, second, "ts", "2024-01-20 00:00:00", files_at_once=1)
+    return b.read_kept(spark, second)

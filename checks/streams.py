@@ -265,3 +265,13 @@ def duplicate_estimate_sketch(spark, sf_dir):
     exact = copied.distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     close = F.abs(F.col("rows") - F.col("duplicate_rows") - exact) <= 4 * s.rows_error() * exact
     return found.select("rows", close.alias("within_bound"))
+
+
+@check("SELECT DISTINCT md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def stream_dedup_digest(spark, sf_dir):
+    """Whole documents but their ids, each twice; the state holds digests."""
+    path = fresh(spark)
+    rows = _stream(spark, sf_dir, "documents").drop("doc_id")
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    _finish(s.stream_to_parquet(s.stream_dedup(twice, key="digest"), path + "/out", path + "/state"))
+    return spark.read.parquet(path + "/out").select(F.md5("text").alias("text_md5"), "lang", "source", "n_chars")

@@ -178,3 +178,23 @@ def test_records_with_line_breaks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_dedup_by_digest(spark, frame, tmp_path):
+    folder = str(tmp_path / "in")
+    wide = [(float(i % 3) * (-1.0 if i % 2 else 1.0), None if i % 5 == 0 else "x" * 2000 + str(i % 4), [i % 2], i % 2 == 0) for i in range(200)]
+    rows = frame("a double, t string, l array<int>, b boolean", wide)
+    rows.unionByName(frame("a double, t string, l array<int>, b boolean", [(None, "1", None, True), (float("nan"), None, [], None)] * 2)).withColumn(
+        "at", F.expr("timestamp_micros(1000000 + IF(b, 1, 0))")).repartition(4).write.parquet(folder)
+    want, used = spark.read.parquet(folder).distinct(), {}
+    for key in ("rows", "digest"):
+        stream = s.stream_scan(spark, folder, want.schema, file_format="parquet", max_files_per_trigger=2)
+        query = s.stream_to_parquet(s.stream_dedup(stream, key=key, salts=2), str(tmp_path / key), str(tmp_path / f"{key}-state"))
+        query.awaitTermination()
+        out = spark.read.parquet(str(tmp_path / key))
+        assert out.columns == want.columns and out.count() == want.count()
+        assert out.exceptAll(want).count() == 0
+        used[key] = sum(o["memoryUsedBytes"] for o in query.lastProgress["stateOperators"])
+    assert used["digest"] < used["rows"] / 2
+    with pytest.raises(ValueError, match="'rows' or 'digest'"):
+        s.stream_dedup(stream, key="hash")
