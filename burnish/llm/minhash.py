@@ -34,6 +34,7 @@ from .common import (
     free_name,
     pieces,
     same,
+    trimmed,
     utf8,
     written,
 )
@@ -86,7 +87,7 @@ def idf_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
         if counters.any():
             yield counter_rows(counters, BLOCKS)
 
-    partial = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(count, COUNTER_SCHEMA)
+    partial = docs.select(utf8(F.col("text")).alias("text")).mapInArrow(trimmed(count), COUNTER_SCHEMA)
     counters = added_up(partial, BLOCKS, COUNTERS + BLOCKS).astype(np.float64)
     texts, counters = counters[-1], counters[:COUNTERS]
     if texts < 2:
@@ -202,7 +203,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, *, size: int = SHINGLE, bands:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("content"), utf8(F.col("text")).alias("text"))
-    return texts.mapInArrow(sign, f"doc_id {kind}, content bigint, node binary, keys array<bigint>")
+    return texts.mapInArrow(trimmed(sign), f"doc_id {kind}, content bigint, node binary, keys array<bigint>")
 
 
 # --- verification
@@ -246,7 +247,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, size: int) ->
                                              names=["node", "leader", "similarity"])
 
     dealt_rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    return dealt_rows.mapInArrow(compare, "node binary, leader binary, similarity double")
+    return dealt_rows.mapInArrow(trimmed(compare), "node binary, leader binary, similarity double")
 
 
 def links(docs: DataFrame, signed: DataFrame, idf: np.ndarray, *, similarity: float = SIMILARITY, size: int = SHINGLE,
@@ -424,7 +425,7 @@ def _settled(met: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "leader", "similarity"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-    return dealt.mapInArrow(compare, "node binary, leader binary, similarity double")
+    return dealt.mapInArrow(trimmed(compare), "node binary, leader binary, similarity double")
 
 
 def _relabelled(linked: DataFrame, labels: DataFrame) -> DataFrame:
